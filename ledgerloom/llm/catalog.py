@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm.fingerprints import op4_fingerprints
 from ledgerloom.llm.language import op10_language_id
+from ledgerloom.llm.licenses import op9_license_scan
 from ledgerloom.llm.packing import op3_packing
 from ledgerloom.llm.quality import op8_quality
 
@@ -15,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_fingerprints": op4_fingerprints,
     "op8_quality": op8_quality,
+    "op9_license_scan": op9_license_scan,
     "op10_language_id": op10_language_id,
 }
 
