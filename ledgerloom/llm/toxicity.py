@@ -84,7 +84,7 @@ def select_terms(features: list[np.ndarray], labels: np.ndarray, max_terms: int)
     return np.sort(frequent[order[abs(z[order]) >= _LEAST_Z]])
 
 
-def train_machine(features: list[np.ndarray], labels: np.ndarray, max_terms: int, factors: int, steps: int = 300) -> ToxicityModel:
+def train_machine(features: list[np.ndarray], labels: np.ndarray, max_terms: int, factors: int, steps: int = 600) -> ToxicityModel:
     """Fit by full-batch Adam on distinct term buckets per row; with one class, the constant that the labels give."""
     share = (labels.sum() + 1) / (len(labels) + 2)
     bias = float(np.log(share / (1 - share)))
@@ -102,7 +102,7 @@ def train_machine(features: list[np.ndarray], labels: np.ndarray, max_terms: int
     draw = np.random.default_rng(0)
     state = [np.zeros(len(buckets), np.float32), draw.normal(0, 0.05, (len(buckets), factors)).astype(np.float32), np.array([bias], np.float32)]
     first, second = [np.zeros_like(s) for s in state], [np.zeros_like(s) for s in state]
-    decay = (1e-5, 1e-4, 0.0)
+    decay = (1e-6, 1e-5, 0.0)
     for step in range(1, steps + 1):
         w, v, b = state
         total = x @ v
