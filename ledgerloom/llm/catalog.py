@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerloom.llm.decontamination import op2_decontamination
 from ledgerloom.llm.fingerprints import op4_fingerprints
 from ledgerloom.llm.language import op10_language_id
 from ledgerloom.llm.licenses import op9_license_scan
@@ -15,6 +16,7 @@ from ledgerloom.llm.toxicity import op5_toxicity
 from ledgerloom.llm.urls import op7_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontamination": op2_decontamination,
     "op3_packing": op3_packing,
     "op4_fingerprints": op4_fingerprints,
     "op5_toxicity": op5_toxicity,
