@@ -12,6 +12,7 @@ from ledgerloom.llm.language import op10_language_id
 from ledgerloom.llm.licenses import op9_license_scan
 from ledgerloom.llm.packing import op3_packing
 from ledgerloom.llm.quality import op8_quality
+from ledgerloom.llm.substrings import op6_substring_dedup
 from ledgerloom.llm.toxicity import op5_toxicity
 from ledgerloom.llm.urls import op7_url_filter
 
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_fingerprints": op4_fingerprints,
     "op5_toxicity": op5_toxicity,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_url_filter": op7_url_filter,
     "op8_quality": op8_quality,
     "op9_license_scan": op9_license_scan,
