@@ -10,6 +10,7 @@ from ledgerloom.llm.decontamination import op2_decontamination
 from ledgerloom.llm.fingerprints import op4_fingerprints
 from ledgerloom.llm.language import op10_language_id
 from ledgerloom.llm.licenses import op9_license_scan
+from ledgerloom.llm.near_duplicates import op1_jaccard_join
 from ledgerloom.llm.packing import op3_packing
 from ledgerloom.llm.quality import op8_quality
 from ledgerloom.llm.substrings import op6_substring_dedup
@@ -17,6 +18,7 @@ from ledgerloom.llm.toxicity import op5_toxicity
 from ledgerloom.llm.urls import op7_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_decontamination": op2_decontamination,
     "op3_packing": op3_packing,
     "op4_fingerprints": op4_fingerprints,
