@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.tables import table
+from ledgerloom.llm.tables import checkpointed, table
 
 GRAM, WINDOW = 5, 4
 #: ASCII white space, which separates words.
@@ -26,6 +26,8 @@ _POSITION_BITS = 30
 _LAST_POSITION = (1 << _POSITION_BITS) - 1
 #: Adjacent ids that share a block, as a power of two; and blocks that one window may order.
 _BLOCK_BITS, _ORDERED_BLOCKS = 8, 10_000
+#: Blocks whose first ids (16 bytes each) may be broadcast.
+_BROADCAST_BLOCKS = 100_000
 _NO_ID_BLOCKS = 4_096
 
 
@@ -56,10 +58,9 @@ def fingerprint(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
 
 
 def likeness(left: Column, right: Column) -> Column:
-    """Share of the kept hashes of two fingerprints that both have (0 to 1); 1 for two empty ones."""
-    a, b = left["hash"], right["hash"]
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
+    """Share of the kept hashes of two fingerprints that both have (0 to 1); 1 for two without any."""
+    union = F.size(F.array_union(left, right))
+    return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(left, right)) / union)
 
 
 def fingerprint_documents(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
@@ -94,27 +95,29 @@ def _linked(blocks: DataFrame) -> DataFrame:
     return inside.join(first_of_next, "above", "left").select("block", F.coalesce("next_block", "head").alias("next_block"))
 
 
-def with_next(prints: DataFrame) -> DataFrame:
-    """Adds next_text and next_fingerprint: those of the next row by doc_id, after the last the first.
+def with_next(docs: DataFrame, add: Callable[[DataFrame], DataFrame], columns: tuple[str, ...]) -> DataFrame:
+    """`add` of docs (doc_id, text), and next_<column> of each of `columns`: those of the next row by doc_id.
 
-    Rows of equal doc_id are ordered by text; rows without an id come first, in an order of
-    their texts' hashes.
+    After the last row comes the first. Rows of equal doc_id are ordered by text; rows without
+    an id come first, in an order of their texts' hashes. Adjacent ids share a block, which one
+    window orders, so texts are shuffled once. Only a block's last row looks beyond it, at the
+    first row of the next block; these first rows are one in 2**_BLOCK_BITS, and are looked up
+    by id: broadcast while they are few, else by a join.
     """
-    no_id = F.lit(-(1 << 60)) + F.pmod(F.xxhash64("text"), F.lit(_NO_ID_BLOCKS))
-    blocked = prints.withColumn("block", F.coalesce(F.shiftright("doc_id", _BLOCK_BITS), no_id))
+    no_id = F.lit(-(1 << 60)) + F.xxhash64("text").bitwiseAND(F.lit(_NO_ID_BLOCKS - 1))
+    blocked = docs.select("doc_id", "text", F.coalesce(F.shiftright("doc_id", _BLOCK_BITS), no_id).alias("block"))
+    first_ids = checkpointed(blocked.groupBy(F.col("block").alias("first_block")).agg(F.min("doc_id").alias("first_id")))
+    few = first_ids.count() <= _BROADCAST_BLOCKS
+    is_first = (F.col("block") == F.col("first_block")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
+    firsts = blocked.join(F.broadcast(first_ids) if few else first_ids, is_first).groupBy("first_block").agg(F.min("text").alias("text"), F.min("doc_id").alias("doc_id"))
+    beyond = add(firsts).select(F.col("first_block").alias("next_block"), *(F.col(c).alias(f"beyond_{c}") for c in columns))
+    beyond = _successors(first_ids.select(F.col("first_block").alias("block"))).join(beyond, "next_block").drop("next_block")
+    added = add(blocked)
     order = Window.partitionBy("block").orderBy("doc_id", "text")
-    led = blocked.select(
-        "*",
-        F.lead("text").over(order).alias("next_text"),
-        F.lead("fingerprint").over(order).alias("next_fingerprint"),
-        F.lag(F.lit(1)).over(order).isNull().alias("is_first"),
-        F.lead(F.lit(1)).over(order).isNull().alias("is_last"),
-    )
-    inside = led.where(~F.col("is_last"))
-    heads = led.where("is_first").select(F.col("block").alias("next_block"), F.col("text").alias("next_text"), F.col("fingerprint").alias("next_fingerprint"))
-    tails = led.where("is_last").drop("next_text", "next_fingerprint")
-    across = tails.join(_successors(blocked.select("block").distinct()), "block").join(heads, "next_block")
-    return inside.select(*prints.columns, "next_text", "next_fingerprint").unionByName(across.select(*prints.columns, "next_text", "next_fingerprint"))
+    led = added.select("*", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns), F.lead(F.lit(1)).over(order).isNull().alias("is_last"))
+    joined = led.join(beyond, "block", "left")
+    looked = {f"next_{c}": F.when(F.col("is_last"), F.col(f"beyond_{c}")).otherwise(F.col(f"next_{c}")) for c in columns}
+    return joined.withColumns(looked).drop("block", "is_last", *(f"beyond_{c}" for c in columns))
 
 
 def digest(prints: Column) -> Column:
@@ -124,7 +127,13 @@ def digest(prints: Column) -> Column:
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and their likeness."""
-    paired = with_next(fingerprint_documents(table(spark, sf_dir, "documents")))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+    def printed(rows: DataFrame) -> DataFrame:
+        full = rows.withColumn("full_print", fingerprint(F.col("text")))
+        return full.withColumns({"fingerprint": digest(F.col("full_print")), "hashes": F.col("full_print.hash")}).drop("full_print")
+
+    paired = with_next(docs, printed, ("text", "hashes"))
     n_chars = F.char_length("text")
     half = F.floor(n_chars / 2).cast("int")
     edited = paired.withColumn("edited", F.concat(F.substring("text", F.lit(1), n_chars - half), F.substring("next_text", F.lit(1), half)))
@@ -133,8 +142,8 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         n_chars.cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        digest(F.col("fingerprint")).alias("fingerprint"),
+        "fingerprint",
         digest(F.col("edited_print")).alias("edited_fingerprint"),
-        likeness(F.col("fingerprint"), F.col("edited_print")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        likeness(F.col("hashes"), F.col("edited_print.hash")).alias("near_edited"),
+        likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"),
     )

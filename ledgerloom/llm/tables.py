@@ -17,15 +17,18 @@ def fold(doc_id: Column | str, folds: int) -> Column:
     return F.crc32(column.cast("string").cast("binary")) % folds
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` cut from its lineage, kept in the shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """Folder that driver and executors share: the session's `spark.checkpoint.dir`.
 
-    The folder is the session's `spark.checkpoint.dir`. Only where that is unset, as in
-    tests on one machine, is a folder of the warehouse used.
+    Only where that is unset, as in tests on one machine, is a folder of the warehouse used.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    return spark.conf.get("spark.checkpoint.dir", None) or f"{warehouse}/checkpoints"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` cut from its lineage, kept in the shared folder; survives the loss of executors."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{warehouse}/checkpoints")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

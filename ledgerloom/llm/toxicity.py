@@ -146,11 +146,11 @@ def fit_toxicity(docs: DataFrame, sample: DataFrame, max_terms: int = MAX_TERMS,
     return ToxicityModel(np.array([b for b, _ in fitted[1:]], np.int64), own[:, 0], own[:, 1:], fitted[0][1][0])
 
 
-def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
-    """doc_id, score and predicted of each row of docs, from its whole text.
+def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, score and predicted of each row of docs, from its whole text, and the `carry` columns (may hold doc_id).
 
-    docs: needs doc_id and text; other columns are ignored. Null texts count as empty; an empty
-    text has the score of the bias alone. Repeated rows are scored each for itself, an empty
+    docs: needs doc_id and text; columns not in `carry` are ignored. Null texts count as empty; an
+    empty text has the score of the bias alone. Repeated rows are scored each for itself, an empty
     table gives no rows. Without labelled rows the score is 0.5 for all.
     """
 
@@ -161,9 +161,13 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5
                 if len(found) and len(model.buckets):
                     at = np.minimum(np.searchsorted(model.buckets, found), len(model.buckets) - 1)
                     scores[row] = model.score(np.unique(at[model.buckets[at] == found]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32)), batch.column(2)], ["doc_id", "score", "predicted", "carry"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(scored, "doc_id long, score double, predicted int")
+    held = F.struct(*carry) if carry else F.lit(None).cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held.alias("carry"))
+    kind = rows.schema["carry"].dataType.simpleString()
+    out = rows.mapInArrow(scored, f"doc_id long, score double, predicted int, carry {kind}")
+    return out.select(*(() if "doc_id" in carry else ("doc_id",)), "score", "predicted", *(F.col("carry")[c].alias(c) for c in carry))
 
 
 def fitted_on_labels(spark: SparkSession, docs: DataFrame, sf_dir: str) -> ToxicityModel:
