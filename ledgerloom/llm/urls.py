@@ -18,9 +18,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.tables import table
+from ledgerloom.llm.tables import checkpointed, table
 
 SAMPLE_ROWS = 50_000
+_FIT_PARTITIONS = 6
+#: Host suffixes (some 50 bytes each) whose rates may be broadcast; more are joined.
+_BROADCAST_SUFFIXES = 200_000
 #: Rules are tried inside each row, so there may be this many at most.
 _MOST_RULES = 1_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -92,23 +95,24 @@ def suffix(host: Column) -> Column:
     return F.element_at(F.split(host, r"\."), -1)
 
 
-#: Lexical features by name, over host, path and rest.
-FEATURES: dict[str, Column] = {
-    "host_length": F.length("host").cast("double"),
-    "path_length": F.length("path").cast("double"),
-    "rest_length": F.length("rest").cast("double"),
-    "host_depth": _count(F.col("host"), r"\."),
-    "path_depth": _count(F.col("path"), "/"),
-    "digit_ratio": _count(F.concat("host", "path", "rest"), "[0-9]") / F.greatest(F.length(F.concat("host", "path", "rest")), F.lit(1)),
-    "host_digits": _count(F.col("host"), "[0-9]"),
-    "hyphens": _count(F.concat("host", "path"), "-"),
-    "parameters": _count(F.col("rest"), "[?&][^&#]"),
-    "fragment": F.contains(F.col("rest"), F.lit("#")).cast("double"),
-    "host_entropy": entropy(F.col("host")),
-    "path_entropy": entropy(F.col("path")),
-    "first_part_length": F.length(F.regexp_extract("path", "^/([^/]*)", 1)).cast("double"),
-    "longest_label": F.array_max(F.transform(F.split("host", r"\."), lambda x: F.length(x))).cast("double"),
-}
+def lexical_features() -> dict[str, Column]:
+    """Lexical features by name, over host, path and rest."""
+    return {
+        "host_length": F.length("host").cast("double"),
+        "path_length": F.length("path").cast("double"),
+        "rest_length": F.length("rest").cast("double"),
+        "host_depth": _count(F.col("host"), r"\."),
+        "path_depth": _count(F.col("path"), "/"),
+        "digit_ratio": _count(F.concat("host", "path", "rest"), "[0-9]") / F.greatest(F.length(F.concat("host", "path", "rest")), F.lit(1)),
+        "host_digits": _count(F.col("host"), "[0-9]"),
+        "hyphens": _count(F.concat("host", "path"), "-"),
+        "parameters": _count(F.col("rest"), "[?&][^&#]"),
+        "fragment": F.contains(F.col("rest"), F.lit("#")).cast("double"),
+        "host_entropy": entropy(F.col("host")),
+        "path_entropy": entropy(F.col("path")),
+        "first_part_length": F.length(F.regexp_extract("path", "^/([^/]*)", 1)).cast("double"),
+        "longest_label": F.array_max(F.transform(F.split("host", r"\."), lambda x: F.length(x))).cast("double"),
+    }
 
 
 @dataclass
@@ -121,9 +125,10 @@ class UrlModel:
 
 
 def _featured(parts: DataFrame, rates: DataFrame, rate: float) -> DataFrame:
-    rated = parts.withColumn("suffix", suffix(F.col("host"))).join(rates, "suffix", "left").withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(rate)))
-    rated = rated.withColumns({f"feature_{name}": column for name, column in FEATURES.items()})
-    return VectorAssembler(inputCols=[*(f"feature_{name}" for name in FEATURES), "suffix_rate"], outputCol="features").transform(rated)
+    features, few = lexical_features(), rates.count() <= _BROADCAST_SUFFIXES
+    rated = parts.withColumn("suffix", suffix(F.col("host"))).join(F.broadcast(rates) if few else rates, "suffix", "left").withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(rate)))
+    rated = rated.withColumns({f"feature_{name}": column for name, column in features.items()})
+    return VectorAssembler(inputCols=[*(f"feature_{name}" for name in features), "suffix_rate"], outputCol="features").transform(rated)
 
 
 def fit_url_model(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, trees: int = 20, depth: int = 4) -> UrlModel:
@@ -132,13 +137,15 @@ def fit_url_model(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, trees: in
     n, blocked = known.agg(F.count("*"), F.coalesce(F.sum("blocked"), F.lit(0))).first()
     rate = (float(blocked) + 1) / (n + 2)
     counts = known.groupBy(suffix(F.col("host")).alias("suffix")).agg(F.sum("blocked").alias("b"), F.count("*").alias("n"))
-    rates = counts.select("suffix", ((F.col("b") + _PRIOR * rate) / (F.col("n") + _PRIOR)).alias("suffix_rate"))
+    rates = checkpointed(counts.select("suffix", ((F.col("b") + _PRIOR * rate) / (F.col("n") + _PRIOR)).alias("suffix_rate")))
     if not 0 < blocked < n:
         return UrlModel(None, rates, rate)
     share = int(min(1.0, sample_rows / n) * (1 << 20))
     sample = known.where(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < share)
     booster = GBTClassifier(labelCol="blocked", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=0, checkpointInterval=-1)
-    return UrlModel(booster.fit(_featured(sample, rates, rate).select("features", F.col("blocked").cast("double").alias("blocked"))), rates, rate)
+    features = _featured(sample, rates, rate).select("features", F.col("blocked").cast("double").alias("blocked"))
+    # the sample is of bounded size and read once per level of each tree: few partitions, made once
+    return UrlModel(booster.fit(checkpointed(features.repartition(_FIT_PARTITIONS))), rates, rate)
 
 
 def score_urls(parts: DataFrame, model: UrlModel) -> DataFrame:
