@@ -30,4 +30,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_WORDS = r"SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_jaccard_join": f"""WITH RECURSIVE w AS ({_WORDS}),
+grams AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE [array_to_string(ws[i:i + 4], ' ') FOR i IN range(1, len(ws) - 3)] END) AS gram FROM w),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY 1),
+shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM grams a JOIN grams b USING (gram) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM shared JOIN sizes a ON a.doc_id = x JOIN sizes b ON b.doc_id = y WHERE k * 5 >= 4 * (a.n + b.n - k)),
+reached AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reached.a, links.y FROM reached JOIN links ON reached.b = links.x)
+SELECT a AS doc_id, min(b) AS class_id, (SELECT count(*) FROM links WHERE x = a) AS n_links FROM reached GROUP BY a""",
+    "op6_substring_dedup": f"""WITH w AS ({_WORDS}),
+windows AS (SELECT doc_id, i, array_to_string(ws[i:i + 49], ' ') AS window_text FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w)),
+owners AS (SELECT window_text, min(doc_id) AS owner FROM windows GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS j FROM windows JOIN owners USING (window_text), range(0, 50) AS t(k) WHERE owner < doc_id),
+kept AS (SELECT p.doc_id, string_agg(p.word, ' ' ORDER BY p.j) AS kept_text, count(*) AS n FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS j FROM w) p LEFT JOIN gone USING (doc_id, j) WHERE gone.j IS NULL GROUP BY 1)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept_text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""",
+}
