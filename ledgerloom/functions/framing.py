@@ -139,3 +139,40 @@ def population_fold(members: Column, tag: str = "g4pop.2") -> Column:
     seed = F.sha2(F.encode(F.lit(FOLD_SEED_TEXT), "UTF-8"), 256)
     chain = F.aggregate(members, seed, lambda hashed, member: F.sha2(F.concat(F.unhex(hashed), member), 256))
     return fingerprint(tag, sequence(F.array(text(chain), integer(F.size(members)))))
+
+
+def node(value: Column, kind: str) -> Column:
+    """Frame of a payload value: null, bool, int, dec (decimal text), str."""
+    tag = {"bool": "b", "int": "i", "dec": "d", "str": "s"}[kind]
+    shown = F.when(value, "1").otherwise("0") if kind == "bool" else value.cast("string")
+    return F.when(value.isNull(), fields(n=text(F.lit(None).cast("string")))).otherwise(fields(**{tag: text(shown)}))
+
+
+def node_sequence(nodes: Column) -> Column:
+    """Frame of a payload's array of value frames."""
+    return fields(seq=sequence(nodes))
+
+
+def node_object(**nodes: Column) -> Column:
+    """Frame of a payload's named value frames."""
+    return fields(obj=fields(**nodes))
+
+
+def matter_key(engagement_id: Column, result: Column) -> Column:
+    """What correlates matters: the engagement and the first linked result."""
+    return fingerprint("g5mattercorr.1", fields(engagementId=text(engagement_id), semantic=text(result)))
+
+
+def membership_identity(results: Column) -> Column:
+    """Identity of an array of linked results, in any order."""
+    return fingerprint("g5members.1", multiset(F.transform(results, text)))
+
+
+FINDING_TEXTS = ("category", "condition", "criteria", "cause", "effect", "auditorConclusion", "recommendation", "observedCurrency", "estimatedExposureCurrency")
+FINDING_AMOUNTS = ("observedAmount", "estimatedExposureAmount")
+
+
+def finding_identity(content: dict[str, Column]) -> Column:
+    """Identity of a finding version's content; equal amounts are equal however they are written."""
+    frames = {c: text(content[c]) for c in FINDING_TEXTS} | {c: text(content[c].cast("decimal(24,6)").cast("string")) for c in FINDING_AMOUNTS}
+    return fingerprint("g5finding.1", fields(**frames))
