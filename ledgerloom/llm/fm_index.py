@@ -13,21 +13,46 @@ _ONE = np.uint64(1)
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """Suffix order by prefix doubling; the last symbol must be the unique least one."""
+def suffix_array(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix order by prefix doubling, and what each suffix shares with the one before it.
+
+    The last symbol must be the unique least one. The common prefixes have a -1 at both ends, so
+    there is one more of them than suffixes.
+    """
     n = len(symbols)
     _, rank = np.unique(symbols, return_inverse=True)
-    rank, step = rank.astype(np.int64), 1
+    ranks, step = [rank.astype(np.int32)], 1
     while True:
+        rank = ranks[-1].astype(np.int64)
         key = rank * (n + 1)
         key[: n - step] += rank[step:] + 1
         order = np.argsort(key, kind="stable")
         ordered = key[order]
-        rank = np.empty(n, np.int64)
         rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
         if rank[order[-1]] == n - 1:
-            return order
+            break
+        ranks.append(rank.astype(np.int32))
         step *= 2
+    shared, left, right = np.zeros(n - 1, np.int32), order[:-1].copy(), order[1:].copy()
+    for k in range(len(ranks) - 1, -1, -1):  # ranks[k] tells prefixes of 2**k symbols apart
+        same = ranks[k][left] == ranks[k][right]
+        shared += same.astype(np.int32) << k
+        left[same] = np.minimum(left[same] + (1 << k), n - 1)
+        right[same] = np.minimum(right[same] + (1 << k), n - 1)
+    return order, np.concatenate([[-1], shared, [-1]])
+
+
+def nearest_smaller(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For every place the nearest places before and after it that hold a smaller value; itself at the ends."""
+    held = values.tolist()
+    before, after, open_ = list(range(len(held))), list(range(len(held))), []
+    for i, value in enumerate(held):
+        while open_ and held[open_[-1]] > value:
+            after[open_.pop()] = i
+        # of equal values the earlier one has the nearest smaller place of both
+        before[i] = before[open_[-1]] if open_ and held[open_[-1]] == value else open_[-1] if open_ else i
+        open_.append(i)
+    return np.array(before), np.array(after)
 
 
 class BitVector:
@@ -91,7 +116,8 @@ class FmIndex:
 
     def __init__(self, symbols: np.ndarray, owners: np.ndarray) -> None:
         text = np.concatenate([symbols, [0]]).astype(np.int64)
-        order = suffix_array(text)
+        order, self.shared = suffix_array(text)
+        self.before, self.after = nearest_smaller(self.shared)
         self.size = len(text)
         self.tree = WaveletTree(text[order - 1])
         self.most = int(text.max())
@@ -115,57 +141,43 @@ def matching_intervals(index: FmIndex, words: np.ndarray, offsets: np.ndarray, b
     only places whose owner is less than this count. Returns query, start and end (within
     words) of maximal intervals of at least `length` words that occur, found from right to left.
 
-    A query runs backwards from its end e. Where a word at f can't be added, the matched part is
-    reported, and the largest end e' is sought for which f..e' occurs: by galloping, then by
-    halving. Every window that ends in between holds f..e'+1, so none of them can occur.
+    These are the matching statistics: for every place the longest match that starts there. A
+    match grows to the left by backward search. Where it can't, it is cut on the right to the
+    longest prefix that stands in more places, as common prefixes of neighbouring suffixes tell,
+    and tried again. A query takes at most twice as many steps as it has words.
     """
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     query = np.flatnonzero(np.diff(offsets) >= length)
     begin, end = offsets[query].astype(np.int64), offsets[query + 1].astype(np.int64)
-    at, low, high = end.copy(), np.zeros(len(query), np.int64), np.full(len(query), index.size, np.int64)
-    # while probing: the word that failed (-1: not probing), the largest end known to occur, the least known not to
-    stop, good, bad, tight = np.full(len(query), -1, np.int64), at.copy(), at.copy(), np.zeros(len(query), bool)
-    state = [query, begin, end, at, low, high, stop, good, bad, tight]
+    state = [query, begin, end, end.copy(), np.zeros(len(query), np.int64), np.full(len(query), index.size, np.int64), np.zeros(len(query), bool)]
     while len(state[0]):
-        query, begin, end, at, low, high, stop, good, bad, tight = state
+        query, begin, end, at, low, high, grown = state
         symbol = words[at - 1]
         known = symbol >= 0
-        safe = np.where(known, symbol, 0)
-        new_low, new_high = index.extend(safe, low, high)
+        new_low, new_high = index.extend(np.where(known, symbol, 0), low, high)
         ok = known & (new_low < new_high)
         ok[ok] = index.least(new_low[ok], new_high[ok]) < below[query[ok]]
         low[ok], high[ok] = new_low[ok], new_high[ok]
         at[ok] -= 1
-        probing = stop >= 0
-
-        # the interval from `at` can't grow: at a word that fails or at the query's begin
-        ended = ~probing & (~ok | (at == begin))
-        long = ended & (end - at >= length)
-        if long.any():
-            found.append((query[long], at[long], end[long]))
-        over = ended & ok
-        failed = np.flatnonzero(ended & ~ok)
-        stop[failed] = at[failed] - 1
-        good[failed] = stop[failed]
-        bad[failed] = np.minimum(end[failed], stop[failed] + length + 1)
-        tight[failed] = False
-
-        # a probe of stop..end ends: it occurs if its first word could be added
-        hit = probing & ok & (at == stop)
-        miss = probing & ~ok
-        good[hit] = end[hit]
-        bad[miss] = end[miss]
-        tight |= miss
-        turn = np.concatenate([failed, np.flatnonzero(hit | miss)])
-        if len(turn):
-            settled = bad[turn] - good[turn] <= 1
-            done, more = turn[settled], turn[~settled]
-            end[done], stop[done] = good[done], -1
-            gallop = stop[more] + np.maximum(2 * (good[more] - stop[more]), 1)
-            end[more] = np.where(tight[more], (good[more] + bad[more]) // 2, np.minimum(gallop, bad[more] - 1))
-            at[turn], low[turn], high[turn] = end[turn], 0, index.size
-            over[done] |= end[done] - begin[done] < length
-        state = [x[~over] for x in state]
+        grown |= ok
+        through = at == begin
+        report = grown & (through | ~ok) & (end - at >= length)
+        if report.any():
+            found.append((query[report], at[report], end[report]))
+        stuck = np.flatnonzero(~ok)
+        if len(stuck):
+            grown[stuck] = False
+            a, b = low[stuck], high[stuck]
+            depth = np.maximum(index.shared[a], index.shared[b])
+            low[stuck] = np.where(index.shared[a] == depth, index.before[a], a)
+            high[stuck] = np.where(index.shared[b] == depth, index.after[b], b)
+            absent = depth < 0  # nothing is matched any more, and the word itself isn't there
+            at[stuck[absent]] -= 1
+            end[stuck] = at[stuck] + np.maximum(depth, 0)
+            low[stuck[absent]], high[stuck[absent]] = 0, index.size
+        over = (at == begin) | (end - begin < length)
+        if over.any():
+            state = [x[~over] for x in state]
     if not found:
         return (np.zeros(0, np.int64),) * 3
     return tuple(np.concatenate(x) for x in zip(*found))

@@ -95,7 +95,10 @@ def test_suffix_array():
     draw = random.Random(1)
     for _ in range(50):
         text = [draw.randint(1, 3) for _ in range(draw.randint(1, 40))] + [0]
-        assert suffix_array(np.array(text)).tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+        order, shared = suffix_array(np.array(text))
+        assert order.tolist() == sorted(range(len(text)), key=lambda i: text[i:])
+        common = lambda a, b: next(k for k in range(len(text)) if text[a + k] != text[b + k])
+        assert shared.tolist() == [-1, *(common(a, b) for a, b in zip(order[:-1], order[1:])), -1]
 
 
 def test_matching_intervals():
