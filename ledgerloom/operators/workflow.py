@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import any_holds, holds
@@ -122,3 +122,10 @@ def evidence_trace(evidence: DataFrame, lines: DataFrame, balances: DataFrame, r
 def resolved(status: Column, action: Column) -> Column:
     """Status of an anomaly after RESOLVE, DISMISS or ESCALATE; other actions leave it."""
     return F.when(action == "RESOLVE", "RESOLVED").when(action == "DISMISS", "DISMISSED").when(action == "ESCALATE", "IN_REVIEW").otherwise(status)
+
+
+def attempts_in_window(log: DataFrame, who: str, at: str, minutes: int = 15) -> DataFrame:
+    """Log rows with the number of attempts by the same account or address in the minutes up to each."""
+    micros = F.unix_micros(at)
+    window = Window.partitionBy(who).orderBy(micros).rangeBetween(-minutes * 60_000_000, 0)
+    return log.withColumn("attempts", F.count("*").over(window))

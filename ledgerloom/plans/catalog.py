@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import framing, money
 from ledgerloom.functions.text import key
 from ledgerloom.functions.timeparts import parse_date_strict
-from ledgerloom.operators import accounting, analyzers, executors, ingest, reconcile, rules, runs, workflow
+from ledgerloom.operators import accounting, analyzers, executors, ingest, lifecycle, reconcile, rules, runs, workflow
 from ledgerloom.plans import views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -517,3 +517,39 @@ def run_eligibility(spark: SparkSession, sf_dir: str) -> DataFrame:
 def key_normalization(spark: SparkSession, sf_dir: str) -> DataFrame:
     padded = views.table(spark, sf_dir, "customer").select(F.concat(F.lit("  "), F.col("c_mktsegment"), F.lit("\t")).alias("name"))
     return padded.groupBy(key(F.col("name")).alias("party")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 900000000 PRECEDING AND CURRENT ROW) AS attempts FROM events")
+def login_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = views.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return workflow.attempts_in_window(log, "user_id", "ts").select("event_id", "attempts")
+
+
+@query("SELECT o_orderkey AS document_id, CASE WHEN o_orderstatus <> 'P' THEN coalesce(n, 0) END AS n_transactions FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey")
+def document_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = views.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("document_id"), F.when(F.col("o_orderstatus") != "P", "PARSED").otherwise("PENDING").alias("status"))
+    lines = views.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("document_id"))
+    return lifecycle.document_counts(documents, lines).select("document_id", "n_transactions")
+
+
+@query("""WITH p AS (SELECT DISTINCT c_mktsegment AS name, CAST(c_nationkey AS VARCHAR) AS hash FROM customer), v AS (SELECT name, hash, row_number() OVER (PARTITION BY name ORDER BY hash) AS version_no FROM p WHERE hash < '2')
+SELECT name, hash, (SELECT count(*) FROM v WHERE v.name = f.name) + row_number() OVER (PARTITION BY name ORDER BY hash) AS version_no FROM (SELECT * FROM p WHERE hash >= '2') f""")
+def import_new_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    proposed = views.table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("name"), F.col("c_nationkey").cast("string").alias("hash"))
+    turn = F.row_number().over(Window.partitionBy("name").orderBy("hash"))
+    versions = proposed.where("hash < '2'").distinct().withColumn("version_no", turn.cast("long"))
+    return lifecycle.new_versions(proposed, versions)
+
+
+@query("SELECT o_custkey AS exception_id, coalesce(arg_max(CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END, CASE WHEN o_orderstatus <> 'P' THEN o_orderkey END), 'OPEN') AS status, max(o_orderkey) AS event_seq FROM orders GROUP BY 1")
+def exception_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus"))
+    events = views.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("exception_id"), F.col("o_orderkey").alias("event_seq"), F.when(status.isNull(), "LINK").otherwise("STATUS").alias("action"), status.alias("to_status"))
+    return lifecycle.exception_states(events)
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS id, CAST(o_totalprice AS DECIMAL(15, 2))::VARCHAR AS shown, CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) AS minor FROM orders")
+def money_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = views.order_transactions(spark, sf_dir)
+    shown = money.from_minor_units(money.minor_units(F.col("amount")))
+    return rows.select("id", shown.alias("shown")).withColumn("minor", money.parse_minor_units(F.col("shown")))
