@@ -78,9 +78,10 @@ def fingerprint_documents(docs: DataFrame, gram: int = GRAM, window: int = WINDO
 
 def _successors(blocks: DataFrame) -> DataFrame:
     """(block, next_block) over distinct blocks in ascending order; the last is followed by the first."""
-    ends = blocks.agg(F.min("block").alias("least"), F.max("block").alias("most"))
-    linked = _linked(blocks)
-    return linked.crossJoin(F.broadcast(ends)).select("block", F.when(F.col("block") == F.col("most"), F.col("least")).otherwise(F.col("next_block")).alias("next_block"))
+    least, most = blocks.agg(F.min("block"), F.max("block")).first()
+    if least is None:
+        return blocks.select("block", F.col("block").alias("next_block"))
+    return _linked(blocks).select("block", F.when(F.col("block") == most, F.lit(least)).otherwise(F.col("next_block")).alias("next_block"))
 
 
 def _linked(blocks: DataFrame) -> DataFrame:

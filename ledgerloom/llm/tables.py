@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.session import checkpointed, shared_folder
+
+__all__ = ["checkpointed", "fold", "shared_folder", "table"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A corpus table; the path may be any that Spark can read."""
@@ -15,20 +19,3 @@ def fold(doc_id: Column | str, folds: int) -> Column:
     """Fold of a document: crc32 of its id as text, modulo `folds`."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.crc32(column.cast("string").cast("binary")) % folds
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """Folder that driver and executors share: the session's `spark.checkpoint.dir`.
-
-    Only where that is unset, as in tests on one machine, is a folder of the warehouse used.
-    """
-    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{warehouse}/checkpoints"
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` cut from its lineage, kept in the shared folder; survives the loss of executors."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
