@@ -26,7 +26,7 @@ DIMENSIONS = 1024
 #: Units into which a document's unit vector is rounded, so that sums don't depend on their order.
 _UNIT = 1 << 20
 #: Trigram vectors that a worker remembers before it starts again.
-_MEMO_ROWS = 40_000
+_MEMO_ROWS = 30_000
 _SPACE = 0x20
 UNDETERMINED = "und"
 

@@ -29,7 +29,7 @@ from ledgerloom.llm.tables import table
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: Keys of each of a worker's two memos; each holds up to twice as many.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 120_000
 #: Control characters that Python's split takes for white space and the tokenizer does not.
 _ODD_SPACES = re.compile("[\x1c-\x1f]")
 #: The tokenizer's own split pattern.

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one numpy pass handles; a longer document is handled alone.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 #: ASCII whitespace: every other byte belongs to a word.
 SPACES = b" \t\n\x0b\x0c\r"
 
