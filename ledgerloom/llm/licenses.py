@@ -28,7 +28,7 @@ SEPARATORS = bytes(b for b in range(0x80) if not (0x30 <= b <= 0x39 or 0x61 <= b
 
 @dataclass(frozen=True)
 class Rule:
-    """Signature of a license. pattern: over lower-cased text; keywords: any of them opens the gate."""
+    """Signature of a license. pattern: over lower-cased text; keywords: any of them, white space as one space, opens the gate; every match of pattern must hold one."""
 
     name: str
     label: str
@@ -41,7 +41,7 @@ class Rule:
 #: label: (keywords, pattern of the name, identifier pattern). Written by hand; every entry gives a rule per phrasing.
 FAMILIES: dict[str, tuple[tuple[str, ...], str, str]] = {
     "mit": (("mit", "expat"), r"(?:mit|expat)(?:/x11)?", r"mit"),
-    "mit-0": (("mit-0", "no attribution"), r"mit\s+no\s+attribution", r"mit-0"),
+    "mit-0": (("mit",), r"mit\s+no\s+attribution", r"mit-0"),
     "apache-1.1": (("apache",), r"apache(?:\s+software)?\s+licen[sc]e,?\s*(?:version\s*|v\.?\s*)?1\.1", r"apache-1\.1"),
     "apache-2.0": (("apache",), r"apache(?:\s+software)?(?:\s+licen[sc]e)?,?\s*(?:version\s*|v\.?\s*)?2(?:\.0)?", r"apache-2\.0"),
     "gpl-1.0": (("general public", "gpl"), r"(?:gnu\s+)?(?:general\s+public\s+licen[sc]e|gpl),?\s*(?:version\s*|v\.?\s*)1(?:\.0)?", r"gpl-1\.0(?:-only|-or-later|\+)?"),
@@ -52,47 +52,47 @@ FAMILIES: dict[str, tuple[tuple[str, ...], str, str]] = {
     "lgpl-3.0": (("lesser general", "lgpl"), r"(?:gnu\s+)?(?:lesser\s+general\s+public\s+licen[sc]e|lgpl),?\s*(?:version\s*|v\.?\s*)3(?:\.0)?", r"lgpl-3\.0(?:-only|-or-later|\+)?"),
     "agpl-3.0": (("affero", "agpl"), r"(?:gnu\s+)?(?:affero\s+general\s+public\s+licen[sc]e|agpl)(?:,?\s*(?:version\s*|v\.?\s*)3(?:\.0)?)?", r"agpl-3\.0(?:-only|-or-later|\+)?"),
     "fdl": (("free documentation", "gfdl"), r"(?:gnu\s+)?(?:free\s+documentation\s+licen[sc]e|gfdl)(?:,?\s*(?:version\s*|v\.?\s*)1\.[123])?", r"gfdl-1\.[123]\S*"),
-    "bsd-2-clause": (("bsd",), r"(?:bsd\s+2[- ]clause|2[- ]clause\s+bsd|simplified\s+bsd|freebsd)", r"bsd-2-clause"),
-    "bsd-3-clause": (("bsd",), r"(?:bsd\s+3[- ]clause|3[- ]clause\s+bsd|new\s+bsd|modified\s+bsd|revised\s+bsd)", r"bsd-3-clause"),
-    "bsd-4-clause": (("bsd",), r"(?:bsd\s+4[- ]clause|4[- ]clause\s+bsd|original\s+bsd)", r"bsd-4-clause"),
-    "0bsd": (("0bsd", "zero-clause", "zero clause"), r"(?:zero[- ]clause\s+bsd|0bsd)", r"0bsd"),
+    "bsd-2-clause": (("bsd",), r"(?:bsd\s+2(?:-\s*|\s+)clause|2(?:-\s*|\s+)clause\s+bsd|simplified\s+bsd|freebsd)", r"bsd-2-clause"),
+    "bsd-3-clause": (("bsd",), r"(?:bsd\s+3(?:-\s*|\s+)clause|3(?:-\s*|\s+)clause\s+bsd|new\s+bsd|modified\s+bsd|revised\s+bsd)", r"bsd-3-clause"),
+    "bsd-4-clause": (("bsd",), r"(?:bsd\s+4(?:-\s*|\s+)clause|4(?:-\s*|\s+)clause\s+bsd|original\s+bsd)", r"bsd-4-clause"),
+    "0bsd": (("bsd",), r"(?:zero(?:-\s*|\s+)clause\s+bsd|0bsd)", r"0bsd"),
     "isc": (("isc",), r"isc", r"isc"),
     "mpl-1.1": (("mozilla", "mpl"), r"(?:mozilla\s+public\s+licen[sc]e|mpl),?\s*(?:version\s*|v\.?\s*)?1\.1", r"mpl-1\.1"),
     "mpl-2.0": (("mozilla", "mpl"), r"(?:mozilla\s+public\s+licen[sc]e|mpl),?\s*(?:version\s*|v\.?\s*)?2(?:\.0)?", r"mpl-2\.0"),
     "epl-1.0": (("eclipse", "epl"), r"(?:eclipse\s+public\s+licen[sc]e|epl)\s*-?,?\s*(?:version\s*|v\.?\s*)?1(?:\.0)?", r"epl-1\.0"),
     "epl-2.0": (("eclipse", "epl"), r"(?:eclipse\s+public\s+licen[sc]e|epl)\s*-?,?\s*(?:version\s*|v\.?\s*)?2(?:\.0)?", r"epl-2\.0"),
     "cddl-1.0": (("common development", "cddl"), r"(?:common\s+development\s+and\s+distribution\s+licen[sc]e|cddl)(?:,?\s*(?:version\s*|v\.?\s*)?1(?:\.[01])?)?", r"cddl-1\.[01]"),
-    "cpl-1.0": (("common public",), r"common\s+public\s+licen[sc]e(?:,?\s*(?:version\s*)?1\.0)?", r"cpl-1\.0"),
+    "cpl-1.0": (("common public", "cpl-"), r"common\s+public\s+licen[sc]e(?:,?\s*(?:version\s*)?1\.0)?", r"cpl-1\.0"),
     "eupl-1.2": (("european union public", "eupl"), r"(?:european\s+union\s+public\s+licen[sc]e|eupl)(?:,?\s*(?:version\s*|v\.?\s*)?1\.[12])?", r"eupl-1\.[12]"),
     "artistic-1.0": (("artistic",), r"artistic\s+licen[sc]e,?\s*(?:version\s*)?1(?:\.0)?", r"artistic-1\.0\S*"),
     "artistic-2.0": (("artistic",), r"artistic\s+licen[sc]e,?\s*(?:version\s*)?2(?:\.0)?", r"artistic-2\.0"),
     "boost-1.0": (("boost", "bsl"), r"boost\s+software\s+licen[sc]e(?:,?\s*-?\s*(?:version\s*)?1\.0)?", r"bsl-1\.0"),
-    "busl-1.1": (("business source",), r"business\s+source\s+licen[sc]e(?:\s+1\.1)?", r"busl-1\.1"),
+    "busl-1.1": (("business source", "busl-"), r"business\s+source\s+licen[sc]e(?:\s+1\.1)?", r"busl-1\.1"),
     "sspl-1.0": (("server side public", "sspl"), r"(?:server\s+side\s+public\s+licen[sc]e|sspl)", r"sspl-1\.0"),
     "elastic-2.0": (("elastic",), r"elastic\s+licen[sc]e(?:\s+2\.0)?", r"elastic-2\.0"),
     "zlib": (("zlib",), r"zlib(?:/libpng)?", r"zlib"),
     "unlicense": (("unlicense",), r"(?:the\s+)?unlicense", r"unlicense"),
     "wtfpl": (("wtfpl", "do what the"), r"(?:wtfpl|do\s+what\s+the\s+\S+\s+you\s+want\s+to\s+public\s+licen[sc]e)", r"wtfpl"),
-    "python-2.0": (("python software", "psf"), r"(?:python\s+software\s+foundation|psf)(?:\s+licen[sc]e)?(?:\s+version\s+2)?", r"(?:python|psf)-2\.0"),
+    "python-2.0": (("python", "psf"), r"(?:python\s+software\s+foundation|psf)(?:\s+licen[sc]e)?(?:\s+version\s+2)?", r"(?:python|psf)-2\.0"),
     "php-3.01": (("php",), r"php\s+licen[sc]e(?:,?\s*(?:version\s*)?3\.01?)?", r"php-3\.01?"),
     "ruby": (("ruby",), r"ruby(?:'s)?\s+licen[sc]e", r"ruby"),
     "openssl": (("openssl",), r"openssl", r"openssl"),
     "postgresql": (("postgresql",), r"postgresql", r"postgresql"),
     "ofl-1.1": (("open font", "ofl"), r"(?:sil\s+)?open\s+font\s+licen[sc]e(?:,?\s*(?:version\s*)?1\.[01])?", r"ofl-1\.[01]"),
     "ncsa": (("ncsa", "university of illinois"), r"(?:university\s+of\s+illinois/)?ncsa(?:\s+open\s+source)?", r"ncsa"),
-    "upl-1.0": (("universal permissive",), r"universal\s+permissive\s+licen[sc]e(?:\s*v?\s*1\.0)?", r"upl-1\.0"),
-    "mspl": (("microsoft public",), r"microsoft\s+public\s+licen[sc]e", r"ms-pl"),
-    "msrl": (("microsoft reciprocal",), r"microsoft\s+reciprocal\s+licen[sc]e", r"ms-rl"),
+    "upl-1.0": (("universal permissive", "upl-"), r"universal\s+permissive\s+licen[sc]e(?:\s*v?\s*1\.0)?", r"upl-1\.0"),
+    "mspl": (("microsoft public", "ms-pl"), r"microsoft\s+public\s+licen[sc]e", r"ms-pl"),
+    "msrl": (("microsoft reciprocal", "ms-rl"), r"microsoft\s+reciprocal\s+licen[sc]e", r"ms-rl"),
     "odbl-1.0": (("open database", "odbl"), r"(?:open\s+database\s+licen[sc]e|odbl)", r"odbl-1\.0"),
     "odc-by-1.0": (("open data commons", "odc-by"), r"(?:open\s+data\s+commons\s+attribution\s+licen[sc]e|odc-by)", r"odc-by-1\.0"),
-    "pddl-1.0": (("public domain dedication",), r"public\s+domain\s+dedication\s+and\s+licen[sc]e", r"pddl-1\.0"),
+    "pddl-1.0": (("public domain dedication", "pddl"), r"public\s+domain\s+dedication\s+and\s+licen[sc]e", r"pddl-1\.0"),
     "cc0-1.0": (("cc0", "creative commons zero"), r"(?:cc0|creative\s+commons\s+zero)(?:\s*1\.0)?", r"cc0-1\.0"),
-    "cc-by": (("cc by", "cc-by", "creative commons attribution"), r"(?:cc[- ]by|creative\s+commons\s+attribution)(?![- ](?:nc|sa|nd|non|share|no))(?:\s*[1-4]\.[05])?", r"cc-by-[1-4]\.[05]"),
-    "cc-by-sa": (("by-sa", "attribution-share", "attribution share"), r"(?:cc[- ]by-sa|creative\s+commons\s+attribution[- ]share-?\s?alike)(?:\s*[1-4]\.[05])?", r"cc-by-sa-[1-4]\.[05]"),
-    "cc-by-nd": (("by-nd", "attribution-no", "attribution no"), r"(?:cc[- ]by-nd|creative\s+commons\s+attribution[- ]no-?\s?deriv\w*)(?:\s*[1-4]\.[05])?", r"cc-by-nd-[1-4]\.[05]"),
-    "cc-by-nc": (("by-nc", "attribution-non", "attribution non"), r"(?:cc[- ]by-nc|creative\s+commons\s+attribution[- ]non-?\s?commercial)(?![- ](?:sa|nd|share|no))(?:\s*[1-4]\.[05])?", r"cc-by-nc-[1-4]\.[05]"),
-    "cc-by-nc-sa": (("nc-sa", "commercial-share", "commercial share"), r"(?:cc[- ]by-nc-sa|creative\s+commons\s+attribution[- ]non-?\s?commercial[- ]share-?\s?alike)(?:\s*[1-4]\.[05])?", r"cc-by-nc-sa-[1-4]\.[05]"),
-    "cc-by-nc-nd": (("nc-nd", "commercial-no", "commercial no"), r"(?:cc[- ]by-nc-nd|creative\s+commons\s+attribution[- ]non-?\s?commercial[- ]no-?\s?deriv\w*)(?:\s*[1-4]\.[05])?", r"cc-by-nc-nd-[1-4]\.[05]"),
+    "cc-by": (("cc by", "cc-by", "cc- by", "creative commons attribution"), r"(?:cc(?:-\s*|\s+)by|creative\s+commons\s+attribution)(?!(?:-\s*|\s+)(?:(?:nc|sa|nd)(?![a-z])|non-?\s*commercial|share-?\s*alike|no-?\s*deriv))(?:\s*[1-4]\.[05])?", r"cc-by-[1-4]\.[05]"),
+    "cc-by-sa": (("by-sa", "attribution"), r"(?:cc(?:-\s*|\s+)by-sa|creative\s+commons\s+attribution(?:-\s*|\s+)share-?\s*alike)(?:\s*[1-4]\.[05])?", r"cc-by-sa-[1-4]\.[05]"),
+    "cc-by-nd": (("by-nd", "attribution"), r"(?:cc(?:-\s*|\s+)by-nd|creative\s+commons\s+attribution(?:-\s*|\s+)no-?\s*deriv\w*)(?:\s*[1-4]\.[05])?", r"cc-by-nd-[1-4]\.[05]"),
+    "cc-by-nc": (("by-nc", "attribution"), r"(?:cc(?:-\s*|\s+)by-nc|creative\s+commons\s+attribution(?:-\s*|\s+)non-?\s*commercial)(?!(?:-\s*|\s+)(?:(?:sa|nd)(?![a-z])|share-?\s*alike|no-?\s*deriv))(?:\s*[1-4]\.[05])?", r"cc-by-nc-[1-4]\.[05]"),
+    "cc-by-nc-sa": (("nc-sa", "attribution"), r"(?:cc(?:-\s*|\s+)by-nc-sa|creative\s+commons\s+attribution(?:-\s*|\s+)non-?\s*commercial(?:-\s*|\s+)share-?\s*alike)(?:\s*[1-4]\.[05])?", r"cc-by-nc-sa-[1-4]\.[05]"),
+    "cc-by-nc-nd": (("nc-nd", "attribution"), r"(?:cc(?:-\s*|\s+)by-nc-nd|creative\s+commons\s+attribution(?:-\s*|\s+)non-?\s*commercial(?:-\s*|\s+)no-?\s*deriv\w*)(?:\s*[1-4]\.[05])?", r"cc-by-nc-nd-[1-4]\.[05]"),
 }
 
 #: How a family's name occurs: rule suffix, pattern around {name} or {id}, priority, confidence.
@@ -112,7 +112,7 @@ SENTENCES: tuple[Rule, ...] = (
     Rule("mit-body", "mit", r"permission\s+is\s+hereby\s+granted,\s+free\s+of\s+charge,\s+to\s+any\s+person", ("hereby granted",), 75, 0.95),
     Rule("isc-body", "isc", r"permission\s+to\s+use,\s+copy,\s+modify,\s+and(?:/or)?\s+distribute\s+this\s+software\s+for\s+any\s+purpose", ("permission to use",), 75, 0.95),
     Rule("bsd-body", "bsd", r"redistribution\s+and\s+use\s+in\s+source\s+and\s+binary\s+forms", ("redistribution and use",), 75, 0.9),
-    Rule("bsd-name", "bsd", r"(?<!\w)bsd(?:[- ]style)?\s+licen[sc]e", ("bsd",), 40, 0.7),
+    Rule("bsd-name", "bsd", r"(?<!\w)bsd(?:(?:-\s*|\s+)style)?\s+licen[sc]e", ("bsd",), 40, 0.7),
     Rule("apache-body", "apache-2.0", r"you\s+may\s+not\s+use\s+this\s+file\s+except\s+in\s+compliance\s+with\s+the\s+licen[sc]e", ("in compliance with",), 75, 0.9),
     Rule("apache-link", "apache-2.0", r"https?://(?:www\.)?apache\.org/licen[sc]es/licen[sc]e-2\.0", ("apache.org",), 85, 1.0),
     Rule("apache-name", "apache", r"(?<!\w)apache(?:\s+software)?\s+licen[sc]e", ("apache",), 40, 0.7),
@@ -143,7 +143,7 @@ SENTENCES: tuple[Rule, ...] = (
     Rule("no-warranty", "no-warranty", r"without\s+any\s+warranty;\s+without\s+even\s+the\s+implied\s+warranty", ("implied warranty",), 55, 0.8),
     Rule("confidential", "proprietary", r"(?<!\w)(?:proprietary\s+and\s+confidential|confidential\s+and\s+proprietary)", ("proprietary",), 55, 0.8),
     Rule("no-reproduction", "proprietary", r"(?<!\w)(?:may\s+not\s+be|no\s+part\s+of\s+this\s+\w+\s+may\s+be)\s+(?:reproduced|copied)", ("reproduced", "copied"), 55, 0.7),
-    Rule("non-commercial", "non-commercial", r"(?<!\w)for\s+(?:non-?\s?commercial|personal|educational)\s+use\s+only", ("use only",), 45, 0.6),
+    Rule("non-commercial", "non-commercial", r"(?<!\w)for\s+(?:non-?\s*commercial|personal|educational)\s+use\s+only", ("use only",), 45, 0.6),
 )
 
 
@@ -186,12 +186,13 @@ class Scanner:
         word, gap = rb"[0-9a-z\x80-\xff]", rb"[^0-9a-z\x80-\xff]+"
         self.base = [(max(phrase.split(), key=len).encode(), re.compile(rb"(?<!" + word + rb")(?=" + gap.join(map(re.escape, phrase.encode().split())) + rb"(?!" + word + rb"))"), label) for phrase, label in base]
 
+    def opened(self, lowered: str) -> list[int]:
+        """Places of the rules to try; keywords of several words stand apart by one space, while patterns take any white space."""
+        return sorted(set().union(*(indices for _, indices in self.gate.iter(" ".join(lowered.split())))))
+
     def detections(self, lowered: str) -> list[tuple[str, str, int, int, float]]:
         """(label, rule, start, end, confidence) of the detections that no other contains, by start."""
-        opened = set()
-        for _, indices in self.gate.iter(lowered):
-            opened |= indices
-        found = [(rule, m.start(), m.end()) for i in sorted(opened) for rule, pattern in [self.rules[i]] for m in pattern.finditer(lowered) if m.end() > m.start()]
+        found = [(rule, m.start(), m.end()) for i in self.opened(lowered) for rule, pattern in [self.rules[i]] for m in pattern.finditer(lowered) if m.end() > m.start()]
         found.sort(key=lambda x: (-x[0].priority, x[1] - x[2], x[1], x[0].name))
         kept: list[tuple[Rule, int, int]] = []
         for rule, start, end in found:

@@ -132,6 +132,55 @@ def test_licenses(spark, documents):
     assert 200 <= len(licenses.standard_rules()) and licenses.scan_licenses(documents([])).count() == 0
 
 
+def spelled(tokens, choose):
+    """One text of a parsed pattern; choose(n) picks among n alternatives."""
+    out = ""
+    for kind, value in tokens:
+        kind = str(kind)
+        if kind == "LITERAL":
+            out += chr(value)
+        elif kind == "IN":
+            kind, first = value[choose(len(value))]
+            out += {"LITERAL": lambda: chr(first), "RANGE": lambda: chr(first[0]), "CATEGORY": lambda: " " if "SPACE" in str(first) and "NOT" not in str(first) else "1" if "DIGIT" in str(first) else "x"}[str(kind)]()
+        elif kind == "BRANCH":
+            out += spelled(value[1][choose(len(value[1]))], choose)
+        elif kind == "SUBPATTERN":
+            out += spelled(value[3], choose)
+        elif kind == "MAX_REPEAT":
+            low, high, inner = value
+            out += spelled(inner, choose) * (choose(2) if low == 0 else low)
+        else:
+            assert kind.startswith("ASSERT"), kind
+    return out
+
+
+def test_gates_open_for_all_that_rules_match():
+    draw = random.Random(4)
+    rules = licenses.standard_rules()
+    own = licenses.Scanner(rules, ())
+    for i, rule in enumerate(rules):
+        seen = 0
+        for _ in range(60):
+            text = spelled(re._parser.parse(rule.pattern), draw.randrange)
+            spaces = [m.start() for m in re.finditer(" ", text)]
+            for at in [None, *spaces]:
+                wrapped = text if at is None else f"{text[:at]}\n  {text[at + 1 :]}"
+                if re.search(rule.pattern, text):
+                    seen += 1
+                    assert re.search(rule.pattern, wrapped) and i in own.opened(wrapped), (rule.name, wrapped)
+        assert seen, rule.name
+
+
+def test_wrapped_licenses():
+    own = licenses.Scanner(licenses.standard_rules(), ())
+    labels = lambda text: {label for label, *_ in own.detections(text.lower())}
+    assert labels("GNU General\nPublic License, version 3") == {"gpl-3.0"}
+    assert labels("Permission is hereby\n granted, free of charge, to any person") == {"mit"}
+    assert labels("Creative Commons Attribution\nShareAlike 4.0") == {"cc-by-sa"} and labels("CC BY no rights") == {"cc-by"}
+    for name, label in {"BUSL-1.1": "busl-1.1", "UPL-1.0": "upl-1.0", "CPL-1.0": "cpl-1.0", "MS-PL": "mspl", "MS-RL": "msrl", "PDDL-1.0": "pddl-1.0", "Python-2.0": "python-2.0"}.items():
+        assert labels(f"License: {name}") == {label}
+
+
 def test_contained_detections_give_way():
     rules = (licenses.Rule("wide", "a", "one two three", ("one",), 5, 1.0), licenses.Rule("inner", "b", "two", ("two",), 5, 1.0), licenses.Rule("strong", "c", "three", ("three",), 9, 1.0), licenses.Rule("shut", "d", "one", ("absent",), 9, 1.0))
     found = licenses.Scanner(rules, licenses.BASE_PHRASES).detections("one two three two")
