@@ -7,8 +7,10 @@ the mention of a group weighs more than either alone.
 
 The machine is fitted on a bounded sample of labelled rows (`sample_rows` in expectation, chosen
 by a hash of the id; its size is a parameter and doesn't follow the data). The sampled ids are
-broadcast, so texts never leave their split. Of the sample's terms, those most associated with
-the label take part, `max_terms` at most. Scoring is one pass over all rows.
+broadcast, so texts never leave their split. All of the sample's terms take part, in a fixed
+number of buckets; none is tested by itself, as a pair may count whose parts don't. Rare terms
+are damped and weak ones fall to zero by the penalty of the joint fit. Scoring is one pass over
+all rows.
 """
 
 from __future__ import annotations
@@ -25,17 +27,17 @@ from ledgerloom.llm.quality import labelled_sample
 from ledgerloom.llm.tables import fold, table
 from ledgerloom.llm.text import byte_class, chunks, runs, span_hashes, utf8
 
-SAMPLE_ROWS, MAX_TERMS, FACTORS = 30_000, 400, 8
+SAMPLE_ROWS, FACTORS = 30_000, 8
 #: Buckets of hashed terms, as a power of two; and bytes of a word's head.
-_BITS, _HEAD = 30, 5
-#: Association with the label, in standard deviations, that a term needs to take part.
-_LEAST_Z = 4.0
+_BITS, _HEAD = 20, 5
+#: Rows of a training batch; occurrences at which a term counts half; penalties of weights and factors, over the root of the sample's size.
+_BATCH, _HALF, _PENALTIES = 1024, 20, (0.17, 0.056)
 _SEPARATORS = bytes(b for b in range(0x80) if not (0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A))
 
 
 @dataclass
 class ToxicityModel:
-    """Sorted buckets of the terms that take part, with their weights and factors, and the bias."""
+    """Sorted buckets of the terms that count, with their weights and factors, and the bias."""
 
     buckets: np.ndarray
     weights: np.ndarray
@@ -66,58 +68,65 @@ def term_buckets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
             yield first + i, np.concatenate([whole[before[i] : before[i + 1]], heads[head_before[i] : head_before[i + 1]]]).astype(np.int64)
 
 
-def select_terms(features: list[np.ndarray], labels: np.ndarray, max_terms: int) -> np.ndarray:
-    """Buckets most associated with the label by a two-proportion z-test, sorted."""
-    if not features:
-        return np.zeros(0, np.int64)
-    seen, counts = np.unique(np.concatenate(features), return_counts=True)
-    frequent = seen[counts >= 3]
-    hits = np.zeros((2, len(frequent)))
-    for found, label in zip(features, labels):
-        at = np.searchsorted(frequent, found)
-        at = at[(at < len(frequent)) & (frequent[np.minimum(at, len(frequent) - 1)] == found)] if len(frequent) else at[:0]
-        hits[label, at] += 1
-    n = np.maximum(np.bincount(labels, minlength=2)[:2].astype(float), 1)
-    pooled = (hits.sum(0) + 0.5) / (n.sum() + 1)
-    z = (hits[1] / n[1] - hits[0] / n[0]) / np.sqrt(pooled * (1 - pooled) * (1 / n).sum())
-    order = np.lexsort((frequent, -abs(z)))[:max_terms]
-    return np.sort(frequent[order[abs(z[order]) >= _LEAST_Z]])
-
-
-def train_machine(features: list[np.ndarray], labels: np.ndarray, max_terms: int, factors: int, steps: int = 600) -> ToxicityModel:
-    """Fit by full-batch Adam on distinct term buckets per row; with one class, the constant that the labels give."""
+def _batch(places: np.ndarray, ends: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Entries of a batch ordered by term: row of each, first entry and column of each term, and its column's number of entries."""
+    at = np.concatenate([places[ends[r] : ends[r + 1]] for r in rows])
+    order = np.argsort(at, kind="stable")
+    row, at = np.repeat(np.arange(len(rows), dtype=np.int32), np.diff(ends)[rows])[order], at[order]
+    first = np.flatnonzero(np.diff(at, prepend=-1))
+    return row, first, at[first], np.diff(np.append(first, len(at)))
+
+
+def train_machine(features: list[np.ndarray], labels: np.ndarray, factors: int, steps: int = 400) -> ToxicityModel:
+    """Fit by proximal Adam in batches on the distinct term buckets of each row; with one class, the constant that the labels give."""
     share = (labels.sum() + 1) / (len(labels) + 2)
     bias = float(np.log(share / (1 - share)))
     empty = ToxicityModel(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, factors)), bias)
-    buckets = select_terms(features, labels, max_terms) if len(set(labels.tolist())) == 2 else empty.buckets
-    if not len(buckets):
+    ends = np.cumsum([0, *map(len, features)])
+    if len(set(labels.tolist())) < 2 or not ends[-1]:
         return empty
-    x = np.zeros((len(features), len(buckets)), np.float32)
-    for i, found in enumerate(features):
-        at = np.searchsorted(buckets, found)
-        at = at[at < len(buckets)]
-        x[i, at[np.isin(buckets[at], found)]] = 1
-    rows, index, copies = np.unique(np.column_stack([x, labels]).astype(np.uint8), axis=0, return_index=True, return_counts=True)
-    x, y, mass = x[index], labels[index].astype(np.float32), (copies / len(features)).astype(np.float32)
+    buckets, places = np.unique(np.concatenate(features), return_inverse=True)
+    counts = np.bincount(places)
+    damped, places = (counts / (counts + _HALF)).astype(np.float32), places.astype(np.int32)
     draw = np.random.default_rng(0)
-    state = [np.zeros(len(buckets), np.float32), draw.normal(0, 0.05, (len(buckets), factors)).astype(np.float32), np.array([bias], np.float32)]
+    parts = np.array_split(draw.permutation(len(features)), -(-len(features) // _BATCH))
+    batches = [(*_batch(places, ends, rows), labels[rows].astype(np.float32)) for rows in parts]
+    del places
+    state = [np.zeros(len(buckets), np.float32), draw.normal(0, 0.02, (len(buckets), factors)).astype(np.float32), np.array([bias], np.float32)]
     first, second = [np.zeros_like(s) for s in state], [np.zeros_like(s) for s in state]
-    decay = (1e-6, 1e-5, 0.0)
+    penalties, decay, dealt = [p / np.sqrt(len(features)) for p in _PENALTIES] + [0.0], (1e-5, 1e-4, 0.0), []
+    settled = steps * 5 // 8
     for step in range(1, steps + 1):
-        w, v, b = state
-        total = x @ v
-        value = b + x @ w + 0.5 * ((total * total).sum(1) - x @ (v * v).sum(1))
-        error = mass * (1 / (1 + np.exp(-np.clip(value, -30, 30))) - y)
-        slopes = [x.T @ error, x.T @ (error[:, None] * total) - (x.T @ error)[:, None] * v, error.sum(keepdims=True)]
+        dealt = dealt or draw.permutation(len(batches)).tolist()
+        row, starts, columns, sizes, y = batches[dealt.pop()]
+        scale, n = damped[columns], len(y)
+        w, v = state[0][columns] * scale, state[1][columns] * scale[:, None]
+        entries = np.repeat(v, sizes, axis=0)
+        total = np.stack([np.bincount(row, entries[:, f], n) for f in range(factors)], 1).astype(np.float32)
+        value = state[2] + np.bincount(row, np.repeat(w - 0.5 * (v * v).sum(1), sizes), n) + 0.5 * (total * total).sum(1)
+        error = ((1 / (1 + np.exp(-np.clip(value, -30, 30))) - y) / n).astype(np.float32)
+        slopes = [d * s for d, s in zip(decay, state)]
+        slope = np.add.reduceat(error[row], starts)
+        slopes[0][columns] += slope * scale
+        slopes[1][columns] += (np.add.reduceat((error[:, None] * total)[row], starts, axis=0) - slope[:, None] * v) * scale[:, None]
+        slopes[2] += error.sum()
+        rate = 0.05 * min(1, 2 * (1 - step / (steps + 1)))
         for k in range(3):
-            slope = slopes[k] + decay[k] * state[k]
-            first[k] = 0.9 * first[k] + 0.1 * slope
-            second[k] = 0.999 * second[k] + 0.001 * slope * slope
-            state[k] = state[k] - 0.05 * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-    return ToxicityModel(buckets, state[0].astype(float), state[1].astype(float), float(state[2][0]))
-
-
-def fit_toxicity(docs: DataFrame, sample: DataFrame, max_terms: int = MAX_TERMS, factors: int = FACTORS) -> ToxicityModel:
+            first[k] += 0.1 * (slopes[k] - first[k])
+            second[k] += 0.001 * (slopes[k] * slopes[k] - second[k])
+            pace = rate / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-3)
+            moved = state[k] - pace * (first[k] / (1 - 0.9**step))
+            if step > settled:  # what the penalty left is fitted without it
+                state[k] = np.where(state[k] != 0, moved, 0).astype(np.float32)
+                continue
+            least = pace * penalties[k] * min(1, 2 * step / steps)
+            state[k] = (np.sign(moved) * np.maximum(abs(moved) - least, 0)).astype(np.float32)
+    counted = (state[0] != 0) | (state[1] != 0).any(1)  # the others add exactly nothing
+    scale = damped[counted]
+    return ToxicityModel(buckets[counted], (state[0][counted] * scale).astype(float), (state[1][counted] * scale[:, None]).astype(float), float(state[2][0]))
+
+
+def fit_toxicity(docs: DataFrame, sample: DataFrame, factors: int = FACTORS) -> ToxicityModel:
     """Fit on docs (doc_id, text) that sample (doc_id, label) names; sample must be of bounded size."""
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,18 +141,20 @@ def fit_toxicity(docs: DataFrame, sample: DataFrame, max_terms: int = MAX_TERMS,
         for batch in batches:
             offsets, values = batch.column(0).offsets.to_numpy(), batch.column(0).values.to_numpy()
             rows += [(doc_id, label, values[offsets[i] : offsets[i + 1]].copy()) for i, (label, doc_id) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()))]
+        if not rows:
+            return
         rows.sort(key=lambda x: x[:2])
-        model = train_machine([x[2] for x in rows], np.array([x[1] for x in rows], np.int64), max_terms, factors)
-        numbers = [[model.bias], *np.column_stack([model.weights, model.factors]).tolist()]
-        yield pa.RecordBatch.from_arrays([pa.array([-1, *model.buckets.tolist()], pa.int64()), pa.array(numbers, pa.list_(pa.float64()))], ["bucket", "numbers"])
+        model = train_machine([x[2] for x in rows], np.array([x[1] for x in rows], np.int64), factors)
+        numbers = np.column_stack([model.weights, model.factors])
+        yield pa.RecordBatch.from_arrays([pa.array([model.bias]), pa.array([model.buckets.tobytes()]), pa.array([numbers.tobytes()])], ["bias", "buckets", "numbers"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("text", "label", "doc_id")
     features = rows.mapInArrow(extract, "terms array<long>, label int, doc_id long").repartition(1)
-    fitted = sorted(tuple(r) for r in features.mapInArrow(fit, "bucket long, numbers array<double>").collect())  # max_terms + 1 rows
+    fitted = features.mapInArrow(fit, "bias double, buckets binary, numbers binary").first()  # one row, of a bounded number of buckets
     if not fitted:
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, factors)), 0.0)
-    own = np.array([numbers for _, numbers in fitted[1:]]).reshape(-1, factors + 1)
-    return ToxicityModel(np.array([b for b, _ in fitted[1:]], np.int64), own[:, 0], own[:, 1:], fitted[0][1][0])
+    own = np.frombuffer(fitted.numbers, float).reshape(-1, factors + 1)
+    return ToxicityModel(np.frombuffer(fitted.buckets, np.int64), own[:, 0], own[:, 1:], fitted.bias)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:

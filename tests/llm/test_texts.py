@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -181,6 +182,20 @@ def test_wrapped_licenses():
         assert labels(f"License: {name}") == {label}
 
 
+def test_toxicity_learns_pairs_of_neutral_terms(prose):
+    """Toxic where both or neither of two terms stand, each equally common in toxic and clean texts."""
+    draw = random.Random(2)
+    features, label = [], []
+    for _ in range(1500):
+        a, b = draw.random() < 0.5, draw.random() < 0.5
+        text = f"{'grumpf' if a else 'blossom'} {prose(draw.randint(10, 50))} {'zorbians' if b else 'gardens'}"
+        features += [np.unique(found) for _, found in toxicity.term_buckets(pa.array([text]))]
+        label.append(int(a == b))
+    model = toxicity.train_machine(features[:1000], np.array(label[:1000]), toxicity.FACTORS)
+    predicted = [model.score(np.flatnonzero(np.isin(model.buckets, found))) >= 0.5 for found in features[1000:]]
+    assert np.mean(np.array(predicted) == label[1000:]) >= 0.95
+
+
 def test_contained_detections_give_way():
     rules = (licenses.Rule("wide", "a", "one two three", ("one",), 5, 1.0), licenses.Rule("inner", "b", "two", ("two",), 5, 1.0), licenses.Rule("strong", "c", "three", ("three",), 9, 1.0), licenses.Rule("shut", "d", "one", ("absent",), 9, 1.0))
     found = licenses.Scanner(rules, licenses.BASE_PHRASES).detections("one two three two")
