@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.decontamination import find_contamination
+from ledgerloom.llm.decontamination import CONTAMINATED_RATE, LEAST_EDITS, find_contamination
 from ledgerloom.llm.near_duplicates import jaccard_join
 from ledgerloom.llm.packing import pack_documents
 from ledgerloom.llm.substrings import deduplicate_substrings
@@ -49,7 +49,7 @@ def remove_repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    hits = find_contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    hits = find_contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"), CONTAMINATED_RATE, least_edits=LEAST_EDITS)
     return docs.join(hits.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
 
 

@@ -2,9 +2,11 @@
 
 Texts and items are normalised: A-Z and Latin-1 capitals lower-cased, every run of other ASCII
 characters than letters and digits one space. An item of m bytes may differ from a passage by
-k = floor(error_rate * m) edits. Split into k + 1 pieces, one of them must then occur
-unchanged, so one automaton over all pieces finds every place worth a look, and Myers'
-bit-parallel distance decides there. Distances are edits of normalised UTF-8 bytes.
+k = floor(error_rate * m) edits, or by a few if it is short. It is split into k + 1 pieces, two
+by two: if k edits are spent, some pair has one at most (or the odd piece none), so one piece of
+it occurs unchanged and the other within an edit. One automaton over all pieces finds the
+places, the neighbour is looked at there, and Myers' bit-parallel distance decides. Distances
+are edits of normalised UTF-8 bytes.
 
 Items are a query set: they go to the tasks in blocks of at most `block_bytes`, and each block
 is one scan of the documents, without a shuffle. Documents are read whole and never collected.
@@ -27,6 +29,8 @@ from ledgerloom.llm.tables import table
 from ledgerloom.llm.text import chunks, utf8
 
 ERROR_RATE, BLOCK_BYTES = 0.05, 8 << 20
+#: What counts as contamination in the query and the pipeline: a rate of edits, and edits that shorter items may have (one in 8 bytes at most).
+CONTAMINATED_RATE, LEAST_EDITS = 0.1, 3
 SCHEMA = "doc_id long, item_id long, distance int, start long, end long"
 _SPACE = 0x20
 _PLAIN = np.array([b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else _SPACE for b in range(256)], np.uint8)
@@ -52,10 +56,33 @@ def normalised_text(text: str) -> bytes:
     return normalised(data, np.array([0, len(data)]))[0].tobytes().rstrip()
 
 
-def pieces(item: bytes, budget: int) -> list[tuple[int, bytes]]:
-    """(offset, piece) of `budget` + 1 pieces of nearly equal length."""
-    cuts = [len(item) * i // (budget + 1) for i in range(budget + 2)]
-    return [(a, item[a:b]) for a, b in zip(cuts, cuts[1:])]
+def edit_budget(length: int, error_rate: float, least_edits: int = 0) -> int:
+    """Edits that an item of `length` bytes may be away."""
+    return max(math.floor(error_rate * length), min(least_edits, length // 8))
+
+
+def pieces(item: bytes, budget: int) -> list[tuple[int, bytes, bool, bytes | None]]:
+    """(offset, piece, whether its neighbour follows, neighbour) of `budget` + 1 pieces; the last of an odd number is longer and has none."""
+    paired = (budget + 1) // 2 * 2
+    weights = [0] + [2] * paired + [3] * (budget + 1 - paired)
+    total, cuts = sum(weights), np.cumsum(weights).tolist()
+    cuts = [len(item) * c // total for c in cuts]
+    parts = [item[a:b] for a, b in zip(cuts, cuts[1:])]
+    return [(cuts[i], part, i % 2 == 0, parts[i ^ 1] if i < paired else None) for i, part in enumerate(parts)]
+
+
+def beside(text: bytes, start: int, end: int, follows: bool, neighbour: bytes) -> bool:
+    """False only if `neighbour` isn't within one edit next to text[start:end]: one of its halves is there unchanged."""
+    half = len(neighbour) // 2
+    if follows:
+        at = end
+        near = text.startswith(neighbour[:half], at)
+        far, to = neighbour[half:], at + half
+    else:
+        at = start - len(neighbour)
+        near = at + half >= 0 and text.startswith(neighbour[half:], at + half)
+        far, to = neighbour[:half], at
+    return near or any(to + s >= 0 and text.startswith(far, to + s) for s in (-1, 0, 1))
 
 
 def myers(pattern: bytes, text: bytes, budget: int) -> tuple[int, int] | None:
@@ -88,7 +115,7 @@ def myers(pattern: bytes, text: bytes, budget: int) -> tuple[int, int] | None:
 class Item:
     """A benchmark item: id, normalised bytes, and how many edits it may be away."""
 
-    item_id: int
+    item_id: int | None
     text: bytes
     budget: int
 
@@ -100,10 +127,10 @@ class Matcher:
         import ahocorasick
 
         self.items = items
-        places: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
+        places: dict[bytes, list[tuple[int, int, bool, bytes | None]]] = defaultdict(list)
         for i, item in enumerate(items):
-            for offset, piece in pieces(item.text, item.budget):
-                places[piece].append((i, offset))
+            for offset, piece, follows, neighbour in pieces(item.text, item.budget):
+                places[piece].append((i, offset, follows, neighbour))
         self.automaton = ahocorasick.Automaton()
         for piece, found in places.items():
             self.automaton.add_word(piece.decode("latin-1"), (len(piece), found))
@@ -116,9 +143,11 @@ class Matcher:
             return
         starts: dict[int, set[int]] = defaultdict(set)
         for end, (length, found) in self.automaton.iter(text.decode("latin-1")):
-            for i, offset in found:
-                starts[i].add(end + 1 - length - offset)
-        for i, found in sorted(starts.items()):
+            begin = end + 1 - length
+            for i, offset, follows, neighbour in found:
+                if begin - offset not in starts[i] and (neighbour is None or beside(text, begin, end + 1, follows, neighbour)):
+                    starts[i].add(begin - offset)
+        for i, found in sorted(x for x in starts.items() if x[1]):
             item, best = self.items[i], None
             for low, high in _merged(sorted(found), item.budget):
                 begin = max(0, low - item.budget)
@@ -152,18 +181,18 @@ def _merged(starts: list[int], slack: int) -> Iterator[tuple[int, int]]:
     yield low, high
 
 
-def _blocks(items: DataFrame, error_rate: float, block_bytes: int) -> Iterator[list[Item]]:
+def _blocks(items: DataFrame, error_rate: float, block_bytes: int, least_edits: int) -> Iterator[list[Item]]:
     """Items in blocks of about `block_bytes` bytes, each collected by itself."""
-    named = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
+    named = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
     total = named.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     count = max(1, math.ceil(total / block_bytes))
     for block in range(count):
         rows = named.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == block).collect()
-        texts = sorted({(r.item_id, normalised_text(r.text)) for r in rows})
-        yield [Item(i, t, math.floor(error_rate * len(t))) for i, t in texts if t]
+        texts = sorted({(r.item_id, normalised_text(r.text)) for r in rows}, key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+        yield [Item(i, t, edit_budget(len(t), error_rate, least_edits)) for i, t in texts if t]
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_contamination(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES, least_edits: int = 0) -> DataFrame:
     """doc_id, item_id, distance, start, end: the nearest passage of each item that a document holds.
 
     docs: needs doc_id and text; items: item_id and text; other columns are ignored. start and
@@ -193,9 +222,9 @@ def find_contamination(docs: DataFrame, items: DataFrame, error_rate: float = ER
 
         return rows.mapInArrow(matched, SCHEMA)
 
-    return reduce(DataFrame.unionByName, map(scan, _blocks(items, error_rate, block_bytes)))
+    return reduce(DataFrame.unionByName, map(scan, _blocks(items, error_rate, block_bytes, least_edits)))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark item, with the item, the distance and the place."""
-    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), CONTAMINATED_RATE, least_edits=LEAST_EDITS)

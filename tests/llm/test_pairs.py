@@ -202,3 +202,28 @@ def test_decontamination(spark, documents, prose):
     assert len(expected) > 25
     assert decontamination.find_contamination(documents([]), benchmark).count() == 0
     assert decontamination.find_contamination(documents(rows), benchmark.limit(0)).count() == 0
+
+
+def test_edited_items_are_found(spark, documents, prose):
+    """At the rate of the query: no item within its budget is missed, short ones included."""
+    draw = random.Random(12)
+    items = [(i, prose(n)) for i, n in enumerate((3, 4, 6, 14, 14, 25, 40))] + [(None, prose(14))]
+    rows = []
+    for _, text in items:
+        for n in (1, 2, 3, 5, 8, 12):
+            chars = list(text)
+            for _ in range(n):
+                at = draw.randrange(len(chars))
+                chars[at] = draw.choice(["", "é", "q", chars[at] + "z"])
+            rows.append(f"{prose(5)} {''.join(chars)} {prose(5)}")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    expected = set()
+    for i, item in items:
+        wanted = decontamination.normalised_text(item)
+        budget = decontamination.edit_budget(len(wanted), decontamination.CONTAMINATED_RATE, decontamination.LEAST_EDITS)
+        assert budget >= max(len(wanted) // 10, min(3, len(wanted) // 8))
+        for d, text in enumerate(rows):
+            if (best := brute_distance(wanted, decontamination.normalised_text(text) + b" "))[0] <= budget:
+                expected.add((d, i, best[0]))
+    found = decontamination.find_contamination(documents(rows), benchmark, decontamination.CONTAMINATED_RATE, least_edits=decontamination.LEAST_EDITS).collect()
+    assert {(r.doc_id, r.item_id, r.distance) for r in found} == expected and len(expected) > 25
