@@ -14,12 +14,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.decontamination import CONTAMINATED_RATE, LEAST_EDITS, find_contamination
+from ledgerloom.llm.decontamination import CONTAMINATED_RATE, LEAST_EDITS, without_contamination
 from ledgerloom.llm.near_duplicates import jaccard_join
 from ledgerloom.llm.packing import pack_documents
 from ledgerloom.llm.substrings import deduplicate_substrings
 from ledgerloom.llm.tables import shared_folder, table
 from ledgerloom.llm.toxicity import fitted_on_labels, score_toxicity
+from ledgerloom.operators.ingest import content_numbered
+from ledgerloom.session import checkpointed
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -31,11 +33,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, that with the least doc_id; rows without an id stay."""
-    classes = jaccard_join(docs.select("doc_id", "text"))
-    kept = classes.where("class_id = doc_id").select("doc_id").distinct()
-    with_id = docs.dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi")
-    return with_id.unionByName(docs.where(F.col("doc_id").isNull())).select(*COLUMNS)
+    """One document of each class of near duplicates, that with the least doc_id; rows without an id stay, rows that share one count each for itself."""
+    keyed = content_numbered(docs.where(F.col("doc_id").isNotNull()).select(*COLUMNS), list(COLUMNS))  # keys in order of doc_id
+    keyed = checkpointed(keyed)
+    classes = jaccard_join(keyed.select(F.col("source_row_no").alias("doc_id"), "text"))
+    kept = classes.where("class_id = doc_id").select(F.col("doc_id").alias("source_row_no"))
+    with_id = keyed.join(kept, "source_row_no", "left_semi").select(*COLUMNS)
+    return with_id.unionByName(docs.where(F.col("doc_id").isNull()).select(*COLUMNS))
 
 
 def remove_repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,8 +53,7 @@ def remove_repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    hits = find_contamination(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"), CONTAMINATED_RATE, least_edits=LEAST_EDITS)
-    return docs.join(hits.select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    return without_contamination(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"), CONTAMINATED_RATE, least_edits=LEAST_EDITS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

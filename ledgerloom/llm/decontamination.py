@@ -225,6 +225,27 @@ def find_contamination(docs: DataFrame, items: DataFrame, error_rate: float = ER
     return reduce(DataFrame.unionByName, map(scan, _blocks(items, error_rate, block_bytes, least_edits)))
 
 
+def without_contamination(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, block_bytes: int = BLOCK_BYTES, least_edits: int = 0) -> DataFrame:
+    """The rows of docs (text, any other columns) that hold no item: each is judged by its own text, whatever its id."""
+
+    def scan(rows: DataFrame, block: list[Item]) -> DataFrame:
+        place = rows.columns.index("text")
+
+        def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            matcher = Matcher(block)
+            for batch in batches:
+                stays = []
+                data, offsets = utf8(batch.column(place))
+                for first, end in chunks(offsets):
+                    text, at, _ = normalised(data[offsets[first] : offsets[end]], offsets[first : end + 1] - offsets[first])
+                    stays += [next(matcher.matches(text[at[i] : at[i + 1]].tobytes()), None) is None for i in range(end - first)]
+                yield batch.filter(pa.array(stays, pa.bool_()))
+
+        return rows.mapInArrow(clean, rows.schema)
+
+    return reduce(scan, _blocks(items, error_rate, block_bytes, least_edits), docs)
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark item, with the item, the distance and the place."""
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), CONTAMINATED_RATE, least_edits=LEAST_EDITS)

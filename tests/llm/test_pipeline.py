@@ -56,6 +56,18 @@ def test_contaminated_documents_go(spark, prose):
     assert sorted(r.doc_id for r in STAGE["benchmark_decontamination"](spark, docs, DATA).collect()) == [0, 2]
 
 
+def test_null_and_shared_ids(spark, prose):
+    """Each row is judged by its own text: shared ids lose no clean text, null ids hide no benchmark item."""
+    item = table(spark, DATA, "benchmark").first()
+    clean, other, dirty = prose(60), prose(60), f"{prose(9)} {item.text} {prose(9)}"
+    rows = [(1, clean), (1, other), (2, clean), (2, dirty), (None, dirty), (None, other)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+    named = docs.where("doc_id is not null")
+    assert sorted((r.doc_id, r.text) for r in STAGE["ngram_jaccard_join"](spark, named, DATA).collect()) == sorted([(1, clean), (1, other), (2, dirty)])
+    stays = {(r.doc_id, r.text) for r in STAGE["benchmark_decontamination"](spark, docs, DATA).collect()}
+    assert stays == {(1, clean), (1, other), (2, clean), (None, other)}
+
+
 @pytest.fixture(scope="module")
 def packed(spark):
     return corpus_pipeline.run(spark, DATA).persist()
