@@ -67,10 +67,14 @@ def keyed(transactions: DataFrame) -> DataFrame:
     return transactions.withColumns({"minor": money.minor_units(F.col("amount")), "party": key(F.col("counterparty")), "ref": key(F.col("reference"))})
 
 
-def exact_duplicates(transactions: DataFrame) -> DataFrame:
-    """Groups of two or more of equal amount (not 0), counterparty and reference: minor, party, ref, n, first_row, ids."""
+def exact_duplicates(transactions: DataFrame, with_ids: bool = True) -> DataFrame:
+    """Groups of two or more of equal amount (not 0), counterparty and reference: minor, party, ref, n, first_row, ids.
+
+    ids holds a whole group in one row; without with_ids only its first, so that a group may be of any size.
+    """
     groups = keyed(transactions).where("minor <> 0").groupBy("minor", "party", "ref")
-    members = F.array_sort(F.collect_list(F.struct("row_no", "id")))
+    member = F.struct("row_no", "id")
+    members = F.array_sort(F.collect_list(member)) if with_ids else F.array(F.min(member))
     return groups.agg(F.count("*").alias("n"), members.alias("members")).where("n >= 2").select("minor", "party", "ref", "n", F.col("members")[0]["row_no"].alias("first_row"), F.col("members.id").alias("ids"))
 
 
@@ -123,13 +127,13 @@ def _single(rows: DataFrame, code: str, severity: Column, score: Column) -> Data
     return rows.select(F.lit(code).alias("code"), severity.alias("severity"), score.cast("int").alias("score"), F.array("id").alias("ids"), F.col("row_no").alias("seq"))
 
 
-def audit_findings(transactions: DataFrame, vat_rate: float = VAT_RATE, zone: str = ZONE, analyzers: tuple[str, ...] = ("benford", "duplicates", "off_hours", "vat")) -> DataFrame:
-    """Findings of the chosen analyzers: code, severity, score, ids, analyzer, seq, seq2."""
+def audit_findings(transactions: DataFrame, vat_rate: float = VAT_RATE, zone: str = ZONE, analyzers: tuple[str, ...] = ("benford", "duplicates", "off_hours", "vat"), with_ids: bool = True) -> DataFrame:
+    """Findings of the chosen analyzers: code, severity, score, ids (of exact duplicates only the first, without with_ids), n_ids, analyzer, seq."""
     parts = []
     if "benford" in analyzers:
         parts.append((0, benford_findings(transactions)))
     if "duplicates" in analyzers:
-        exact = exact_duplicates(transactions).select(F.lit("DUPLICATE").alias("code"), F.lit("HIGH").alias("severity"), F.lit(85).alias("score"), "ids", F.col("first_row").alias("seq"))
+        exact = exact_duplicates(transactions, with_ids).select(F.lit("DUPLICATE").alias("code"), F.lit("HIGH").alias("severity"), F.lit(85).alias("score"), "ids", F.col("first_row").alias("seq"), F.col("n").cast("int").alias("n_ids"))
         near = near_duplicates(transactions).select(F.lit("NEAR_DUPLICATE").alias("code"), F.lit("MEDIUM").alias("severity"), F.lit(65).alias("score"), F.array("first_id", "second_id").alias("ids"), F.col("first_row").alias("seq"))
         parts += [(1, exact), (2, near)]
     if "off_hours" in analyzers:
@@ -137,13 +141,13 @@ def audit_findings(transactions: DataFrame, vat_rate: float = VAT_RATE, zone: st
         parts.append((4, _single(off_hours_postings(transactions, zone), "OFF_HOURS", F.lit("MEDIUM"), F.lit(55))))
     if "vat" in analyzers:
         parts.append((5, _single(vat_discrepancies(transactions, vat_rate), "VAT_DISCREPANCY", F.col("severity"), F.col("score"))))
-    marked = [found.withColumn("analyzer", F.lit(number)) for number, found in parts]
+    marked = [found.withColumns({"analyzer": F.lit(number), "n_ids": F.col("n_ids") if "n_ids" in found.columns else F.size("ids")}) for number, found in parts]
     out = marked[0]
     for other in marked[1:]:
         out = out.unionByName(other)
     return out
 
 
-def audit_engine(transactions: DataFrame, vat_rate: float = VAT_RATE, zone: str = ZONE) -> DataFrame:
+def audit_engine(transactions: DataFrame, vat_rate: float = VAT_RATE, zone: str = ZONE, with_ids: bool = True) -> DataFrame:
     """All findings, ranked: score, then severity, then the analyzers' order, then input order."""
-    return audit_findings(transactions, vat_rate, zone).orderBy(F.desc("score"), F.desc(severity_rank(F.col("severity"))), "analyzer", "seq", "ids")
+    return audit_findings(transactions, vat_rate, zone, with_ids=with_ids).orderBy(F.desc("score"), F.desc(severity_rank(F.col("severity"))), "analyzer", "seq", "ids")

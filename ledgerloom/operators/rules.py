@@ -129,8 +129,9 @@ def _group_keys(fields: list[str]) -> dict[str, Column]:
 
 
 def grouped(transactions: DataFrame, rule: Rule, with_ids: bool = True) -> DataFrame:
-    """Groups that break an aggregate rule: key columns, n, total (minor units), first_row, ids.
+    """Groups that break an aggregate rule: key columns, n, total (minor units), first_row, first_id, and ids if asked for.
 
+    ids holds a whole group in one row; without it a group of any size is a few numbers.
     With windowDays, only rows within that many days of the group's first count.
     """
     d = rule.definition
@@ -139,7 +140,7 @@ def grouped(transactions: DataFrame, rule: Rule, with_ids: bool = True) -> DataF
     if d.get("windowDays") is not None:
         at = F.unix_micros("posted_at")
         rows = rows.withColumn("since", at - F.min(at).over(Window.partitionBy(*keys))).where(F.col("since") <= int(d["windowDays"] * 86_400_000_000))
-    measured = [F.count("*").alias("n"), F.sum("minor").alias("total"), F.min("row_no").alias("first_row")]
+    measured = [F.count("*").alias("n"), F.sum("minor").alias("total"), F.min("row_no").alias("first_row"), F.min(F.struct("row_no", "id"))["id"].alias("first_id")]
     ids = [F.array_sort(F.collect_list(F.struct("row_no", "id")))["id"].alias("ids")] if with_ids else []
     groups = rows.groupBy(*keys).agg(*measured, *ids)
     by_sum = d["metric"] == "sum"
@@ -148,8 +149,8 @@ def grouped(transactions: DataFrame, rule: Rule, with_ids: bool = True) -> DataF
     return groups.where(compare(F.col("total" if by_sum else "n"), d["op"], round(d["value"] * scale), None if upper is None else round(upper * scale)))
 
 
-def evaluate(transactions: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Findings of all rules: rule, severity, ids, seq. Rules of unknown type find nothing.
+def evaluate(transactions: DataFrame, rules: list[Rule], with_ids: bool = True) -> DataFrame:
+    """Findings of all rules: rule, severity, ids (without with_ids only the first), seq. Rules of unknown type find nothing.
 
     Row rules share one pass: each row explodes to the rules that it breaks.
     """
@@ -160,7 +161,8 @@ def evaluate(transactions: DataFrame, rules: list[Rule]) -> DataFrame:
         parts.append(transactions.select("row_no", "id", F.explode(broken).alias("b")).select("b.rule", "b.severity", F.array("id").alias("ids"), F.col("row_no").alias("seq")))
     for rule in rules:
         if rule.definition.get("type") == "aggregate":
-            parts.append(grouped(transactions, rule).select(F.lit(rule.code).alias("rule"), F.lit(rule.severity).alias("severity"), "ids", F.col("first_row").alias("seq")))
+            ids = F.col("ids") if with_ids else F.array("first_id").alias("ids")
+            parts.append(grouped(transactions, rule, with_ids).select(F.lit(rule.code).alias("rule"), F.lit(rule.severity).alias("severity"), ids, F.col("first_row").alias("seq")))
     if not parts:
         return transactions.sparkSession.createDataFrame([], "rule string, severity string, ids array<string>, seq long")
     out = parts[0]

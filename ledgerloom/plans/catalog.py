@@ -50,7 +50,7 @@ def benford_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {views.TX_E} SELECT minor, party, ref, count(*) AS n, min(row_no) AS first_row FROM tx WHERE minor <> 0 GROUP BY 1, 2, 3 HAVING count(*) >= 2")
 def dup_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analyzers.exact_duplicates(views.event_transactions(spark, sf_dir)).drop("ids")
+    return analyzers.exact_duplicates(views.event_transactions(spark, sf_dir), with_ids=False).drop("ids")
 
 
 @query(f"""WITH {views.TX_E} SELECT a.minor, a.party, a.row_no AS first_row, b.row_no AS second_row, CAST(floor((b.at_us - a.at_us) / 3600000000.0::DOUBLE + 0.5) AS INTEGER) AS hours_apart
@@ -91,8 +91,8 @@ found AS (
 
 @query(f"{_ENGINE} SELECT code, severity, score, first_id, CAST(n_ids AS INTEGER) AS n_ids FROM found")
 def audit_engine_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = analyzers.audit_engine(views.event_transactions(spark, sf_dir))
-    return ranked.select("code", "severity", "score", F.coalesce(F.get("ids", F.lit(0)), F.lit("")).alias("first_id"), F.size("ids").alias("n_ids"))
+    ranked = analyzers.audit_engine(views.event_transactions(spark, sf_dir), with_ids=False)
+    return ranked.select("code", "severity", "score", F.coalesce(F.get("ids", F.lit(0)), F.lit("")).alias("first_id"), "n_ids")
 
 
 # Rules
@@ -148,7 +148,7 @@ def rule_aggregate_sum_window(spark: SparkSession, sf_dir: str) -> DataFrame:
   UNION ALL SELECT 'SPLIT-PAY', 80, count(*) FROM (SELECT 1 FROM (SELECT *, at_us - min(at_us) OVER (PARTITION BY party) AS since FROM tx) WHERE since <= 86400000000 GROUP BY party HAVING sum(minor) >= 5000000))
 SELECT rule, score, n FROM f WHERE n > 0""")
 def rule_library_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = rules.stored(rules.evaluate(views.order_transactions(spark, sf_dir), list(rules.LIBRARY)))
+    found = rules.stored(rules.evaluate(views.order_transactions(spark, sf_dir), list(rules.LIBRARY), with_ids=False))
     return found.groupBy("rule", "score").agg(F.count("*").alias("n"))
 
 

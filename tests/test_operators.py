@@ -117,6 +117,17 @@ def test_aggregate_rules(spark):
     assert found == {"DUP-PAYMENTS": ["t1", "t2"], "SPLIT-PAY": ["t0", "t1"]}
 
 
+def test_groups_without_members(spark):
+    """Queries that show a group's first row and its size hold no list of its rows."""
+    rows = tx(spark, *({"amount": "30000.00", "counterparty": "ONE", "reference": "R", "posted_at": "2025-09-03T00:00:00"} for _ in range(5)))
+    lists = lambda df: "collect_list" in df._jdf.queryExecution().optimizedPlan().toString()
+    engine, library = analyzers.audit_engine(rows, with_ids=False), rules.stored(rules.evaluate(rows, list(rules.LIBRARY), with_ids=False))
+    assert not lists(engine) and not lists(library)
+    assert [(r.ids, r.n_ids) for r in engine.where("code = 'DUPLICATE'").collect()] == [(["t0"], 5)]
+    key = lambda found: sorted(tuple(r) for r in found.collect())
+    assert key(library) == key(rules.stored(rules.evaluate(rows, list(rules.LIBRARY))))
+
+
 REC = "idx long, id string, reference string, amount decimal(15,2), counterparty string, value_date timestamp"
 
 
