@@ -12,29 +12,28 @@ from pyspark.sql import functions as F
 
 #: Fixed value: what the seed of a population chain is hashed from.
 FOLD_SEED_TEXT = "g4pop.seed"
-_MOST = 1 << 21
 
 
 def _byte(value: Column) -> Column:
     return F.unhex(F.lpad(F.hex(value), 2, "0"))
 
 
-def leb128(n: Column) -> Column:
-    """Unsigned LEB128 of an integer below 2**21; beyond that it raises."""
+def leb128(n: Column, bits: int = 63) -> Column:
+    """Unsigned LEB128 of an integer from 0 to 2**bits - 1."""
     n = n.cast("long")
     low, middle, high = n % 128, F.shiftright(n, 7) % 128, F.shiftright(n, 14)
-    return (
-        F.when(n < 128, _byte(low))
-        .when(n < 1 << 14, F.concat(_byte(low + 128), _byte(middle)))
-        .when(n < _MOST, F.concat(_byte(low + 128), _byte(middle + 128), _byte(high)))
-        .otherwise(F.unhex(F.raise_error(F.lit("too long to frame")).cast("string")))
-    )
+    short = F.when(n < 128, _byte(low)).when(n < 1 << 14, F.concat(_byte(low + 128), _byte(middle)))
+    three = F.concat(_byte(low + 128), _byte(middle + 128), _byte(high))
+    if bits <= 21:
+        return short.otherwise(three)
+    more = F.concat(_byte(low + 128), _byte(middle + 128), _byte(high % 128 + 128), leb128(F.shiftright(n, 21), bits - 21))
+    return short.when(n < 1 << 21, three).otherwise(more)
 
 
 def text(value: Column) -> Column:
     """Frame of a string; null and empty differ."""
     data = F.encode(value, "UTF-8")
-    return F.when(value.isNull(), F.unhex(F.lit("00"))).otherwise(F.concat(F.unhex(F.lit("01")), leb128(F.octet_length(data)), data))
+    return F.when(value.isNull(), F.unhex(F.lit("00"))).otherwise(F.concat(F.unhex(F.lit("01")), leb128(F.octet_length(data), 31), data))
 
 
 def integer(value: Column) -> Column:
@@ -47,20 +46,22 @@ def joined(frames: Column) -> Column:
     return F.unhex(F.array_join(F.transform(frames, lambda x: F.hex(x)), ""))
 
 
-def sequence(frames: Column) -> Column:
-    """Frame of an array of frames, in order."""
-    return F.concat(F.unhex(F.lit("02")), leb128(F.size(frames)), joined(frames))
+def sequence(frames: Column | list[Column]) -> Column:
+    """Frame of frames in order: of an array, or of a list of columns, which is cheaper."""
+    if isinstance(frames, list):
+        return F.concat(F.unhex(F.lit("02")), leb128(F.lit(len(frames)), 31), *frames)
+    return F.concat(F.unhex(F.lit("02")), leb128(F.size(frames), 31), joined(frames))
 
 
 def multiset(frames: Column) -> Column:
     """Frame of an array of frames whose order doesn't matter but whose repeats do."""
-    return F.concat(F.unhex(F.lit("04")), leb128(F.size(frames)), joined(F.array_sort(frames)))
+    return F.concat(F.unhex(F.lit("04")), leb128(F.size(frames), 31), joined(F.array_sort(frames)))
 
 
 def fields(**frames: Column) -> Column:
     """Frame of named frames; names are ASCII and sorted."""
     parts = [part for name in sorted(frames) for part in (text(F.lit(name)), frames[name])]
-    return F.concat(F.unhex(F.lit("03")), leb128(F.lit(len(frames))), *parts)
+    return F.concat(F.unhex(F.lit("03")), leb128(F.lit(len(frames)), 31), *parts)
 
 
 def fingerprint(tag: str, body: Column) -> Column:
@@ -72,18 +73,18 @@ def raw_hash(cells: Column) -> Column:
     """Identity of a source row: its cells (i, h, v) by position."""
     ordered = F.array_sort(cells, lambda a, b: a["i"] - b["i"])
     parts = F.transform(ordered, lambda c: F.concat(text(c["i"].cast("string")), text(c["h"]), text(c["v"])))
-    return F.sha2(F.concat(leb128(F.size(cells)), joined(parts)), 256)
+    return F.sha2(F.concat(leb128(F.size(cells), 31), joined(parts)), 256)
 
 
 def object_frame(**values: Column) -> Column:
     """Untagged frame of named strings, sorted by name."""
     parts = [part for name in sorted(values) for part in (text(F.lit(name)), text(values[name]))]
-    return F.concat(leb128(F.lit(len(values))), *parts)
+    return F.concat(leb128(F.lit(len(values)), 31), *parts)
 
 
 def record_identity(dataset_hash: Column, source_row_no: Column, hashed: Column) -> Column:
     """Identity of an imported record within a dataset's content."""
-    return fingerprint("g4eoi.1", sequence(F.array(text(dataset_hash), integer(source_row_no), text(hashed))))
+    return fingerprint("g4eoi.1", sequence([text(dataset_hash), integer(source_row_no), text(hashed)]))
 
 
 def account_identity(dataset_hash: Column, system: Column, entity: Column, ledger: Column, code: Column) -> Column:
@@ -138,7 +139,12 @@ def population_fold(members: Column, tag: str = "g4pop.2") -> Column:
     """Fingerprint of an ordered array of member bytes: a chain of hashes, sealed with their count."""
     seed = F.sha2(F.encode(F.lit(FOLD_SEED_TEXT), "UTF-8"), 256)
     chain = F.aggregate(members, seed, lambda hashed, member: F.sha2(F.concat(F.unhex(hashed), member), 256))
-    return fingerprint(tag, sequence(F.array(text(chain), integer(F.size(members)))))
+    return population_seal(chain, F.size(members), tag)
+
+
+def population_seal(chain: Column, members: Column, tag: str = "g4pop.2") -> Column:
+    """Fingerprint of a population's chained hash and its number of members."""
+    return fingerprint(tag, sequence([text(chain), integer(members)]))
 
 
 def node(value: Column, kind: str) -> Column:

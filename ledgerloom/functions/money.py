@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import trimmed
 
 MINOR_PATTERN = r"^-?[0-9]+(\.[0-9]{1,2})?$"
-CANONICAL_PATTERN = r"^-?[0-9]+(\.[0-9]+)?$"
+#: Amounts that a double holds closely enough for two places to stay as they are written.
+PLAIN_PATTERN = r"^-?[0-9]{1,13}(\.[0-9]{1,2})?\z"
+CANONICAL_PATTERN = r"^-?[0-9]+(\.[0-9]+)?\z"
+_CANONICAL_ALREADY = r"^(-?[1-9][0-9]*(\.[0-9]+)?|0(\.[0-9]+)?)\z"
 _ARABIC_INDIC = "٠١٢٣٤٥٦٧٨٩"
 
 
@@ -53,13 +53,18 @@ def vat_score(delta: Column, expected: Column) -> Column:
     return F.least(F.lit(100), F.floor(60 + 60 * relative + 0.5)).cast("int")
 
 
+def kept_signs(text: Column) -> Column:
+    """Digits, points and minus signs of an amount as written, Arabic digits as Western ones."""
+    return F.regexp_replace(F.translate(text, _ARABIC_INDIC, "0123456789"), r"[^0-9.\-]", "")
+
+
 def canonical_decimal(text: Column) -> Column:
     """Canonical form of a decimal as written: Arabic digits, grouping marks and units are dropped, no rounding; null if none is left."""
-    western = F.translate(trimmed(text), _ARABIC_INDIC + "٫", "0123456789.")
-    kept = F.regexp_replace(F.regexp_replace(western, r"[,٬\s ]", ""), r"[^0-9.\-]", "")
+    kept = kept_signs(text)
     body = F.regexp_replace(F.regexp_replace(kept, "^-", ""), r"^0+(?=[0-9])", "")
     negative = kept.startswith("-") & body.rlike("[1-9]")
-    return F.when(kept.rlike(CANONICAL_PATTERN), F.concat(F.when(negative, "-").otherwise(""), body))
+    cleaned = F.when(kept.rlike(CANONICAL_PATTERN), F.concat(F.when(negative, "-").otherwise(""), body))
+    return F.when(text.rlike(_CANONICAL_ALREADY), text).otherwise(cleaned)
 
 
 def micros(text: Column) -> Column:
@@ -72,17 +77,36 @@ def canon_amount(amount: Column) -> Column:
     return amount.cast("decimal(24,6)").cast("string")
 
 
-def float_rounded(text: Column) -> Column:
-    """Two-place text of an amount read as a binary double, as the import's strict parser gives it; null if not a number."""
+def double_of(kept: Column) -> Column:
+    """The nearest double of what `kept_signs` leaves; null if that is no number."""
+    return F.when(kept.rlike(CANONICAL_PATTERN), kept.cast("double"))
+
 
-    @F.pandas_udf("string")
-    def rounded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        from decimal import ROUND_HALF_UP, Decimal
+def exact_cents(number: Column) -> Column:
+    """Hundredths (0 to 100) of a double's fraction, by its exact value, ties away from zero.
 
-        for batch in batches:
-            yield batch.map(lambda s: None if s is None else format(Decimal(float(s)).quantize(Decimal("0.01"), ROUND_HALF_UP), "f"), na_action="ignore")
+    Every step is exact: the fraction is cut at 2**-30, and a hundred times either part has
+    at most 53 bits. So 1.005, which as a double lies below it, has none.
+    """
+    fraction = F.abs(number) - F.floor(F.abs(number))
+    high = F.floor(fraction * (1 << 30)) / F.lit(float(1 << 30))
+    whole = F.floor(high * 100)
+    return whole + F.when((fraction - high) * 100 >= 0.5 - (high * 100 - whole), 1).otherwise(0)
+
+
+def binary_rounded(number: Column, cents: Column) -> Column:
+    """Two-place text of a double and its `exact_cents`; null from 10**21 on."""
+    size, sign = F.abs(number), F.when(number < 0, "-").otherwise("")
+    small = F.concat(sign, (F.floor(size) + F.when(cents == 100, 1).otherwise(0)).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+    upper = F.floor(size / float(1 << 32))
+    whole = upper.cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + (size - upper * float(1 << 32)).cast("decimal(20,0)")
+    large = F.concat(sign, whole.cast("decimal(22,0)").cast("string"), F.lit(".00"))
+    return F.when(size < float(1 << 53), small).when(size < 1e21, large)
 
-    return rounded(canonical_decimal(text))
+
+def float_rounded(text: Column) -> Column:
+    """Two-place text of an amount read as a binary double, as the import's strict parser gives it; null if not a number."""
+    return F.transform(F.array(double_of(kept_signs(text))), lambda n: binary_rounded(n, exact_cents(n)))[0]
 
 
 def single_sided(debit: Column, credit: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ def key(text: Column) -> Column:
 
 def is_blank(text: Column) -> Column:
     """Null, or nothing but white space."""
-    return F.coalesce(trimmed(text), F.lit("")) == ""
+    return ~F.coalesce(text.rlike(f"[^{BLANKS}]"), F.lit(False))
 
 
 def holds(needle: str, *columns: Column) -> Column:
@@ -35,3 +37,9 @@ def any_holds(needle: str, *columns: Column) -> Column:
     for column in columns:
         found = found | F.coalesce(F.contains(F.lower(column), F.lit(needle.lower())), F.lit(False))
     return found
+
+
+def filled(template: str, values: dict[str, Column]) -> Column:
+    """`template` with each {name} replaced by that value as text; null counts as empty."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*(F.lit(p) if i % 2 == 0 else F.coalesce(values[p].cast("string"), F.lit("")) for i, p in enumerate(parts)))

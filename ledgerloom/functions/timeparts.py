@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import trimmed
+from ledgerloom.functions.text import BLANKS
 
 _DAY_MICROS, _HOUR_MICROS = 86_400_000_000, 3_600_000_000
 
@@ -37,10 +37,7 @@ def rounded_hours(later: Column, earlier: Column) -> Column:
 
 def parse_date_strict(text: Column, order: str = "DMY") -> Column:
     """Date of `Y-M-D`, or of `D-M-Y` (`M-D-Y` if order is MDY), with -, / or . between; null if there is no such day."""
-    clean = trimmed(text)
-    first, second = (r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$", r"^(\d{1,2})[-/.](\d{1,2})[-/.](\d{4})$")
-    part = lambda pattern, i: F.regexp_extract(clean, pattern, i)
-    day, month = (2, 1) if order == "MDY" else (1, 2)
-    iso = F.when(clean.rlike(first), F.concat_ws("-", part(first, 1), F.lpad(part(first, 2), 2, "0"), F.lpad(part(first, 3), 2, "0")))
-    iso = iso.when(clean.rlike(second), F.concat_ws("-", part(second, 3), F.lpad(part(second, month), 2, "0"), F.lpad(part(second, day), 2, "0")))
-    return F.try_to_date(iso, "yyyy-MM-dd")
+    around = lambda body: f"^[{BLANKS}]*{body}[{BLANKS}]*$"
+    first, second = (around(r"((?!00)\d{4})[-/.](\d{1,2})[-/.](\d{1,2})"), around(r"(\d{1,2})[-/.](\d{1,2})[-/.]((?!00)\d{4})"))
+    back = "$3-$1-$2" if order == "MDY" else "$3-$2-$1"
+    return F.when(text.rlike(second), F.regexp_replace(text, second, back)).when(text.rlike(first), F.regexp_replace(text, first, "$1-$2-$3")).try_cast("date")

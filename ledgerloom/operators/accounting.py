@@ -26,8 +26,8 @@ def numbered_lines(lines: DataFrame) -> DataFrame:
     return grouped.unionByName(lines.where(F.col("source_entry_id").isNull()).withColumn("line_no", F.col("source_row_no").cast("long")))
 
 
-def entries(lines: DataFrame) -> DataFrame:
-    """Journal entries as the source groups them, with totals, and how far they balance.
+def entries(lines: DataFrame, **counted: Column) -> DataFrame:
+    """Journal entries as the source groups them, with totals, and how far they balance; `counted`: more aggregates by name.
 
     lines: dataset_id, source_entry_id, source_row_no, entry_date, transaction_debit,
     transaction_credit, transaction_currency, functional_debit, functional_credit,
@@ -45,8 +45,10 @@ def entries(lines: DataFrame) -> DataFrame:
         return F.coalesce(F.sum(f"{kind}_{name}"), F.lit(0)).cast(TOTAL)
 
     def currencies(kind: str) -> Column:
+        """0, 1 or more: none, one or several are told apart by the least and the greatest, in one exchange."""
         known = F.when(there(kind), F.col(f"{kind}_currency"))
-        return F.count_distinct(known) + F.when(F.count_if(there(kind) & F.col(f"{kind}_currency").isNull()) > 0, 1).otherwise(0)
+        several = F.when(F.min(known).isNull(), 0).when(F.min(known) == F.max(known), 1).otherwise(2)
+        return several + F.when(F.count_if(there(kind) & F.col(f"{kind}_currency").isNull()) > 0, 1).otherwise(0)
 
     def measures(kind: str, short: str) -> list[Column]:
         return [
@@ -57,7 +59,7 @@ def entries(lines: DataFrame) -> DataFrame:
             side("credit", kind).alias(f"{short}_credit"),
         ]
 
-    grouped = rows.groupBy("dataset_id", "source_entry_id").agg(F.count("*").alias("n_lines"), F.min_by("entry_date", "source_row_no").alias("entry_date"), *measures("transaction", "t"), *measures("functional", "f"))
+    grouped = rows.groupBy("dataset_id", "source_entry_id").agg(F.count("*").alias("n_lines"), F.min_by("entry_date", "source_row_no").alias("entry_date"), *measures("transaction", "t"), *measures("functional", "f"), *(c.alias(name) for name, c in counted.items()))
     by_transaction = (F.col("t_kinds") == 1) & F.col("t_currency").isNotNull()
     by_functional = ~by_transaction & (F.col("f_kinds") == 1) & F.col("f_currency").isNotNull() & (F.col("f_lines") == F.col("t_lines"))
     pick = lambda t, f: F.when(by_transaction, F.col(t)).when(by_functional, F.col(f))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import money
-from ledgerloom.functions.text import key
+from ledgerloom.functions.text import filled, key
 from ledgerloom.functions.timeparts import local_hour, local_weekday, rounded_hours
 
 #: 95 % quantile of chi-square with 8 degrees of freedom, and the defaults.
@@ -19,6 +19,13 @@ CHI_SQUARE_LIMIT = 15.507
 BENFORD_SAMPLE, NEAR_HOURS, VAT_RATE, VAT_TOLERANCE = 50, 72, 0.15, 1
 ZONE, OPENS, CLOSES, WEEKEND = "Asia/Riyadh", 7, 19, (5, 6)
 SEVERITIES = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
+#: What a VAT discrepancy is called and how it is described.
+VAT_TEXTS = {
+    "title": "VAT discrepancy",
+    "title_ar": "فرق في ضريبة القيمة المضافة",
+    "description": "Declared VAT {declared} does not match the expected {percent}% ({expected}) for reference {reference}; delta {delta}.",
+    "description_ar": "ضريبة القيمة المضافة المصرّح بها {declared} لا تطابق المتوقع {percent}% ({expected}) للمرجع {reference}؛ الفرق {delta}.",
+}
 
 
 def severity_rank(severity: Column) -> Column:
@@ -115,16 +122,51 @@ def off_hours_postings(transactions: DataFrame, zone: str = ZONE, opens: int = O
     return transactions.where(~local_weekday(F.col("posted_at"), zone).isin(*weekend) & ((hour < opens) | (hour >= closes))).withColumn("hour", hour)
 
 
+def _with_vat(transactions: DataFrame, rate: float) -> DataFrame:
+    """Adds minor, declared, expected and delta; each a column that the next one reads."""
+    both = transactions.withColumns({"minor": money.minor_units(F.col("amount")), "declared": money.minor_units(F.col("vat_amount"))})
+    expected = both.withColumn("expected", money.expected_vat(F.col("minor"), rate))
+    return expected.withColumn("delta", F.col("declared") - F.col("expected"))
+
+
+def _vat_is_off(tolerance: int) -> Column:
+    return F.col("declared").isNotNull() & (F.col("minor") != 0) & (F.abs("delta") > tolerance)
+
+
 def vat_discrepancies(transactions: DataFrame, rate: float = VAT_RATE, tolerance: int = VAT_TOLERANCE) -> DataFrame:
     """Transactions whose declared VAT is off by more than `tolerance` minor units: adds expected, delta, severity, score."""
-    minor, declared = money.minor_units(F.col("amount")), money.minor_units(F.col("vat_amount"))
-    checked = transactions.where(F.col("vat_amount").isNotNull() & (minor != 0)).withColumn("expected", money.expected_vat(minor, rate)).withColumn("delta", declared - F.col("expected"))
-    wrong = checked.where(F.abs("delta") > tolerance)
+    wrong = _with_vat(transactions, rate).where(_vat_is_off(tolerance)).drop("minor", "declared")
     return wrong.withColumns({"severity": money.vat_severity(F.col("delta"), F.col("expected")), "score": money.vat_score(F.col("delta"), F.col("expected"))})
 
 
-def _single(rows: DataFrame, code: str, severity: Column, score: Column) -> DataFrame:
-    return rows.select(F.lit(code).alias("code"), severity.alias("severity"), score.cast("int").alias("score"), F.array("id").alias("ids"), F.col("row_no").alias("seq"))
+def vat_texts(transactions: DataFrame, rate: float = VAT_RATE, tolerance: int = VAT_TOLERANCE) -> DataFrame:
+    """VAT discrepancies with their title and description, in English and Arabic."""
+    shown = lambda c: money.from_minor_units(F.col(c))
+    rows = vat_discrepancies(transactions, rate, tolerance)
+    declared = money.from_minor_units(F.col("delta") + F.col("expected"))
+    percent = f"{rate * 100:g}"
+    values = {"declared": declared, "percent": F.lit(percent), "expected": shown("expected"), "reference": F.col("reference"), "delta": shown("delta")}
+    titles = {"title": F.lit(VAT_TEXTS["title"]), "title_ar": F.lit(VAT_TEXTS["title_ar"])}
+    return rows.withColumns(titles | {name: filled(VAT_TEXTS[name], values) for name in ("description", "description_ar")})
+
+
+def _row_findings(transactions: DataFrame, vat_rate: float, zone: str, analyzers: tuple[str, ...], tolerance: int = VAT_TOLERANCE) -> DataFrame:
+    """Findings of the analyzers that judge a row by itself, in one pass: each row explodes to its findings."""
+    rows = _with_vat(transactions.withColumn("local", F.from_utc_timestamp("posted_at", zone)), vat_rate)
+    rows = rows.withColumns({"weekday": F.dayofweek("local") - 1, "hour": F.hour("local")})
+    weekend = F.col("weekday").isin(*WEEKEND)
+    off = ~weekend & ((F.col("hour") < OPENS) | (F.col("hour") >= CLOSES))
+
+    def finding(when: Column, code: str, severity: Column, score: Column, analyzer: int) -> Column:
+        return F.when(when, F.struct(F.lit(code).alias("code"), severity.alias("severity"), score.cast("int").alias("score"), F.lit(analyzer).alias("analyzer")))
+
+    found = []
+    if "off_hours" in analyzers:
+        found += [finding(weekend, "WEEKEND", F.lit("LOW"), F.lit(45), 3), finding(off, "OFF_HOURS", F.lit("MEDIUM"), F.lit(55), 4)]
+    if "vat" in analyzers:
+        found.append(finding(_vat_is_off(tolerance), "VAT_DISCREPANCY", money.vat_severity(F.col("delta"), F.col("expected")), money.vat_score(F.col("delta"), F.col("expected")), 5))
+    each = rows.select("id", "row_no", F.explode(F.array_compact(F.array(*found))).alias("x"))
+    return each.select("x.code", "x.severity", "x.score", F.array("id").alias("ids"), F.col("row_no").alias("seq"), "x.analyzer", F.lit(1).alias("n_ids"))
 
 
 def audit_findings(transactions: DataFrame, vat_rate: float = VAT_RATE, zone: str = ZONE, analyzers: tuple[str, ...] = ("benford", "duplicates", "off_hours", "vat"), with_ids: bool = True) -> DataFrame:
@@ -136,12 +178,9 @@ def audit_findings(transactions: DataFrame, vat_rate: float = VAT_RATE, zone: st
         exact = exact_duplicates(transactions, with_ids).select(F.lit("DUPLICATE").alias("code"), F.lit("HIGH").alias("severity"), F.lit(85).alias("score"), "ids", F.col("first_row").alias("seq"), F.col("n").cast("int").alias("n_ids"))
         near = near_duplicates(transactions).select(F.lit("NEAR_DUPLICATE").alias("code"), F.lit("MEDIUM").alias("severity"), F.lit(65).alias("score"), F.array("first_id", "second_id").alias("ids"), F.col("first_row").alias("seq"))
         parts += [(1, exact), (2, near)]
-    if "off_hours" in analyzers:
-        parts.append((3, _single(weekend_postings(transactions, zone), "WEEKEND", F.lit("LOW"), F.lit(45))))
-        parts.append((4, _single(off_hours_postings(transactions, zone), "OFF_HOURS", F.lit("MEDIUM"), F.lit(55))))
-    if "vat" in analyzers:
-        parts.append((5, _single(vat_discrepancies(transactions, vat_rate), "VAT_DISCREPANCY", F.col("severity"), F.col("score"))))
     marked = [found.withColumns({"analyzer": F.lit(number), "n_ids": F.col("n_ids") if "n_ids" in found.columns else F.size("ids")}) for number, found in parts]
+    if {"off_hours", "vat"} & set(analyzers):
+        marked.append(_row_findings(transactions, vat_rate, zone, analyzers))
     out = marked[0]
     for other in marked[1:]:
         out = out.unionByName(other)

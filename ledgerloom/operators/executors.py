@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.money import canon_amount, single_sided
+from ledgerloom.operators.accounting import entries
 
 EVIDENCE = 3
 MEMBER = ["dataset_id", "source_row_no"]
@@ -62,20 +63,18 @@ def hash_mismatch(members: DataFrame, records: DataFrame) -> DataFrame:
     return joined.where("content_hash <> raw_hash").select(*MEMBER, "content_hash", "raw_hash").withColumns(_result("DQ_SOURCE_TO_CANONICAL_MISMATCH", "HIGH"))
 
 
-def member_entries(members: DataFrame, lines: DataFrame) -> DataFrame:
-    """Entries with a member line: dataset_id, source_entry_id, n_lines, n_member_lines. One join and one aggregate."""
-    marked = lines.where(F.col("source_entry_id").isNotNull()).join(members.select(*MEMBER, F.lit(True).alias("is_member")), MEMBER, "left")
-    return marked.groupBy("dataset_id", "source_entry_id").agg(F.count("*").alias("n_lines"), F.count("is_member").alias("n_member_lines")).where("n_member_lines > 0")
-
-
 @register_test("ACCOUNTING_INTEGRITY", "UNBALANCED_JE")
-def unbalanced_entries(members: DataFrame, lines: DataFrame, entries: DataFrame) -> DataFrame:
-    """Unbalanced entries of the population. An entry of which only some lines are members fails the whole run."""
-    counted = member_entries(members, lines)
-    whole = counted.where(F.assert_true(F.col("n_lines") == F.col("n_member_lines"), F.concat(F.lit("entry is partly in the population: "), F.col("source_entry_id"))).isNull())
-    wrong = entries.where("balance_status = 'UNBALANCED'").drop("n_lines")
-    joined = whole.join(wrong, ["dataset_id", "source_entry_id"])
-    return joined.select("dataset_id", "source_entry_id", canon_amount(F.col("debit_total")).alias("debit_total"), canon_amount(F.col("credit_total")).alias("credit_total"), canon_amount(F.col("difference")).alias("difference"), "balance_currency").withColumns(_result("AI_UNBALANCED_JOURNAL_ENTRY", "HIGH"))
+def unbalanced_entries(members: DataFrame, lines: DataFrame) -> DataFrame:
+    """Unbalanced entries of the population. An entry of which only some lines are members fails the whole run.
+
+    lines: as `accounting.entries` takes them. Members are marked once, and an entry's lines,
+    members and totals are one aggregate.
+    """
+    marked = lines.join(members.select(*MEMBER, F.lit(True).alias("is_member")), MEMBER, "left")
+    found = entries(marked, n_member_lines=F.count("is_member")).where("n_member_lines > 0")
+    partly = F.concat(F.lit("entry is partly in the population: "), F.col("source_entry_id"))
+    wrong = found.where(F.assert_true(F.col("n_lines") == F.col("n_member_lines"), partly).isNull()).where("balance_status = 'UNBALANCED'")
+    return wrong.select("dataset_id", "source_entry_id", canon_amount(F.col("debit_total")).alias("debit_total"), canon_amount(F.col("credit_total")).alias("credit_total"), canon_amount(F.col("difference")).alias("difference"), "balance_currency").withColumns(_result("AI_UNBALANCED_JOURNAL_ENTRY", "HIGH"))
 
 
 @register_test("ACCOUNTING_INTEGRITY", "INVALID_DEBIT_CREDIT")

@@ -8,10 +8,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from ledgerloom.functions import framing, money
 from ledgerloom.functions.text import is_blank, trimmed
 from ledgerloom.functions.timeparts import parse_date_strict
+from ledgerloom.operators.chains import Running, hashed_in_order
 from ledgerloom.session import checkpointed
 
 #: Fields of each kind of dataset with their types, required ones, and groups of which one must be there.
@@ -91,22 +93,48 @@ def suggest_mapping(kind: str, headers: list[str | None]) -> dict[str, str]:
 
 
 def raw_cells(headers: list[str | None], values: Column) -> Column:
-    """Lossless cells (i, h, v) of a row's array of values; empty counts as null, repeated headers stay apart."""
-    names = F.array(*(F.lit(h).cast("string") for h in headers))
-    return F.transform(values, lambda v, i: F.struct(i.cast("int").alias("i"), F.get(names, i).alias("h"), F.when(v != "", v).alias("v")))
+    """Lossless cells (i, h, v) of a row's array of values; empty counts as null, repeated headers stay apart.
+
+    There are as many cells as headers or values, whichever are more.
+    """
+
+    def cell(i: Column, header: Column, value: Column) -> Column:
+        return F.struct(i.cast("int").alias("i"), header.cast("string").alias("h"), F.when(value != "", value).alias("v"))
+
+    known = F.array(*(cell(F.lit(i), F.lit(h), F.get(values, F.lit(i))) for i, h in enumerate(headers)))
+    n = len(headers)
+    more = F.transform(F.slice(values, n + 1, F.greatest(F.size(values) - n, F.lit(0))), lambda v, i: cell(i + n, F.lit(None), v))
+    return F.when(F.size(values) <= n, known).otherwise(F.concat(known, more))
 
 
-def apply_mapping(rows: DataFrame, mapping: dict[str, str], cells: str = "cells") -> DataFrame:
-    """Adds mapped (map of field to raw value; the first column of a field wins) and duplicate_issues."""
-    fields = F.create_map(*(F.lit(x) for pair in mapping.items() for x in pair)) if mapping else F.create_map().cast("map<string,string>")
-    ordered = F.array_sort(cells, lambda a, b: a["i"] - b["i"])
-    named = F.filter(F.transform(ordered, lambda c: F.struct(F.try_element_at(fields, c["h"]).alias("field"), c["v"].alias("v"))), lambda x: x["field"].isNotNull())
-    # each value is marked with whether it is its field's first; `named` and its fields are bound once per row
-    marked = let(named, lambda n: let(F.transform(n, lambda x: x["field"]), lambda seen: F.transform(n, lambda x, i: F.struct(x["field"].alias("field"), x["v"].alias("v"), (F.array_position(seen, x["field"]) == i + 1).alias("first")))))
-    out = rows.withColumn("marked", marked)
-    first = F.transform(F.filter("marked", lambda x: x["first"]), lambda x: F.struct(x["field"], x["v"]))
-    issues = F.transform(F.filter("marked", lambda x: ~x["first"]), lambda x: F.struct(x["field"].alias("field"), F.lit("DUPLICATE_SOURCE_COLUMN").alias("code"), x["v"].alias("raw_value")))
-    return out.withColumns({"mapped": F.map_from_entries(first), "duplicate_issues": issues.cast(f"array<{ISSUE}>")}).drop("marked")
+def apply_mapping(rows: DataFrame, mapping: dict[str, str], cells: str = "cells", headers: list[str | None] | None = None) -> DataFrame:
+    """Adds mapped (struct of each field's raw value; the first column of a field wins) and duplicate_issues.
+
+    headers: those of all rows in order, if they are known; then fields are taken by position.
+    """
+    fields = list(dict.fromkeys(mapping.values()))
+
+    def duplicate(field: Column, value: Column) -> Column:
+        return F.struct(field.alias("field"), F.lit("DUPLICATE_SOURCE_COLUMN").alias("code"), value.alias("raw_value"))
+
+    if headers is not None:
+        places = [(mapping[h], i) for i, h in enumerate(headers) if h in mapping]
+        first = {field: min(i for f, i in places if f == field) for field in fields if any(f == field for f, _ in places)}
+        value = lambda i: F.get(cells, F.lit(i))["v"]
+        mapped = {field: value(first[field]) if field in first else F.lit(None).cast("string") for field in fields}
+        more = [duplicate(F.lit(f), value(i)) for f, i in places if i != first[f]]
+        out, issues = rows, F.array(*more) if more else F.array()
+    else:
+        known = F.create_map(*(F.lit(x) for pair in mapping.items() for x in pair)) if mapping else F.create_map().cast("map<string,string>")
+        ordered = F.array_sort(cells, lambda a, b: a["i"] - b["i"])
+        named = F.filter(F.transform(ordered, lambda c: F.struct(F.try_element_at(known, c["h"]).alias("field"), c["v"].alias("v"))), lambda x: x["field"].isNotNull())
+        # each value is marked with whether it is its field's first; `named` and its fields are bound once per row
+        marked = let(named, lambda n: let(F.transform(n, lambda x: x["field"]), lambda seen: F.transform(n, lambda x, i: F.struct(x["field"].alias("field"), x["v"].alias("v"), (F.array_position(seen, x["field"]) == i + 1).alias("first")))))
+        out = rows.withColumn("marked", marked)
+        mapped = {field: F.get(F.filter("marked", lambda x: x["first"] & (x["field"] == field)), F.lit(0))["v"] for field in fields}  # noqa: B023
+        issues = F.transform(F.filter("marked", lambda x: ~x["first"]), lambda x: duplicate(x["field"], x["v"]))
+    struct = F.struct(*(value.alias(field) for field, value in mapped.items())) if mapped else F.create_map().cast("map<string,string>")
+    return out.withColumns({"mapped": struct, "duplicate_issues": issues.cast(f"array<{ISSUE}>")}).drop("marked")
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -114,35 +142,62 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def field_of(rows: DataFrame, column: str, name: str) -> Column:
+    """A value of a struct or map column by name; null where it has none."""
+    kind = rows.schema[column].dataType
+    if isinstance(kind, MapType):
+        return F.try_element_at(column, F.lit(name))
+    return F.col(column)[name] if name in kind.fieldNames() else F.lit(None).cast("string")
+
+
 def validate(rows: DataFrame, kind: str, date_order: str = "DMY", mapped: str = "mapped") -> DataFrame:
-    """Adds normalized (map of field to text, null if rejected), issues and status to rows with a mapped column."""
-    raw = {field: F.try_element_at(mapped, F.lit(field)) for field in FIELDS[kind]}
-    parse = {"date": lambda c: parse_date_strict(c, date_order).cast("string"), "decimal": lambda c: money.canonical_decimal(c).cast("decimal(38,12)").cast("decimal(28,2)").cast("string"), "string": trimmed}
-    # parsed values become columns of their own, so that issues, status and map read each once
-    values = {f"parsed_{field}": F.when(~is_blank(raw[field]), parse[kind_of](raw[field])) for field, kind_of in FIELDS[kind].items()}
-    out = rows.withColumns(values) if values else rows
-    parsed = {field: F.col(f"parsed_{field}") for field in FIELDS[kind]}
+    """Adds normalized (struct of each field's text, null if rejected), issues and status to rows with a mapped column.
+
+    Amounts are read as binary doubles and rounded to two places, exact ties away from zero;
+    those of 10**21 and more are invalid, as they have no plain text of two places.
+    """
+    fields = FIELDS[kind]
+    # every step is a column of its own, so that the next one reads it without evaluating it again
+    out = rows.withColumns({f"raw_{f}": field_of(rows, mapped, f) for f in fields}) if fields else rows
+    raw = {f: F.col(f"raw_{f}") for f in fields}
+    out = out.withColumns({f"there_{f}": ~is_blank(raw[f]) for f in fields}) if fields else out
+    there = {f: F.col(f"there_{f}") for f in fields}
+    amounts = [f for f, k in fields.items() if k == "decimal"]
+    for step, value in (
+        ("kept", lambda f: F.when(there[f] & ~raw[f].rlike(money.PLAIN_PATTERN), money.kept_signs(raw[f]))),
+        ("number", lambda f: money.double_of(F.col(f"kept_{f}"))),
+        ("cents", lambda f: money.exact_cents(F.col(f"number_{f}"))),
+    ):
+        out = out.withColumns({f"{step}_{f}": value(f) for f in amounts}) if amounts else out
+    parse = {
+        "date": lambda f: parse_date_strict(raw[f], date_order).cast("string"),
+        "decimal": lambda f: F.when(F.col(f"kept_{f}").isNull(), raw[f].cast("decimal(15,2)").cast("string")).otherwise(money.binary_rounded(F.col(f"number_{f}"), F.col(f"cents_{f}"))),
+        "string": lambda f: trimmed(raw[f]),
+    }
+    out = out.withColumns({f"parsed_{f}": F.when(there[f], parse[k](f)) for f, k in fields.items()}) if fields else out
+    parsed = {f: F.col(f"parsed_{f}") for f in fields}
 
     def issue(when: Column, field: str | None, code: str, value: Column) -> Column:
         return F.when(when, F.struct(F.lit(field).cast("string").alias("field"), F.lit(code).alias("code"), value.cast("string").alias("raw_value")))
 
     codes = {"date": "INVALID_DATE", "decimal": "INVALID_AMOUNT"}
-    checks = [issue(~is_blank(raw[field]) & parsed[field].isNull(), field, codes[kind_of], raw[field]) for field, kind_of in FIELDS[kind].items() if kind_of in codes]
-    checks += [issue(is_blank(raw[field]), field, "MISSING_REQUIRED", F.lit(None)) for field in REQUIRED[kind]]
+    checks = [issue(there[f] & parsed[f].isNull(), f, codes[k], raw[f]) for f, k in fields.items() if k in codes]
+    checks += [issue(~there[f], f, "MISSING_REQUIRED", F.lit(None)) for f in REQUIRED[kind]]
     if kind in ONE_OF:
-        none = reduce(lambda a, b: a & b, (parsed[field].isNull() for field in ONE_OF[kind]))
+        none = reduce(lambda a, b: a & b, (parsed[f].isNull() for f in ONE_OF[kind]))
         checks.append(issue(none, None, "MISSING_VALUE_GROUP", F.lit(None)))
     out = out.withColumn("issues", F.array_compact(F.array(*checks)).cast(f"array<{ISSUE}>") if checks else F.array().cast(f"array<{ISSUE}>"))
     status = F.when(F.size("issues") > 0, "REJECTED")
     if "duplicate_issues" in rows.columns:
         status = status.when(F.size("duplicate_issues") > 0, "ACCEPTED_WITH_WARNING")
-    normalized = F.create_map(*(x for field, value in parsed.items() for x in (F.lit(field), value))) if parsed else F.create_map().cast("map<string,string>")
-    return out.withColumns({"normalized": F.when(F.size("issues") == 0, normalized), "status": status.otherwise("ACCEPTED")}).drop(*values)
+    normalized = F.struct(*(value.alias(f) for f, value in parsed.items())) if parsed else F.create_map().cast("map<string,string>")
+    out = out.withColumns({"normalized": F.when(F.size("issues") == 0, normalized), "status": status.otherwise("ACCEPTED")})
+    return out.drop(*(f"{step}_{f}" for step in ("raw", "there", "kept", "number", "cents", "parsed") for f in fields))
 
 
-def prepare_rows(rows: DataFrame, kind: str, mapping: dict[str, str], date_order: str = "DMY") -> DataFrame:
-    """Rows (source_row_no, cells) with raw_hash, mapped, normalized, issues and status."""
-    return validate(apply_mapping(rows.withColumn("raw_hash", framing.raw_hash(F.col("cells"))), mapping), kind, date_order)
+def prepare_rows(rows: DataFrame, kind: str, mapping: dict[str, str], date_order: str = "DMY", headers: list[str | None] | None = None) -> DataFrame:
+    """Rows (source_row_no, cells) with raw_hash, mapped, normalized, issues and status; headers as in `apply_mapping`."""
+    return validate(apply_mapping(rows.withColumn("raw_hash", framing.raw_hash(F.col("cells"))), mapping, headers=headers), kind, date_order)
 
 
 def counts(prepared: DataFrame) -> DataFrame:
@@ -158,7 +213,7 @@ def issue_rows(prepared: DataFrame) -> DataFrame:
 
 def to_transactions(prepared: DataFrame, kind: str) -> DataFrame:
     """Flat transactions of accepted ledger or bank rows; other kinds have none."""
-    field = lambda name: F.try_element_at("normalized", F.lit(name))
+    field = lambda name: field_of(prepared, "normalized", name)
     accepted = prepared.where(F.col("status") != "REJECTED")
     if kind == "GENERAL_LEDGER":
         amount, credit = F.coalesce(field("debit"), field("credit"), field("amount")), field("credit").isNotNull() & field("debit").isNull()
@@ -210,13 +265,16 @@ def mapping_hash(kind: str, mapping: dict[str, str], field_set_version: str = "g
 def dataset_hash(rows: DataFrame, header: dict[str, str | None], by: tuple[str, ...] = ()) -> DataFrame:
     """Identity of datasets' content: `header`, the number of rows, and raw_hash of every row in order of source_row_no.
 
-    rows: the `by` columns, source_row_no, raw_hash. A chain over ordered rows is sequential, so
-    each dataset is one group of 32 bytes a row.
+    rows: the `by` columns, source_row_no, raw_hash. Rows are streamed, so a dataset may be of any
+    size; one without rows has no row here, its hash is `empty_dataset_hash`.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("source_row_no", "raw_hash")))
-    body = F.array_join(F.transform(ordered, lambda x: x["raw_hash"]), "")
-    hashed = F.sha2(F.concat(F.lit(_object(header)), framing.leb128(F.count("*")), F.unhex(body)), 256)
-    return rows.groupBy(*by).agg(hashed.alias("dataset_hash"), F.count("*").alias("n_rows"))
+    hashed = hashed_in_order(rows, by, "raw_hash", Running, lambda n: _object(header) + _leb128(n))
+    return hashed.select(*by, F.col("hashed").alias("dataset_hash"), "n_rows")
+
+
+def empty_dataset_hash(header: dict[str, str | None]) -> str:
+    """Identity of a dataset without rows."""
+    return hashlib.sha256(_object(header) + _leb128(0)).hexdigest()
 
 
 def content_numbered(rows: DataFrame, order: list[str]) -> DataFrame:

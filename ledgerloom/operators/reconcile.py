@@ -2,22 +2,27 @@
 
 Records: idx (input order), id, reference, amount decimal(15,2), counterparty, value_date.
 Candidates are found by bands: an amount meets only the amounts of its own and the two adjacent
-bands, within the date window. Matching repeats rounds in which every pair that ranks first for
-both its source and its target is taken and both are retired. Since the order (confidence, then
-source, then target) is strict, that gives the same pairs as taking the best pair again and
-again, in rounds that grow with the longest chain of competing pairs, not with the rows.
+bands, within the date window. Pairs compete only within an island: a run of amount bands that
+follow each other without a gap. Islands are matched in parallel, each by one pass over its
+pairs from best to worst. An island of very many pairs is matched by rounds instead, in which
+every pair that ranks first for both its source and its target is taken and both are retired;
+the order (confidence, then source, then target) is strict, so both give the same pairs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import money
 from ledgerloom.functions.text import key
 from ledgerloom.functions.timeparts import days_between
+from ledgerloom.operators.ingest import content_numbered
 from ledgerloom.session import checkpointed
 
 
@@ -37,13 +42,14 @@ class Settings:
 def _keyed(records: DataFrame, side: str, settings: Settings) -> DataFrame:
     width = max(settings.tolerance, 1)
     rows = records.select("idx", "id", money.minor_units(F.col("amount")).alias("minor"), key(F.col("reference")).alias("ref"), key(F.col("counterparty")).alias("party"), "value_date")
-    rows = rows.withColumn("band", F.floor(F.col("minor") / width) if settings.tolerance else F.col("minor"))
+    # without a tolerance only equal amounts meet: every other band stays empty, so that none follow each other
+    rows = rows.withColumn("band", F.floor(F.col("minor") / width) if settings.tolerance else F.col("minor") * 2)
     rows = rows.withColumn("slot", F.floor(F.unix_micros("value_date") / (settings.window_days * 86_400_000_000)))
     return rows.select(*(F.col(c).alias(f"{side}_{c}") for c in rows.columns))
 
 
 def candidates(source: DataFrame, target: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Pairs within tolerance and window with their confidence, at least the least one: source_*, target_*, delta, confidence."""
+    """Pairs within tolerance and window with their confidence, at least the least one: source_*, target_*, delta, days, confidence and the amount bands."""
     a, b = _keyed(source, "source", settings), _keyed(target, "target", settings)
     around = (-1, 0, 1) if settings.tolerance else (0,)
     a = a.withColumn("band", F.explode(F.array(*(F.col("source_band") + d for d in around)))).withColumn("slot", F.explode(F.array(*(F.col("source_slot") + d for d in (-1, 0, 1)))))
@@ -57,24 +63,65 @@ def candidates(source: DataFrame, target: DataFrame, settings: Settings = Settin
     same_party = F.when((F.col("source_party") != "") & (F.col("source_party") == F.col("target_party")), 0.05).otherwise(0.0)
     confidence = F.least(F.lit(1.0), 0.6 * amount_score + 0.3 * date_score + same_ref + same_party)
     scored = near.withColumn("confidence", confidence).where(F.col("confidence") >= settings.least_confidence)
-    return scored.select("source_idx", "source_id", "target_idx", "target_id", "delta", "days", "confidence")
+    return scored.select("source_idx", "source_id", "target_idx", "target_id", "delta", "days", "confidence", "source_band", "target_band")
 
 
-def greedy_matches(pairs: DataFrame, most_rounds: int = 1_000) -> DataFrame:
-    """One-to-one pairs, best confidence first, then least source_idx, then least target_idx."""
+def _with_islands(pairs: DataFrame) -> DataFrame:
+    """Adds island: equal for pairs whose bands are joined by bands that follow each other."""
+    if pairs.where("source_band <> target_band").isEmpty():
+        return pairs.withColumn("island", F.col("source_band"))
+    bands = pairs.select(F.explode(F.array("source_band", "target_band")).alias("source_band")).distinct()
+    runs = content_numbered(bands, ["source_band"]).select("source_band", (F.col("source_band") - F.col("source_row_no")).alias("island"))
+    return pairs.join(runs, "source_band")
+
+
+def _in_one_pass(pairs: DataFrame) -> DataFrame:
+    """Greedy pairs of islands: an island's pairs stream by in order, and only what is taken is remembered."""
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, sources, targets = None, set(), set()
+        for batch in batches:
+            kept = []
+            for i, (island, source, target) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("island", "source_idx", "target_idx")))):
+                if island != own:
+                    own, sources, targets = island, set(), set()
+                if source not in sources and target not in targets:
+                    sources.add(source)
+                    targets.add(target)
+                    kept.append(i)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    ordered = pairs.repartition("island").sortWithinPartitions("island", F.desc("confidence"), "source_idx", "target_idx")
+    return ordered.mapInArrow(take, pairs.schema)
+
+
+def _in_rounds(pairs: DataFrame) -> DataFrame:
+    """Greedy pairs by rounds; every round takes the best pair at least."""
     best = (F.desc("confidence"), "source_idx", "target_idx")
-    left = checkpointed(pairs)
-    taken = None
-    for _ in range(most_rounds):
+    left, taken = pairs, pairs.limit(0)
+    for turn in count(1):
         ranked = left.withColumns({"source_rank": F.row_number().over(Window.partitionBy("source_idx").orderBy(*best)), "target_rank": F.row_number().over(Window.partitionBy("target_idx").orderBy(*best))})
-        won = ranked.where("source_rank = 1 and target_rank = 1").drop("source_rank", "target_rank")
-        won = checkpointed(won)
-        taken = won if taken is None else taken.unionByName(won)
-        left = left.join(won.select("source_idx"), "source_idx", "left_anti").join(won.select("target_idx"), "target_idx", "left_anti")
-        left = checkpointed(left)
+        won = checkpointed(ranked.where("source_rank = 1 and target_rank = 1").drop("source_rank", "target_rank"))
+        taken = taken.unionByName(won)
+        if turn % 16 == 0:
+            taken = checkpointed(taken)
+        left = checkpointed(left.join(won.select("source_idx"), "source_idx", "left_anti").join(won.select("target_idx"), "target_idx", "left_anti"))
         if left.isEmpty():
-            return taken
-    raise RuntimeError(f"matching has not settled in {most_rounds} rounds")
+            break
+    return taken
+
+
+def greedy_matches(pairs: DataFrame, most_pairs: int = 1_000_000) -> DataFrame:
+    """One-to-one pairs, best confidence first, then least source_idx, then least target_idx.
+
+    pairs: as `candidates` gives them. Islands of more than `most_pairs` are matched by rounds.
+    """
+    parts = checkpointed(_with_islands(checkpointed(pairs)))
+    large = checkpointed(parts.groupBy("island").count().where(F.col("count") > most_pairs).select("island"))  # one row per `most_pairs` pairs at most
+    if large.isEmpty():
+        return _in_one_pass(parts).drop("island")
+    small = _in_one_pass(parts.join(F.broadcast(large), "island", "left_anti"))
+    return small.unionByName(_in_rounds(checkpointed(parts.join(F.broadcast(large), "island", "left_semi")))).drop("island")
 
 
 def reconcile(source: DataFrame, target: DataFrame, settings: Settings = Settings()) -> DataFrame:

@@ -16,7 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import money
-from ledgerloom.functions.text import is_blank, key
+from ledgerloom.functions.money import rounded_half_up
+from ledgerloom.functions.text import filled, is_blank, key
 from ledgerloom.functions.timeparts import local_hour, local_weekday, rounded_days
 
 ZONE, OPENS, CLOSES, WEEKEND = "Asia/Riyadh", 7, 19, (5, 6)
@@ -188,6 +189,41 @@ def replace_open(existing: DataFrame, fresh: DataFrame) -> DataFrame:
     return existing.where(~F.coalesce(gone, F.lit(False))).unionByName(fresh, allowMissingColumns=True)
 
 
+#: Arabic words for operators and fields, and the descriptions of what breaks a rule.
+OPERATOR_TEXTS = {"gt": "أكبر من", "gte": "أكبر من أو يساوي", "lt": "أقل من", "lte": "أقل من أو يساوي", "eq": "يساوي", "neq": "لا يساوي", "between": "بين"}
+FIELD_TEXTS = {
+    "amount": "المبلغ",
+    "vatAmount": "ضريبة القيمة المضافة",
+    "hour": "ساعة القيد",
+    "weekday": "يوم الأسبوع",
+    "vatRatioPct": "نسبة الضريبة %",
+    "valueVsPostedDays": "الفارق بين تاريخ القيد وتاريخ القيمة (أيام)",
+}
+RULE_TEXTS = {
+    "field_compare": "{reference}: {field} ({actual}) {op} {bound}.",
+    "round_amount": "{reference}: مبلغ مُدوَّر ({amount}) بأصفار تتبع لا تقل عن {zeros}.",
+    "threshold_avoidance": "{reference}: المبلغ ({amount}) أقل بقليل من حد الاعتماد ({limit}) — قد يشير لتقسيم/التفاف على الحد.",
+}
+
+
+def described(transactions: DataFrame, rule: Rule) -> DataFrame:
+    """The transactions that break a row rule, with description_ar where the rule's type has one."""
+    d, kind = rule.definition, rule.definition["type"]
+    plain = lambda v: str(int(v)) if float(v).is_integer() else repr(float(v))
+    values = {"reference": F.col("reference"), "amount": money.from_minor_units(_minor())}
+    if kind == "field_compare":
+        actual, is_money = _fields()[d["field"]], d["field"] in ("amount", "vatAmount")
+        shown = money.from_minor_units(actual) if is_money else F.regexp_replace(rounded_half_up(actual * 100).cast("double").__truediv__(100).cast("string"), r"\.0$", "")
+        bound = f"{plain(d['value'])} و {plain(d['value2'])}" if d["op"] == "between" else plain(d["value"])
+        values |= {"field": F.lit(FIELD_TEXTS[d["field"]]), "actual": shown, "op": F.lit(OPERATOR_TEXTS[d["op"]]), "bound": F.lit(bound)}
+    elif kind == "round_amount":
+        values["zeros"] = F.lit(plain(d["minTrailingZeros"]))
+    elif kind == "threshold_avoidance":
+        values["limit"] = F.lit(plain(d["limit"]))
+    text = filled(RULE_TEXTS[kind], values) if kind in RULE_TEXTS else F.lit(None).cast("string")
+    return matching(transactions, rule).withColumn("description_ar", text)
+
+
 #: The starter library.
 LIBRARY: tuple[Rule, ...] = (
     Rule("LARGE-ITEMS", "HIGH", {"type": "field_compare", "field": "amount", "op": "gte", "value": 100000}),

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import json
-from typing import Any
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import framing
+from ledgerloom.operators.chains import Chain, hashed_in_order
 
 #: Rows of the work queue per firm and in all.
 PER_FIRM, IN_ALL = 50, 200
@@ -41,21 +39,9 @@ def population(records: DataFrame, dataset_hashes: DataFrame) -> DataFrame:
 
 
 def population_fingerprints(members: DataFrame) -> DataFrame:
-    """dataset_id, n_members, fingerprint: a chain over members in row order.
-
-    A chain is sequential by definition, so a dataset is one group of 32 bytes a member.
-    """
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("source_row_no", "eoi"))), lambda x: F.unhex(x["eoi"]))
-    return members.groupBy("dataset_id").agg(F.count("*").alias("n_members"), framing.population_fold(ordered).alias("fingerprint"))
-
-
-def manifest(fingerprints: DataFrame, build: str) -> dict[str, Any]:
-    """Manifest of a sealed preparation: counts, fingerprints in order of dataset, and their identity. One row per dataset."""
-    rows = [r.asDict() for r in fingerprints.orderBy("dataset_id").collect()]
-    body = {"build": build, "datasets": len(rows), "members": sum(r["n_members"] for r in rows), "fingerprints": rows}
-    import hashlib
-
-    return body | {"hash": hashlib.sha256(json.dumps(body, sort_keys=True).encode()).hexdigest()}
+    """dataset_id, n_members, fingerprint: a chain over members in row order, streamed, so that a dataset may be of any size."""
+    chained = hashed_in_order(members, ("dataset_id",), "eoi", Chain)
+    return chained.select("dataset_id", F.col("n_rows").alias("n_members"), framing.population_seal(F.col("hashed"), F.col("n_rows")).alias("fingerprint"))
 
 
 def publish(members: DataFrame, path: str) -> None:

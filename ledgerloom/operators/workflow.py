@@ -95,9 +95,37 @@ def feed(anomalies: DataFrame, by: FeedFilter = FeedFilter(), rows: int = FEED_R
     return filtered(anomalies, by, stored=True).orderBy(F.desc("score"), F.desc("detected_at"), "anomaly_id").limit(rows)
 
 
+def anomaly_listing(anomalies: DataFrame, transactions: DataFrame, users: DataFrame, rules: DataFrame) -> DataFrame:
+    """Anomalies with reference, amount and counterparty of their transaction, who resolved them, and the name of their rule.
+
+    anomalies: transaction_id, resolver_id, rule_id; transactions: transaction_id, reference,
+    amount, counterparty; users: resolver_id, resolver_name; rules: rule_id, rule_name.
+    """
+    out = anomalies
+    for other, on, columns in ((transactions, "transaction_id", ("reference", "amount", "counterparty")), (users, "resolver_id", ("resolver_name",)), (rules, "rule_id", ("rule_name",))):
+        out = out.join(other.select(on, *columns), on, "left")
+    return out
+
+
+def listed(rows: DataFrame, order: dict[str, bool], most: int | None = FEED_ROWS) -> DataFrame:
+    """A listing ordered by columns, each ascending (True) or descending; its first `most` rows, or all."""
+    ordered = rows.orderBy(*(F.asc(c) if up else F.desc(c) for c, up in order.items()))
+    return ordered if most is None else ordered.limit(most)
+
+
 def newest(rows: DataFrame, at: str, tie: str, most: int = FEED_ROWS) -> DataFrame:
     """The newest rows of a listing."""
-    return rows.orderBy(F.desc(at), tie).limit(most)
+    return listed(rows, {at: False, tie: True}, most)
+
+
+def engagements(rows: DataFrame, most: int | None = FEED_ROWS) -> DataFrame:
+    """Engagements by fiscal year, then by when they were made, newest first."""
+    return listed(rows, {"fiscal_year": False, "created_at": False, "engagement_id": True}, most)
+
+
+def outcome_counts(results: DataFrame) -> DataFrame:
+    """Rows of each outcome."""
+    return results.groupBy("outcome").agg(F.count("*").alias("n"))
 
 
 def results_page(results: DataFrame, take: int = 500) -> DataFrame:
@@ -125,7 +153,15 @@ def resolved(status: Column, action: Column) -> Column:
 
 
 def attempts_in_window(log: DataFrame, who: str, at: str, minutes: int = 15) -> DataFrame:
-    """Log rows with the number of attempts by the same account or address in the minutes up to each."""
-    micros = F.unix_micros(at)
-    window = Window.partitionBy(who).orderBy(micros).rangeBetween(-minutes * 60_000_000, 0)
-    return log.withColumn("attempts", F.count("*").over(window))
+    """Log rows with the number of attempts by the same account or address in the minutes up to each.
+
+    Time is cut into blocks as long as the window; a row counts in its own block and in the next
+    one, so a task orders two blocks of an account, however many rows it has. Rows without a
+    time count among themselves.
+    """
+    width = minutes * 60_000_000
+    rows = log.withColumn("at_micros", F.unix_micros(at)).withColumn("at_block", F.floor(F.col("at_micros") / width))
+    turns = F.when(F.col("at_micros").isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
+    rows = rows.withColumn("at_turn", F.explode(turns)).withColumn("at_block", F.col("at_block") + F.col("at_turn"))
+    window = Window.partitionBy(who, "at_block").orderBy("at_micros").rangeBetween(-width, 0)
+    return rows.withColumn("attempts", F.count("*").over(window)).where("at_turn = 0").drop("at_micros", "at_block", "at_turn")

@@ -166,19 +166,27 @@ def recon_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("source_idx", "target_idx", "delta", F.round("confidence", 6).alias("confidence"))
 
 
-@query()
+#: The greedy choice in SQL: a fold over the pairs from best to worst that keeps what isn't taken yet.
+_GREEDY = f"""{_CANDIDATES}, o AS (SELECT list({{'s': [source_idx], 't': [target_idx], 'd': [CAST(delta AS BIGINT)], 'c': [confidence]}} ORDER BY confidence DESC, source_idx, target_idx) AS pairs FROM c WHERE confidence >= 0.5),
+g AS (SELECT list_reduce(pairs, lambda a, x: CASE WHEN list_has_any(a.s, x.s) OR list_has_any(a.t, x.t) THEN a ELSE {{'s': list_concat(a.s, x.s), 't': list_concat(a.t, x.t), 'd': list_concat(a.d, x.d), 'c': list_concat(a.c, x.c)}} END) AS m FROM o WHERE pairs IS NOT NULL),
+m AS (SELECT unnest(m.s) AS source_idx, unnest(m.t) AS target_idx, unnest(m.d) AS delta, unnest(m.c) AS confidence FROM g), u AS (SELECT idx FROM r WHERE idx % 2 = 0 AND idx NOT IN (SELECT source_idx FROM m))"""
+
+
+@query(f"""{_GREEDY} SELECT CAST(source_idx AS VARCHAR) AS source_id, CAST(target_idx AS VARCHAR) AS target_id, CASE WHEN delta = 0 THEN 'MATCHED' ELSE 'PARTIAL' END AS status, round(confidence, 4) AS confidence, delta FROM m
+UNION ALL SELECT CAST(idx AS VARCHAR), NULL, 'UNMATCHED', 0.0::DOUBLE, 0 FROM u""")
 def recon_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.reconcile(*views.record_sides(spark, sf_dir), _RECON)
 
 
-@query()
+@query(f"{_GREEDY} SELECT 'UNRECONCILED' AS code, 'MEDIUM' AS severity, 60 AS score, CAST(idx AS VARCHAR) AS id FROM u")
 def recon_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, target = views.record_sides(spark, sf_dir)
     matches = reconcile.greedy_matches(reconcile.candidates(source, target, _RECON))
-    return reconcile.unreconciled_findings(reconcile.unmatched(source, matches, "source"))
+    found = reconcile.unreconciled_findings(reconcile.unmatched(source, matches, "source"))
+    return found.select("code", "severity", "score", F.col("ids")[0].alias("id"))
 
 
-@query()
+@query(f"""{_GREEDY} SELECT count(*) FILTER (WHERE delta = 0) AS matched, count(*) FILTER (WHERE delta <> 0) AS partial, (SELECT count(*) FROM r WHERE idx % 2 = 0) - count(*) AS unmatched_source, (SELECT count(*) FROM r WHERE idx % 2 = 1) - count(*) AS unmatched_target FROM m""")
 def recon_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, target = views.record_sides(spark, sf_dir)
     return reconcile.summary(reconcile.greedy_matches(reconcile.candidates(source, target, _RECON)), source, target)
@@ -225,7 +233,7 @@ def _imported(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.prepare_rows(_imported(spark, sf_dir), "GENERAL_LEDGER", ingest.suggest_mapping("GENERAL_LEDGER", _HEADERS))
+    return ingest.prepare_rows(_imported(spark, sf_dir), "GENERAL_LEDGER", ingest.suggest_mapping("GENERAL_LEDGER", _HEADERS), headers=_HEADERS)
 
 
 _ROWS = f"""WITH {views.GL}, i AS (SELECT source_row_no, CAST(source_entry_id AS BIGINT) % 13 = 0 AS no_account, CAST(source_entry_id AS BIGINT) % 7 = 0 AS bad_date, CAST(source_entry_id AS BIGINT) % 11 = 0 AS no_amount FROM gl)"""
@@ -290,13 +298,23 @@ def eoi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.population(_two_cells(spark, sf_dir), hashes).select("source_row_no", "eoi")
 
 
-@query()
+_LEB = "CASE WHEN {n} < 128 THEN unhex(printf('%02x', {n})) WHEN {n} < 16384 THEN unhex(printf('%02x%02x', {n} % 128 + 128, {n} // 128)) ELSE unhex(printf('%02x%02x%02x', {n} % 128 + 128, {n} // 128 % 128 + 128, {n} // 16384)) END"
+_HEADER = {"sourceFileSha256": None, "effectiveProfileHash": "p", "mappingHash": "m", "datasetKind": "OTHER", "normalizerVersion": "g2.1"}
+_HEADER_SQL = "unhex('05') || " + " || ".join(_frame(repr(k)) + " || " + ("unhex('00')" if v is None else _frame(repr(v))) for k, v in sorted(_HEADER.items()))
+
+
+@query(f"""WITH h AS (SELECT o_orderkey AS source_row_no, sha256({_TWO_CELLS}) AS raw_hash FROM orders), g AS (SELECT count(*) AS n, string_agg(raw_hash, '' ORDER BY source_row_no) AS body FROM h)
+SELECT 'ds1' AS dataset_id, sha256({_HEADER_SQL} || {_LEB.format(n='n')} || unhex(body)) AS dataset_hash, n AS n_rows FROM g""")
 def dataset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    header = {"sourceFileSha256": None, "effectiveProfileHash": "p", "mappingHash": "m", "datasetKind": "OTHER", "normalizerVersion": "g2.1"}
-    return ingest.dataset_hash(_two_cells(spark, sf_dir), header, ("dataset_id",))
+    return ingest.dataset_hash(_two_cells(spark, sf_dir), _HEADER, ("dataset_id",))
+
+
+_EOI = f"""h AS (SELECT o_orderkey AS source_row_no, sha256({_TWO_CELLS}) AS raw_hash FROM orders),
+eois AS (SELECT source_row_no, sha256({_frame("'g4eoi.1'")} || unhex('0203') || {_frame("'abc'")} || {_frame("CAST(source_row_no AS VARCHAR)")} || {_frame("raw_hash")}) AS eoi FROM h)"""
 
 
-@query()
+@query(f"""WITH {_EOI}, c AS (SELECT count(*) AS n, list_reduce(list_prepend(sha256('g4pop.seed'), list(eoi ORDER BY source_row_no)), lambda a, x: sha256(unhex(a) || unhex(x))) AS chain FROM eois)
+SELECT 'ds1' AS dataset_id, n AS n_members, sha256({_frame("'g4pop.2'")} || unhex('0202') || {_frame("chain")} || {_frame("CAST(n AS VARCHAR)")}) AS fingerprint FROM c""")
 def population_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     hashes = spark.createDataFrame([("ds1", "abc")], "dataset_id string, dataset_hash string")
     return runs.population_fingerprints(runs.population(_two_cells(spark, sf_dir), hashes))
@@ -369,7 +387,7 @@ def exe_hash_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {views.GL}, {_ALL} SELECT source_entry_id, CAST(d - c AS BIGINT) AS difference FROM e WHERE k = 1 AND d <> c")
 def exe_unbalanced_je(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = views.balanced_ledger(spark, sf_dir)
-    found = executors.unbalanced_entries(views.members(lines), lines, accounting.entries(lines))
+    found = executors.unbalanced_entries(views.members(lines), lines)
     return found.select("source_entry_id", (F.col("difference").cast("decimal(24,6)") * 100).cast("long").alias("difference"))
 
 

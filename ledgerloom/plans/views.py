@@ -83,9 +83,11 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def balanced_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ledger with a mirror line for every line of even orders."""
-    rows = ledger(spark, sf_dir)
-    mirror = rows.where(F.col("source_entry_id").cast("long") % 2 == 0).withColumns({"transaction_debit": F.col("transaction_credit"), "transaction_credit": F.col("transaction_debit"), "source_row_no": F.col("source_row_no") + 500})
-    return rows.unionByName(mirror)
+    sides = F.when(F.col("source_entry_id").cast("long") % 2 == 0, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    rows = ledger(spark, sf_dir).withColumn("is_mirror", F.explode(sides))
+    swapped = lambda own, other: F.when(F.col("is_mirror"), F.col(other)).otherwise(F.col(own))
+    number = F.col("source_row_no") + F.when(F.col("is_mirror"), 500).otherwise(0)
+    return rows.withColumns({"transaction_debit": swapped("transaction_debit", "transaction_credit"), "transaction_credit": swapped("transaction_credit", "transaction_debit"), "source_row_no": number}).drop("is_mirror")
 
 
 def members(lines: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -22,10 +24,13 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """Folder that driver and executors share: the session's `spark.checkpoint.dir`.
 
-    Only where that is unset, as in tests on one machine, is a folder of the warehouse used.
+    Only on one machine may that be unset, as in tests: then it is a folder of the warehouse.
     """
-    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-    return spark.conf.get("spark.checkpoint.dir", None) or f"{warehouse}/checkpoints"
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

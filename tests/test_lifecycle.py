@@ -1,13 +1,20 @@
 """Imports, runs, matters and the streaming extension."""
 
 import hashlib
+import os
+import shutil
+import subprocess
+import sys
 
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import framing
-from ledgerloom.operators import executors, lifecycle, rules
+from ledgerloom.functions.text import filled
+from ledgerloom.operators import executors, imports, ingest, lifecycle, preparation, rules
+from ledgerloom.operators.executors import ConfigurationError
 from ledgerloom.operators.ingest import frame, raw_cells
+from ledgerloom.sources import sinks
 from ledgerloom.streaming.rules import streamed_findings, streamed_first_seen
 from tests.test_operators import tx
 
@@ -76,3 +83,73 @@ def test_streams(spark, tmp_path):
         query.stop()
     assert {(r.rule, r.ids[0]) for r in spark.table("found").collect()} == {("WEEKEND", "t2")}
     assert spark.table("seen").count() == 2
+
+
+def test_confirmed_import_is_all_or_nothing(spark, tmp_path):
+    headers = ["account", "posting date", "amount", "currency", "Entry"]
+    rows = spark.createDataFrame([(1, ["1", "2024-01-31", "10.000001", "SAR", "E"]), (2, ["2", "2024-01-31", "-10.000001", "SAR", "E"]), (3, ["3", "x", "1", "SAR", "E"])], "source_row_no long, values array<string>")
+    cells = rows.select("source_row_no", raw_cells(headers, F.col("values")).alias("cells"))
+    prepared = ingest.prepare_rows(cells, "GENERAL_LEDGER", ingest.suggest_mapping("GENERAL_LEDGER", headers), headers=headers)
+    path, more = str(tmp_path / "import"), {"identity": {"sourceEntryId": "entry"}, "convention": "POSITIVE_DEBIT_NEGATIVE_CREDIT"}
+    header = {"datasetKind": "GENERAL_LEDGER"}
+    broken = prepared.withColumn("source_row_no", F.when(F.col("source_row_no") == 2, F.raise_error(F.lit("torn")).cast("long")).otherwise(F.col("source_row_no")))
+    with pytest.raises(Exception, match="torn"):
+        imports.confirm_import(broken, "GENERAL_LEDGER", "d", header, path, **more)
+    with pytest.raises(Exception):
+        sinks.read_sealed(spark, path, "dataset")
+    imports.confirm_import(prepared, "GENERAL_LEDGER", "d", header, path, **more)
+    dataset = sinks.read_sealed(spark, path, "dataset").first()
+    assert (dataset.status, dataset.n_rows, dataset.n_rejected, len(dataset.dataset_hash)) == ("COMPLETED_WITH_ISSUES", 3, 1, 64)
+    entry = sinks.read_sealed(spark, path, "entries").first()
+    assert (entry.source_entry_id, entry.n_lines, entry.balance_status, str(entry.debit_total)) == ("E", 2, "BALANCED", "10.000001")
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS|already exists"):
+        imports.confirm_import(prepared, "GENERAL_LEDGER", "d", header, path, **more)
+    balance = ingest.prepare_rows(cells, "TRIAL_BALANCE", {"account": "accountCode", "amount": "closingDebit"}, headers=headers)
+    tables = imports.confirmed(balance, "TRIAL_BALANCE", "t", header)
+    assert sorted(str(r.closing_debit) for r in tables["balances"].collect()) == ["-10.000001", "1.000000", "10.000001"]
+
+
+def test_seal(spark):
+    rows = spark.createDataFrame([(2, "ELIGIBLE", "b"), (1, "NOT_ELIGIBLE", None)], "resolution_id int, eligibility string, fingerprint string")
+    sealed = preparation.seal(rows, {"members": 3, "datasets": 1}, "build-1")
+    frame = ingest.frame
+    named = lambda parts: b"\x03" + bytes([len(parts)]) + b"".join(frame(k) + parts[k] for k in sorted(parts))
+    body = named({"expected": named({"datasets": frame("1"), "members": frame("3")}), "engineBuildVersionCandidate": frame("build-1"), "popFingerprints": b"\x02\x02\x00" + frame("b")})
+    assert sealed["hash"] == hashlib.sha256(frame("g4manifest.1") + body).hexdigest()
+    for wrong in ((rows.withColumn("fingerprint", F.lit(None).cast("string")), "build-1"), (rows, None)):
+        with pytest.raises(preparation.PreparationError):
+            preparation.seal(wrong[0], {}, wrong[1])
+    pins = spark.createDataFrame([("t", None), ("u", "test not found")], "test_key string, problem string")
+    with pytest.raises(Exception, match="test not found"):
+        preparation.without_problems(pins).collect()
+    assert preparation.draft_attempts() == 3 and preparation.draft_attempts(20) == 20
+    with pytest.raises(ConfigurationError):
+        preparation.draft_attempts(21)
+
+
+def test_authoring():
+    made = preparation.author_test("f", " round-1 ", "Round", "STATISTICAL", "ROUND_NUMBER_FREQUENCY", ["GENERAL_LEDGER", "BANK"], {"roundingQuantum": "100", "minimumPopulation": "5", "minimumRoundCount": 2, "rateThresholdNum": 2, "rateThresholdDenom": 10})
+    assert made.key == "round-1" and made.requirements == {"requiredDatasetKinds": ["GENERAL_LEDGER"]}
+    assert (made.definition["params"]["rateThresholdNum"], made.definition["params"]["rateThresholdDenom"]) == (1, 5)
+    plain = preparation.author_test("f", "k1", "n", "DATA_QUALITY", "POPULATION_MEMBER", ["BANK"])
+    assert plain.version_hash == hashlib.sha256(b'{"f":"f","key":"k1","v":1,"tt":"DATA_QUALITY","def":{"kind":"POPULATION_MEMBER"},"req":{"requiredDatasetKinds":["BANK"]}}').hexdigest()
+    for bad in (("f", "x", "n", "DATA_QUALITY", "POPULATION_MEMBER", ["BANK"]), ("f", "k1", "n", "RULE", "ANY", ["BANK"]), ("f", "k1", "n", "STATISTICAL", "DUPLICATE_AMOUNT_FREQUENCY", ["GENERAL_LEDGER"], {"minimumOccurrenceCount": 1})):
+        with pytest.raises(ConfigurationError):
+            preparation.author_test(*bad)
+
+
+def test_texts(spark):
+    assert spark.range(1).select(filled("{a} of {b}.", {"a": F.lit(3), "b": F.lit(None).cast("string")}).alias("x")).first().x == "3 of ."
+
+
+def test_a_copy_without_training_operators_works(tmp_path):
+    """The engine needs neither of the two folders that belong to the training-data operators, nor the pipeline."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for keep_pipeline in (True, False):
+        copy = tmp_path / f"copy-{keep_pipeline}"
+        copy.mkdir()
+        shutil.copytree(f"{root}/ledgerloom", copy / "ledgerloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+        for name in ("__spark_entry__.py", *(["corpus_pipeline.py"] if keep_pipeline and os.path.exists(f"{root}/corpus_pipeline.py") else [])):
+            shutil.copy(f"{root}/{name}", copy / name)
+        code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n[:2] == 'op' and n[2].isdigit() or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
+        subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env=os.environ | {"PYTHONPATH": str(copy)})
