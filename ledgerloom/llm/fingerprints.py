@@ -1,6 +1,6 @@
 """Winnowed document fingerprints, with DataFrame functions only.
 
-Every run of `gram` consecutive words has a 64-bit hash. Of each `window` consecutive grams the
+Every run of `gram` consecutive words has a 64-bit rolling hash. Of each `window` consecutive grams the
 one with the least hash is kept, the rightmost where several are equal, together with its
 position. Two texts that share gram + window - 1 consecutive words therefore share a kept
 hash, and the kept positions are at most `window` grams apart.
@@ -21,6 +21,9 @@ from ledgerloom.llm.tables import checkpointed, table
 GRAM, WINDOW = 5, 4
 #: ASCII white space, which separates words.
 _SPACE = " \t\n\x0b\x0c\r"
+#: Characters below which a text's grams are of characters; and letters of scripts that put no spaces between words.
+SHORT = 128
+_UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 #: A gram's sort key: 33 bits of its hash, then its position counted down in 30 bits.
 _POSITION_BITS = 30
 _LAST_POSITION = (1 << _POSITION_BITS) - 1
@@ -36,18 +39,58 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def units(text: Column) -> Column:
+    """What grams are made of: the words of a text; its characters if it is short, or its words by characters where they belong to scripts without spaces."""
+    spaced = F.when(text.rlike(_UNSPACED), F.regexp_replace(text, f"({_UNSPACED})", " $1 ")).otherwise(text)
+    words = F.split(F.btrim(spaced, F.lit(_SPACE)), f"[{_SPACE}]+")
+    chars = F.split(F.btrim(text, F.lit(_SPACE)), "")
+    return F.when(F.btrim(text, F.lit(_SPACE)) == "", F.array().cast("array<string>")).when(F.char_length(text) < SHORT, chars).otherwise(words)
+
+
+def _rotated(value: Column, by: int) -> Column:
+    """The bits of a long, turned to the left."""
+    by %= 64
+    return F.shiftleft(value, by).bitwiseOR(F.shiftrightunsigned(value, 64 - by)) if by else value
+
+
+def _over(values: Column, size: int, join: Callable[[Column, Column, int], Column]) -> Column:
+    """`join` over every `size` consecutive values, from those over powers of two: join(left, right, values in right).
+
+    A stretch of 2 n values is joined of two stretches of n that its neighbours share, so each
+    place takes the logarithm of `size` in steps, and none looks at `size` values.
+    """
+
+    def paired(left: Column, right: Column, apart: int, n: int) -> Column:
+        return let(right, lambda r: F.transform(left, lambda x, i: join(x, F.get(r, i + apart), n)))
+
+    def extend(powers: Column, width: int, total: Column | None, done: int) -> Column:
+        """powers: over `width` values; total: over the first `done`, which are the lower bits of size."""
+        if size & width:
+            total, done = (powers, width) if total is None else (paired(total, powers, done, width), done + width)
+        if done == size:
+            return total
+        return let(paired(powers, powers, width, width), lambda wider: extend(wider, 2 * width, total, done))
+
+    whole = let(values, lambda v: extend(v, 1, None, 0))
+    return let(whole, lambda w: F.slice(w, 1, F.greatest(F.size(w) - (size - 1), F.lit(0))))
+
+
 def gram_hashes(text: Column, gram: int) -> Column:
-    """Hash of every `gram` consecutive words; of all words if there are fewer; none without words."""
-    words = F.split(F.btrim(text, F.lit(_SPACE)), f"[{_SPACE}]+")
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
-    grams = let(hashed, lambda h: F.transform(F.sequence(F.lit(1), F.greatest(F.size(h) - (gram - 1), F.lit(1))), lambda i: F.xxhash64(F.slice(h, i, gram))))
-    return F.when(F.btrim(text, F.lit(_SPACE)) == "", F.array().cast("array<bigint>")).otherwise(grams)
+    """Rolling hash of every `gram` consecutive units; of all units if there are fewer; none without any.
+
+    It is the cyclic polynomial: every unit's hash turned by the number of units after it, and
+    joined by exclusive or. A hash follows from those of the shorter runs that it shares with its
+    neighbours.
+    """
+    hashed = F.transform(units(text), lambda w: F.xxhash64(w))
+    rolled = lambda h: _over(h, gram, lambda a, b, n: _rotated(a, n).bitwiseXOR(b))
+    return let(hashed, lambda h: F.when(F.size(h) >= gram, rolled(h)).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>")))
 
 
 def winnow(grams: Column, window: int) -> Column:
     """Kept (hash, position) of an array of gram hashes, in order of position."""
     keys = F.transform(grams, lambda g, i: F.shiftrightunsigned(g, 31) * F.lit(1 << _POSITION_BITS) + (F.lit(_LAST_POSITION) - i))
-    least = let(keys, lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.size(k) - (window - 1), F.lit(1))), lambda i: F.array_min(F.slice(k, i, window))))
+    least = let(keys, lambda k: F.when(F.size(k) >= window, _over(k, window, lambda a, b, n: F.least(a, b))).otherwise(F.array(F.array_min(k))))
     kept = F.transform(F.array_distinct(least), lambda k: (F.lit(_LAST_POSITION) - k.bitwiseAND(F.lit(_LAST_POSITION))).cast("int"))
     return let(grams, lambda g: F.when(F.size(g) == 0, F.array().cast("array<struct<hash:bigint,position:int>>")).otherwise(F.transform(kept, lambda p: F.struct(g[p].alias("hash"), p.alias("position")))))
 
@@ -67,8 +110,9 @@ def fingerprint_documents(docs: DataFrame, gram: int = GRAM, window: int = WINDO
     """doc_id, text and fingerprint of each row of docs.
 
     docs: needs doc_id and text; other columns, whatever their names, are ignored. Null texts
-    count as empty and have an empty fingerprint; a text of fewer than `gram` words has one
-    kept hash, that of all its words. Ties within a window keep the rightmost gram. Repeated
+    count as empty and have an empty fingerprint. Grams are of words, of characters in texts of
+    under SHORT characters, and letters of scripts without spaces count as words; a text of
+    fewer than `gram` of them has one kept hash, that of all. Ties within a window keep the rightmost gram. Repeated
     rows are answered each for itself, an empty table gives no rows, and a text of any length
     is read whole (positions up to 2**30 words are told apart).
     """

@@ -74,11 +74,20 @@ def brute_fingerprint(text, hashes, gram, window):
 
 
 def test_winnowing(spark, documents, prose):
-    texts = AWKWARD + [prose(n) for n in (3, 5, 8, 9, 40, 300)] + ["a b " * 60]
-    rows = fingerprints.fingerprint_documents(documents(texts, extra=("fingerprint", "block")), 5, 4).withColumn("hashes", fingerprints.gram_hashes(F.col("text"), 5)).collect()
+    texts = AWKWARD + [prose(n) for n in (3, 5, 8, 9, 40, 300)] + ["a b " * 60, "語学" * 100 + " x"]
+    own = {"hashes": fingerprints.gram_hashes(F.col("text"), 5), "units": fingerprints.units(F.col("text")), "single": F.transform(fingerprints.units(F.col("text")), lambda u: F.xxhash64(u))}
+    rows = fingerprints.fingerprint_documents(documents(texts, extra=("fingerprint", "block")), 5, 4).withColumns(own).collect()
+    turned = lambda h, n: ((h << n) | ((h % 2**64) >> (64 - n))) % 2**64 if n else h % 2**64
     for r in rows:
         words = re.findall(r"[^\x20\x09-\x0D]+", r.text)
-        assert len(r.hashes) == (0 if not words else max(1, len(words) - 4))
+        expected = list(r.text.strip(" \t\n\v\f\r")) if len(r.text) < fingerprints.SHORT else [x for w in words for x in (w if w[0] in "語学" else [w])]
+        assert r.units == expected
+        assert len(r.hashes) == (0 if not words else max(1, len(r.units) - 4))
+        for i, found in enumerate(r.hashes if len(r.units) >= 5 else []):
+            rolled = 0
+            for j, h in enumerate(r.single[i : i + 5]):
+                rolled ^= turned(h, 4 - j)
+            assert found % 2**64 == rolled
         assert [x.position for x in r.fingerprint] == brute_fingerprint(r.text, r.hashes, 5, 4)
         assert [x.hash for x in r.fingerprint] == [r.hashes[x.position] for x in r.fingerprint]
         places = [x.position for x in r.fingerprint]
@@ -115,6 +124,7 @@ def test_fingerprint_query(spark, documents, prose, tmp_path):
         assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
     assert rows[8].fingerprint == rows[9].fingerprint and rows[8].near_next == 1 and rows[10].near_edited > 0.2
+    assert rows[4].near_edited > 0.1  # five words only, but half of its characters stay
 
 
 def test_licenses(spark, documents):
@@ -326,3 +336,10 @@ def test_url_trees_learn(spark):
     assert scored.where("crc32(url) % 2 = 1").agg(F.avg(((F.col("blocked_score") >= 0.5) == F.col("bad")).cast("int"))).first()[0] >= 0.95
     shown = spark.createDataFrame([("aab",), ("",), ("aaaa",)], "s string").select(urls.entropy(F.col("s"))).collect()
     assert [round(r[0], 4) for r in shown] == [0.9183, 0.0, 0.0]
+
+
+def test_values_over_stretches(spark):
+    values = [5, 3, 9, 1, 7, 2, 8, 6, 4, 0, 11]
+    row = spark.range(1).select(*(fingerprints._over(F.array(*map(F.lit, values)), n, lambda a, b, k: F.least(a, b)).alias(f"n{n}") for n in range(1, 12))).first()
+    for n in range(1, 12):
+        assert row[f"n{n}"] == [min(values[i : i + n]) for i in range(len(values) - n + 1)]
