@@ -31,7 +31,7 @@ SAMPLE_ROWS, FACTORS = 30_000, 8
 #: Buckets of hashed terms, as a power of two; and bytes of a word's head.
 _BITS, _HEAD = 20, 5
 #: Rows of a training batch; occurrences at which a term counts half; penalties of weights and factors, over the root of the sample's size.
-_BATCH, _HALF, _PENALTIES = 1024, 20, (0.17, 0.056)
+_BATCH, _HALF, _PENALTIES = 1024, 20, (0.17, 0.17)
 _SEPARATORS = bytes(b for b in range(0x80) if not (0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A))
 
 
@@ -90,15 +90,25 @@ def train_machine(features: list[np.ndarray], labels: np.ndarray, factors: int,
     damped, places = (counts / (counts + _HALF)).astype(np.float32), places.astype(np.int32)
     draw = np.random.default_rng(0)
     parts = np.array_split(draw.permutation(len(features)), -(-len(features) // _BATCH))
-    batches = [(*_batch(places, ends, rows), labels[rows].astype(np.float32)) for rows in parts]
-    del places
+    batches = [_batch(places, ends, rows) for rows in parts]
     state = [np.zeros(len(buckets), np.float32), draw.normal(0, 0.02, (len(buckets), factors)).astype(np.float32), np.array([bias], np.float32)]
     first, second = [np.zeros_like(s) for s in state], [np.zeros_like(s) for s in state]
     penalties, decay, dealt = [p / np.sqrt(len(features)) for p in _PENALTIES] + [0.0], (1e-5, 1e-4, 0.0), []
     settled = steps * 5 // 8
     for step in range(1, steps + 1):
+        if step == settled + 1:  # what the penalty left is fitted without it; the other terms add exactly nothing and are left out
+            counted = (state[0] != 0) | (state[1] != 0).any(1)
+            buckets, damped = buckets[counted], damped[counted]
+            for held in (state, first, second):
+                held[:2] = [x[counted] for x in held[:2]]
+            stays = counted[places]
+            ends = np.concatenate([[0], np.cumsum(stays)])[ends]
+            places = (np.cumsum(counted) - 1).astype(np.int32)[places[stays]]
+            batches = [_batch(places, ends, rows) for rows in parts]
         dealt = dealt or draw.permutation(len(batches)).tolist()
-        row, starts, columns, sizes, y = batches[dealt.pop()]
+        number = dealt.pop()
+        row, starts, columns, sizes = batches[number]
+        y = labels[parts[number]].astype(np.float32)
         scale, n = damped[columns], len(y)
         w, v = state[0][columns] * scale, state[1][columns] * scale[:, None]
         entries = np.repeat(v, sizes, axis=0)
@@ -106,28 +116,35 @@ def train_machine(features: list[np.ndarray], labels: np.ndarray, factors: int,
         value = state[2] + np.bincount(row, np.repeat(w - 0.5 * (v * v).sum(1), sizes), n) + 0.5 * (total * total).sum(1)
         error = ((1 / (1 + np.exp(-np.clip(value, -30, 30))) - y) / n).astype(np.float32)
         slopes = [d * s for d, s in zip(decay, state)]
-        slope = np.add.reduceat(error[row], starts)
-        slopes[0][columns] += slope * scale
-        slopes[1][columns] += (np.add.reduceat((error[:, None] * total)[row], starts, axis=0) - slope[:, None] * v) * scale[:, None]
+        if len(columns):
+            slope = np.add.reduceat(error[row], starts)
+            slopes[0][columns] += slope * scale
+            slopes[1][columns] += (np.add.reduceat((error[:, None] * total)[row], starts, axis=0) - slope[:, None] * v) * scale[:, None]
         slopes[2] += error.sum()
-        rate = 0.05 * min(1, 2 * (1 - step / (steps + 1)))
+        rate = np.float32(0.05 * min(1, 2 * (1 - step / (steps + 1))))
         for k in range(3):
-            first[k] += 0.1 * (slopes[k] - first[k])
-            second[k] += 0.001 * (slopes[k] * slopes[k] - second[k])
-            pace = rate / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-3)
-            moved = state[k] - pace * (first[k] / (1 - 0.9**step))
-            if step > settled:  # what the penalty left is fitted without it
-                state[k] = np.where(state[k] != 0, moved, 0).astype(np.float32)
+            first[k] *= 0.9
+            first[k] += 0.1 * slopes[k]
+            second[k] *= 0.999
+            second[k] += 0.001 * np.square(slopes[k], out=slopes[k])
+            pace = second[k] / np.float32(1 - 0.999**step)
+            np.sqrt(pace, out=pace)
+            pace += 1e-3
+            np.divide(rate, pace, out=pace)
+            moved = state[k] - pace * (first[k] / np.float32(1 - 0.9**step))
+            if step > settled:
+                state[k] = np.where(state[k] != 0, moved, np.float32(0))
                 continue
-            least = pace * penalties[k] * min(1, 2 * step / steps)
-            state[k] = (np.sign(moved) * np.maximum(abs(moved) - least, 0)).astype(np.float32)
-    counted = (state[0] != 0) | (state[1] != 0).any(1)  # the others add exactly nothing
-    scale = damped[counted]
-    return ToxicityModel(buckets[counted], (state[0][counted] * scale).astype(float), (state[1][counted] * scale[:, None]).astype(float), float(state[2][0]))
+            pace *= np.float32(penalties[k] * min(1, 2 * step / steps))
+            state[k] = moved - np.clip(moved, -pace, pace)
+    return ToxicityModel(buckets, (state[0] * damped).astype(float), (state[1] * damped[:, None]).astype(float), float(state[2][0]))
 
 
 def fit_toxicity(docs: DataFrame, sample: DataFrame, factors: int = FACTORS) -> ToxicityModel:
-    """Fit on docs (doc_id, text) that sample (doc_id, label) names; sample must be of bounded size."""
+    """Fit on docs (doc_id, text) that sample (doc_id, label) names; sample must be of bounded size.
+
+    A doc_id counts once, however many rows share it: with the least of their term sets.
+    """
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,7 +166,8 @@ def fit_toxicity(docs: DataFrame, sample: DataFrame, factors: int = FACTORS) ->
         yield pa.RecordBatch.from_arrays([pa.array([model.bias]), pa.array([model.buckets.tobytes()]), pa.array([numbers.tobytes()])], ["bias", "buckets", "numbers"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("text", "label", "doc_id")
-    features = rows.mapInArrow(extract, "terms array<long>, label int, doc_id long").repartition(1)
+    features = rows.mapInArrow(extract, "terms array<long>, label int, doc_id long")
+    features = features.groupBy("doc_id").agg(F.min("terms").alias("terms"), F.min("label").alias("label")).select("terms", "label", "doc_id").repartition(1)
     fitted = features.mapInArrow(fit, "bias double, buckets binary, numbers binary").first()  # one row, of a bounded number of buckets
     if not fitted:
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, factors)), 0.0)
