@@ -7,10 +7,11 @@ Streaming every document against every shard would cost the square of the corpus
 picks the shard. Each window selects an anchor, its least k-gram; documents that hold the same
 window select the same anchor. The least doc_id among an anchor's documents owns it. Owners
 send the words around their anchors to be indexed, the others send theirs to be matched, and
-both go to the owner's shard. There an FM-index over the owners' words is built, and backward
-search over its wavelet tree gives every interval of `length` words or more that occurs in a
-document with a smaller id. Anchors that very many documents share are spread: their owner's
-words are indexed in several copies of the shard and each document picks one.
+both go to the shard of the owner's lot: a stretch of its words. There an FM-index over the
+owners' words is built, and backward search over its wavelet tree gives every interval of
+`length` words or more that occurs in a document with a smaller id. A lot whose anchors very
+many documents share is spread: its words are indexed in several copies of the shard and each
+document picks one.
 
 A window that its anchor's owner doesn't hold may still occur in another document. Such windows
 are few (they contain an edit); they take part in a second round in which the window itself is
@@ -26,19 +27,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.fm_index import FmIndex, matching_intervals
 from ledgerloom.llm.tables import checkpointed, table
-from ledgerloom.llm.text import byte_class, chunks, gram_hashes, runs, span_hashes, utf8, SPACES
+from ledgerloom.llm.text import SPACES, byte_class, chunks, gram_hashes, mix, runs, span_hashes, utf8
 
 LENGTH, ANCHOR = 50, 10
-#: Documents of an anchor per copy of its shard; anchors per shard; windows per matched segment.
-_COPY_DOCS, _SHARD_ANCHORS, _SEGMENT = 4_000, 12_000, 256
+#: Words of an owner per lot; documents' anchors per copy of a lot; anchors per shard; windows per matched segment.
+_LOT_WORDS, _COPY_ANCHORS, _SHARD_ANCHORS, _SEGMENT = 512, 30_000, 12_000, 256
 #: Segments that are searched together.
 _TOGETHER = 2_000
 _PLACE = np.uint64(0xFFFFFFF)
+_LOT_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 _PIECES = "shard int, copy int, role int, doc_id long, row_key long, start long, text binary"
 _FOUND = "doc_id long, row_key long, start long, end long, text binary"
 
@@ -77,7 +79,7 @@ def _tokenised(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndar
 
 
 def _anchor_rows(rows: DataFrame, length: int, anchor: int) -> DataFrame:
-    """(anchor, doc_id, row_key, base) of rows (doc_id, row_key, base, text), each anchor of a row once."""
+    """(anchor, place, doc_id, row_key, base) of rows (doc_id, row_key, base, text), each anchor of a row once, with its first word."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,23 +87,28 @@ def _anchor_rows(rows: DataFrame, length: int, anchor: int) -> DataFrame:
                 _, at, grams = window_anchors(hashes, before, length, anchor)
                 at = np.unique(at)
                 row = np.searchsorted(before, at, side="right") - 1
-                pairs = np.unique(np.column_stack([row.astype(np.uint64), grams[at]]), axis=0) if len(at) else np.zeros((0, 2), np.uint64)
-                index = pa.array(pairs[:, 0].astype(np.int64) + first)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1].view(np.int64)), *(batch.column(i).take(index) for i in range(3))], ["anchor", "doc_id", "row_key", "base"])
+                order = np.lexsort((at, grams[at], row))
+                new = np.ones(len(at), bool)
+                new[1:] = (np.diff(row[order]) != 0) | (grams[at[order[1:]]] != grams[at[order[:-1]]])
+                chosen = order[new]
+                index = pa.array(row[chosen] + first)
+                own = [batch.column(i).take(index) for i in range(3)]
+                place = at[chosen] - before[row[chosen]] + own[2].to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(grams[at[chosen]].view(np.int64)), pa.array(place), *own], ["anchor", "place", "doc_id", "row_key", "base"])
 
-    return rows.mapInArrow(listed, "anchor long, doc_id long, row_key long, base long")
+    return rows.mapInArrow(listed, "anchor long, place long, doc_id long, row_key long, base long")
 
 
 def _pieces(rows: DataFrame, shared: DataFrame, anchors: DataFrame, shards: int, length: int, anchor: int) -> DataFrame:
     """Words around shared anchors, to be indexed (role 0) or matched (role 1)."""
-    lists = anchors.join(shared, "anchor").groupBy("doc_id", "row_key", "base").agg(F.collect_list(F.struct("anchor", "owner", "copies")).alias("shared"))
+    lists = anchors.join(shared, "anchor").groupBy("doc_id", "row_key", "base").agg(F.collect_list(F.struct("anchor", "owner", "lot", "copies")).alias("shared"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, keys, bases = (batch.column(i).to_pylist() for i in range(3))
             lists_at = batch.column(4).offsets.to_numpy()
             owned = batch.column(4).values
-            named = owned.field("anchor").to_numpy().view(np.uint64), owned.field("owner").to_numpy(), owned.field("copies").to_numpy()
+            named = owned.field("anchor").to_numpy().view(np.uint64), owned.field("owner").to_numpy(), owned.field("lot").to_numpy(), owned.field("copies").to_numpy()
             for first, end, part, starts, ends, before, hashes in _tokenised(batch.column(3)):
                 windows, at, grams = window_anchors(hashes, before, length, anchor)
                 own = np.searchsorted(windows, before)
@@ -115,15 +122,16 @@ def _pieces(rows: DataFrame, shared: DataFrame, anchors: DataFrame, shards: int,
                     wanted = named[0][mine][order]
                     where = np.minimum(np.searchsorted(wanted, grams[at[a:b]]), len(wanted) - 1)
                     hit = wanted[where] == grams[at[a:b]]
-                    owner, copies = named[1][mine][order][where], named[2][mine][order][where]
-                    # stretches of windows in a row whose anchors have one owner and one spread
+                    owner, lot, copies = (x[mine][order][where] for x in named[1:])
+                    place = mix(owner.astype(np.uint64) * _LOT_FACTOR + lot.astype(np.uint64)) % np.uint64(shards)
+                    # stretches of windows in a row whose anchors are of one lot
                     new = np.ones(b - a, bool)
-                    new[1:] = (owner[1:] != owner[:-1]) | (copies[1:] != copies[:-1]) | (hit[1:] != hit[:-1])
+                    new[1:] = (owner[1:] != owner[:-1]) | (lot[1:] != lot[:-1]) | (hit[1:] != hit[:-1])
                     cuts = np.append(np.flatnonzero(new), b - a)
                     for i, j in zip(cuts[:-1], cuts[1:]):
                         if not hit[i]:
                             continue
-                        word, shard = int(windows[a + i]), int(owner[i] % shards)
+                        word, shard = int(windows[a + i]), int(place[i])
                         stop = int(windows[a + j - 1]) + length
                         if owner[i] == ids[row]:
                             text = _joined(part, starts, ends, word, stop)
@@ -226,9 +234,12 @@ def _matched(pieces: DataFrame, length: int) -> DataFrame:
 
 def _round(rows: DataFrame, length: int, anchor: int) -> DataFrame:
     """One round over rows (doc_id, row_key, base, text): what the owners' shards found and what they didn't."""
-    anchors = checkpointed(_anchor_rows(rows, length, anchor))
-    met = anchors.groupBy("anchor").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"), F.count("*").alias("n"))
-    shared = checkpointed(met.where("owner < last").select("anchor", "owner", (F.floor(F.col("n") / _COPY_DOCS) + 1).cast("int").alias("copies")))
+    anchors = _anchor_rows(rows, length, anchor)  # taken twice: cheaper than keeping them
+    first = F.min(F.struct("doc_id", "place")).alias("first")
+    met = anchors.groupBy("anchor").agg(first, F.max("doc_id").alias("last"), F.count("*").alias("n")).where("first.doc_id < last")
+    lots = met.select("anchor", F.col("first.doc_id").alias("owner"), F.floor(F.col("first.place") / _LOT_WORDS).cast("int").alias("lot"), "n")
+    copies = F.floor(F.sum("n").over(Window.partitionBy("owner", "lot")) / _COPY_ANCHORS) + 1  # a lot is a few dozen anchors
+    shared = checkpointed(lots.select("anchor", "owner", "lot", copies.cast("int").alias("copies")))
     shards = max(1, math.ceil(shared.count() / _SHARD_ANCHORS))
     return checkpointed(_matched(_pieces(rows, shared, anchors, shards, length, anchor), length))
 
