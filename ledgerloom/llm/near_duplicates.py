@@ -1,7 +1,7 @@
 """N-gram Jaccard join with Bayesian pruning of MinHash candidates.
 
-Documents are sets of word 5-grams. Those with equal sets form a class, of which the least
-doc_id stands for all. Class representatives meet in buckets of banded MinHash values. There
+Documents are sets of word 5-grams. Those with equal sets form a class, which one of them
+stands for. Class representatives meet in buckets of banded MinHash values. There
 pairs are compared value by value: after every 16 values a pair is dropped if the posterior
 probability that its similarity reaches the threshold is below the tolerance. What survives
 joins representatives into islands; an island's texts then come together, the survivors are
@@ -50,6 +50,11 @@ def shingle_sets(column: pa.Array, words: int = WORDS) -> Iterator[tuple[int, np
             yield row, np.unique(own)
 
 
+def set_name(shingles: np.ndarray) -> int:
+    """64-bit hash of a set of n-grams."""
+    return int(mix(shingles).sum().view(np.int64))
+
+
 def minhash(shingles: np.ndarray) -> np.ndarray:
     """HASHES least values of a set, each under its own permutation of the upper 32 bits."""
     high = (shingles >> np.uint64(32)).astype(np.uint32)
@@ -118,7 +123,7 @@ def _signed(docs: DataFrame, words: int) -> DataFrame:
             for row, own in shingle_sets(batch.column(1), words):
                 least = minhash(own)
                 grams[row] = len(own)
-                set_a[row], set_b[row] = mix(own).sum().view(np.int64), mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum().view(np.int64)
+                set_a[row], set_b[row] = set_name(own), mix(own ^ np.uint64(0x5851F42D4C957F2D)).sum().view(np.int64)
                 signatures[row] = mix(least.astype(np.uint64)) & np.uint64(0xFF)
                 bands[row] = gram_hashes(mix(least.astype(np.uint64)), ROWS)[::ROWS] + np.arange(HASHES // ROWS, dtype=np.uint64)
             empty = grams == 0
@@ -197,8 +202,13 @@ def _linked(members: DataFrame, threshold: float, tolerance: float, words: int)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for inside, rows in _groups(batches, 3):
-            sides, reps, copies = np.array([r[0] for r in rows]), [r[1] for r in rows], np.array([r[2] for r in rows])
             sets = [own for _, own in shingle_sets(pa.array([r[3] for r in rows], pa.string()), words)]
+            right = [i for i, own in enumerate(sets) if set_name(own) == rows[i][1]]  # the others are of another class
+            right = list({(rows[i][0], rows[i][1]): i for i in reversed(right)}.values())[::-1]  # texts of equal sets may differ
+            rows, sets = [rows[i] for i in right], [sets[i] for i in right]
+            if len(rows) < 2:
+                continue
+            sides, reps, copies = np.array([r[0] for r in rows]), [r[1] for r in rows], np.array([r[2] for r in rows])
             sizes = np.array([len(x) for x in sets])
             signatures = np.stack([mix(minhash(x).astype(np.uint64)) & np.uint64(0xFF) for x in sets]).astype(np.uint8)
             # postings: for every n-gram the places that hold it
@@ -235,8 +245,9 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WOR
     Jaccard similarity of their sets of `words` consecutive words (separated by ASCII white
     space) is at least `threshold`. class_id: the least doc_id that a chain of links reaches,
     its own included; n_links: the other rows that a row is linked to. A text of fewer words is
-    the set of its one whole sequence; null and empty texts have no links. doc_id names a
-    document: a repeated row counts as a copy and is answered again. Rows without a doc_id are
+    the set of its one whole sequence; null and empty texts have no links. A repeated row counts
+    as a copy and is answered again; rows that share a doc_id but not their text are judged each
+    by its own text. Rows without a doc_id are
     not compared: class_id is null and n_links 0. An empty table gives no rows.
 
     Equal sets and exact checks are certain up to 64-bit hash collisions. A pair at the
@@ -245,19 +256,23 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, words: int = WOR
     """
     signed = checkpointed(_signed(docs, words))
     known = signed.where(F.col("set_a").isNotNull())
-    classes = checkpointed(known.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("grams").alias("grams"), F.min_by("signature", "doc_id").alias("signature"), F.min_by("bands", "doc_id").alias("bands")))
+    # a class is named by its set, not by a doc_id, as rows that share one may differ in their texts
+    classes = checkpointed(known.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"), F.first("grams").alias("grams"), F.min_by("signature", "doc_id").alias("signature"), F.min_by("bands", "doc_id").alias("bands")).withColumnRenamed("set_a", "rep"))
     banded = classes.select(F.explode("bands").alias("key"), "rep")
     met = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / _BLOCK_ROWS).alias("blocks"))
     buckets = banded.join(met, "key").join(classes.select("rep", "signature"), "rep").select("key", "rep", "blocks", "signature")
-    islands = checkpointed(connected_components(_candidate_edges(buckets, threshold, tolerance)).select(F.col("node").alias("rep"), F.col("component").alias("island")).join(classes.select("rep", "copies", "grams"), "rep"))
+    islands = checkpointed(connected_components(_candidate_edges(buckets, threshold, tolerance)).select(F.col("node").alias("rep"), F.col("component").alias("island")).join(classes.select("rep", "first_id", "copies", "grams"), "rep"))
     sizes = islands.groupBy("island").agg(F.greatest(F.ceil(F.count("*") / _BLOCK_ROWS), F.ceil(F.sum("grams") / _BLOCK_GRAMS)).alias("blocks"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
-    members = islands.join(sizes, "island").select("island", "rep", "blocks", "copies").join(texts, "rep").dropDuplicates(["rep"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("first_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
+    # of a doc_id with several texts all come along once; a task keeps the one that its class is named by
+    members = islands.join(sizes, "island").select("island", "rep", "first_id", "blocks", "copies").join(texts, "first_id").dropDuplicates(["rep", "text_hash"])
     linked = checkpointed(_linked(members.select("island", "rep", "blocks", "copies", "text"), threshold, tolerance, words))
-    components = connected_components(linked.where(F.col("peer").isNotNull()).select(F.col("rep").alias("a"), F.col("peer").alias("b"))).select(F.col("node").alias("rep"), "component")
+    components = checkpointed(connected_components(linked.where(F.col("peer").isNotNull()).select(F.col("rep").alias("a"), F.col("peer").alias("b"))).select(F.col("node").alias("rep"), "component").join(classes.select("rep", "first_id"), "rep"))
+    least = components.groupBy("component").agg(F.min("first_id").alias("class_id"))
+    named = components.join(least, "component").select("rep", "class_id")
     counted = linked.groupBy("rep").agg(F.sum("links").alias("links"))
-    answers = classes.select("set_a", "set_b", "rep", "copies").join(components, "rep", "left").join(counted, "rep", "left")
-    answers = answers.select("set_a", "set_b", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    answers = classes.select("rep", "set_b", "first_id", "copies").join(named, "rep", "left").join(counted, "rep", "left")
+    answers = answers.select(F.col("rep").alias("set_a"), "set_b", F.coalesce("class_id", "first_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     with_words = known.select("doc_id", "set_a", "set_b").join(answers, ["set_a", "set_b"]).select("doc_id", "class_id", "n_links")
     wordless = signed.where(F.col("set_a").isNull()).select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
     nameless = docs.where(F.col("doc_id").isNull()).select(F.col("doc_id").cast("long"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"))

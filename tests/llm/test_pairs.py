@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontamination, near_duplicates, substrings
 from ledgerloom.llm.components import connected_components
-from ledgerloom.llm.fm_index import FmIndex, matching_intervals, suffix_array
+from ledgerloom.llm.fm_index import FmIndex, LeastInRange, matching_intervals, suffix_array
 from tests.llm.conftest import AWKWARD
 
 
@@ -78,6 +78,28 @@ def test_pruning_keeps_similar_pairs():
     assert kept == 100 and dropped == 100
 
 
+def test_jaccard_join_of_shared_ids(spark, documents, prose):
+    """Rows that share a doc_id are judged each by its own text, even where both texts lead a class."""
+    one, two = prose(60), prose(60)
+    rows = [(1, one), (1, two), (2, one + " x"), (3, two + " y"), (4, two + " y"), (1, one)]
+    found = sorted((r.doc_id, r.class_id, r.n_links) for r in near_duplicates.jaccard_join(documents(rows)).collect())
+    assert found == [(1, 1, 2), (1, 1, 2), (1, 1, 2), (2, 1, 2), (3, 1, 2), (4, 1, 2)]
+
+
+def test_jaccard_join_finds_every_pair_of_planted_copies(spark, documents, prose):
+    """Recall against brute force by the number of edited words: 1 wherever the similarity is 0.8 or more."""
+    draw = random.Random(12)
+    for edits in (1, 2, 4):
+        texts = [t for _ in range(25) for t in [prose(150)] * 2]
+        for i in range(1, len(texts), 2):
+            words = texts[i].split()
+            for at in draw.sample(range(len(words)), edits):
+                words[at] = f"edit{at}"
+            texts[i] = " ".join(words)
+        got = {r.doc_id: (r.class_id, r.n_links) for r in near_duplicates.jaccard_join(documents(texts)).collect()}
+        assert got == brute_classes(texts)
+
+
 def test_components(spark):
     draw = random.Random(5)
     edges = [(i, i + 1) for i in range(40)] + [(draw.randint(100, 160), draw.randint(100, 160)) for _ in range(40)] + [(300, 200), (300, 200)]
@@ -91,6 +113,16 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_least_in_range():
+    draw = np.random.default_rng(3)
+    for n in (1, 5, 32, 33, 64, 65, 700):
+        values = draw.integers(0, 1000, n).astype(np.int32)
+        least = LeastInRange(values)
+        low = draw.integers(0, n, 400)
+        high = np.array([draw.integers(a + 1, n + 1) for a in low])
+        assert least(low, high).tolist() == [values[a:b].min() for a, b in zip(low, high)]
+
+
 def test_suffix_array():
     draw = random.Random(1)
     for _ in range(50):
@@ -150,7 +182,8 @@ def test_substring_dedup_leaves_texts_alone(spark, documents):
 
 
 def test_substring_dedup_spreads_hot_anchors(spark, documents, prose, monkeypatch):
-    monkeypatch.setattr(substrings, "_COPY_DOCS", 3)
+    monkeypatch.setattr(substrings, "_COPY_ANCHORS", 3)
+    monkeypatch.setattr(substrings, "_LOT_WORDS", 20)
     monkeypatch.setattr(substrings, "_SHARD_ANCHORS", 5)
     passage = prose(60)
     rows = [(i, f"{prose(15)} {passage} {prose(15)}") for i in range(25)]
