@@ -128,7 +128,10 @@ def train_model(features: list[np.ndarray], labels: np.ndarray, cost: float, rou
 
 
 def fit_quality(docs: DataFrame, sample: DataFrame, cost: float = 1.0, rounds: int = 12) -> QualityModel:
-    """Fit on docs (doc_id, text) that sample (doc_id, label) names; sample must be of bounded size."""
+    """Fit on docs (doc_id, text) that sample (doc_id, label) names; sample must be of bounded size.
+
+    A doc_id counts once, however many rows share it: with the least of their bucket sets.
+    """
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket_sets = BucketSets()
@@ -151,7 +154,8 @@ def fit_quality(docs: DataFrame, sample: DataFrame, cost: float = 1.0, rounds: i
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1, -2, -3], used]), pa.int32()), pa.array(np.concatenate([head, model.weights[used]])), pa.array(np.concatenate([head * 0, model.ratio[used]]))], ["bucket", "weight", "ratio"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("text", "label", "doc_id")
-    features = rows.mapInArrow(extract, "buckets array<int>, label int, doc_id long").repartition(1)
+    features = rows.mapInArrow(extract, "buckets array<int>, label int, doc_id long")
+    features = features.groupBy("doc_id").agg(F.min("buckets").alias("buckets"), F.min("label").alias("label")).select("buckets", "label", "doc_id").repartition(1)
     fitted = features.mapInArrow(fit, "bucket int, weight double, ratio double").toPandas()  # one row per bucket at most
     model = QualityModel(np.zeros(1 << _BITS), np.zeros(1 << _BITS), 0.0, 1.0, 0.0)
     head = fitted.set_index("bucket").weight
