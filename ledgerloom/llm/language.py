@@ -25,8 +25,10 @@ from ledgerloom.llm.text import chunks, utf8
 DIMENSIONS = 1024
 #: Units into which a document's unit vector is rounded, so that sums don't depend on their order.
 _UNIT = 1 << 20
-#: Trigram vectors that a worker remembers before it starts again.
-_MEMO_ROWS = 30_000
+#: Trigram vectors that a worker remembers before it starts again, those added up at once, and letters counted at once.
+_MEMO_ROWS, _BLOCK_ROWS, _STRETCH = 30_000, 4_096, 1 << 18
+#: Values of lang that may be learnt; a prototype takes 8 KB.
+MOST_LANGUAGES = 1_000
 _SPACE = 0x20
 UNDETERMINED = "und"
 
@@ -43,17 +45,20 @@ class TrigramVectors:
     def __init__(self, dimensions: int, seed: int) -> None:
         self.dimensions, self.seed = dimensions, seed
         self._letters: dict[int, np.ndarray] = {}
+        self._vectors = np.empty((_MEMO_ROWS, dimensions), np.int8)
         self._clear()
 
     def _clear(self) -> None:
         self._codes = np.zeros(0, np.uint64)
         self._rows = np.zeros(0, np.int64)
-        self._vectors = np.zeros((0, self.dimensions), np.int8)
 
     def letter(self, code: int) -> np.ndarray:
+        """The letter's vector, with its last two entries before it: a stretch of it is the vector turned by up to 2."""
         if code not in self._letters:
-            draw = np.random.default_rng((self.seed, code)).integers(0, 2, self.dimensions, dtype=np.int8)
-            self._letters[code] = draw * 2 - 1
+            if len(self._letters) >= _MEMO_ROWS:
+                self._letters.clear()
+            draw = np.random.default_rng((self.seed, code)).integers(0, 2, self.dimensions, dtype=np.int8) * 2 - 1
+            self._letters[code] = np.concatenate([draw[-2:], draw])
         return self._letters[code]
 
     def _bind(self, codes: np.ndarray) -> np.ndarray:
@@ -61,21 +66,21 @@ class TrigramVectors:
         out = np.ones((len(codes), self.dimensions), np.int8)
         for part, turn in zip(parts, (2, 1, 0)):
             letters, index = np.unique(part, return_inverse=True)
-            out *= np.stack([np.roll(self.letter(int(c)), turn) for c in letters])[index]
+            out *= np.stack([self.letter(int(c))[2 - turn : 2 - turn + self.dimensions] for c in letters])[index]
         return out
 
     def rows(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The table of vectors, and the row of each of the sorted distinct codes."""
+        """The table of vectors, and the row of each of the sorted distinct codes, at most _MEMO_ROWS."""
         new = codes[~np.isin(codes, self._codes, assume_unique=True)]
-        if len(new) and len(self._vectors) + len(new) > _MEMO_ROWS:
+        if len(self._codes) + len(new) > _MEMO_ROWS:
             self._clear()
             new = codes
         if len(new):
-            rows = np.concatenate([self._rows, np.arange(len(new)) + len(self._vectors)])
-            known = np.concatenate([self._codes, new])
+            own = np.arange(len(new)) + len(self._codes)
+            self._vectors[own[0] : own[-1] + 1] = self._bind(new)
+            known, rows = np.concatenate([self._codes, new]), np.concatenate([self._rows, own])
             order = np.argsort(known, kind="stable")
             self._codes, self._rows = known[order], rows[order]
-            self._vectors = np.concatenate([self._vectors, self._bind(new)])
         return self._vectors, self._rows[np.searchsorted(self._codes, codes)]
 
 
@@ -85,39 +90,78 @@ def trigram_vectors(dimensions: int, seed: int) -> TrigramVectors:
     return TrigramVectors(dimensions, seed)
 
 
-def trigrams(text: str) -> np.ndarray:
-    """Codes of the trigrams of lower-case letters, with runs of other characters as one space."""
+def letters_of(text: str) -> np.ndarray:
+    """Code points of a text's lower-case letters, with every run of other characters as one space, and one at each end."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letters = np.concatenate([[_SPACE], letter_table()[points], [_SPACE]]).astype(np.uint64)
-    letters = letters[np.concatenate([[True], (letters[1:] != _SPACE) | (letters[:-1] != _SPACE)])]
+    letters = np.empty(len(points) + 2, np.uint32)
+    letters[0] = letters[-1] = _SPACE
+    letters[1:-1] = letter_table()[points]
+    kept = np.ones(len(letters), bool)
+    kept[1:] = (letters[1:] != _SPACE) | (letters[:-1] != _SPACE)
+    return letters[kept]
+
+
+def trigrams(letters: np.ndarray) -> np.ndarray:
+    """Codes of all trigrams of a run of letters."""
     if len(letters) < 3:
         return np.zeros(0, np.uint64)
-    return (letters[:-2] << np.uint64(42)) | (letters[1:-1] << np.uint64(21)) | letters[2:]
+    wide = letters.astype(np.uint64)
+    return (wide[:-2] << np.uint64(42)) | (wide[1:-1] << np.uint64(21)) | wide[2:]
+
+
+def _added_up(vectors: np.ndarray, rows: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sum of rows of vectors by their counts, a block at a time."""
+    total = np.zeros(vectors.shape[1])
+    for at in range(0, len(rows), _BLOCK_ROWS):
+        total += counts[at : at + _BLOCK_ROWS].astype(np.float32) @ vectors[rows[at : at + _BLOCK_ROWS]].astype(np.float32)
+    return total
+
+
+def _varied(memo: TrigramVectors, letters: np.ndarray) -> np.ndarray:
+    """Bundle of a long or varied text, counted in stretches of letters."""
+    bundle = np.zeros(memo.dimensions)
+    for at in range(0, max(len(letters) - 2, 0), _STRETCH):
+        codes, counts = np.unique(trigrams(letters[at : at + _STRETCH + 2]), return_counts=True)
+        for part in range(0, len(codes), _BLOCK_ROWS):
+            bundle += _added_up(*memo.rows(codes[part : part + _BLOCK_ROWS]), counts[part : part + _BLOCK_ROWS])
+    return bundle
 
 
 def document_vectors(column: pa.Array, dimensions: int, seed: int) -> Iterator[tuple[int, np.ndarray | None]]:
-    """Row and unit vector of each document; None where a text has no letter."""
+    """Row and unit vector of each document; None where a text has no letter.
+
+    Short texts are handled together. A text is counted in stretches of letters and its vectors
+    are added up in blocks, so a very long or varied text needs a few bytes a character, and no
+    vector of each of its trigrams.
+    """
     memo = trigram_vectors(dimensions, seed)
     data, offsets = utf8(column)
     for first, end in chunks(offsets):
-        texts = [bytes(data[offsets[i] : offsets[i + 1]]).decode("utf-8", "replace") for i in range(first, end)]
-        codes = [trigrams(text) for text in texts]
-        lengths = np.array([len(c) for c in codes])
-        distinct, index = np.unique(np.concatenate(codes), return_inverse=True)
-        vectors, rows = memo.rows(distinct)
-        ends = np.cumsum(lengths)
-        for i in range(end - first):
-            if not lengths[i]:
-                yield first + i, None
-                continue
-            used, counts = np.unique(index[ends[i] - lengths[i] : ends[i]], return_counts=True)
-            bundle = counts.astype(np.float32) @ vectors[rows[used]].astype(np.float32)
+        letters = [letters_of(data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace")) for i in range(first, end)]
+        ends = np.cumsum([0, *(max(len(x) - 2, 0) for x in letters)])
+        few = ends[-1] <= _STRETCH
+        if few:
+            distinct, index = np.unique(np.concatenate([trigrams(x) for x in letters]), return_inverse=True)
+            few = len(distinct) <= _MEMO_ROWS // 2
+        if few:
+            vectors, rows = memo.rows(distinct)
+        for i, own in enumerate(letters):
+            if few:
+                used, counts = np.unique(index[ends[i] : ends[i + 1]], return_counts=True)
+                bundle = _added_up(vectors, rows[used], counts)
+            else:
+                bundle = _varied(memo, own)
             norm = float(np.linalg.norm(bundle))
-            yield first + i, bundle / norm if norm else None
+            yield first + i, (bundle / norm).astype(np.float32) if norm else None
 
 
 def language_prototypes(docs: DataFrame, dimensions: int = DIMENSIONS, seed: int = 0) -> dict[str, np.ndarray]:
-    """Unit prototype of each language; docs: text and lang, rows with a null lang are ignored."""
+    """Unit prototype of each language; docs: text and lang, rows with a null lang are ignored.
+
+    More than MOST_LANGUAGES values of lang are refused: such a column holds no languages.
+    """
+    if docs.select("lang").distinct().limit(MOST_LANGUAGES + 2).count() > MOST_LANGUAGES + 1:  # null may be one of them
+        raise ValueError(f"more than {MOST_LANGUAGES} values of lang")
 
     def bundled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
