@@ -20,8 +20,6 @@ from ledgerloom.llm.packing import pack_documents
 from ledgerloom.llm.substrings import deduplicate_substrings
 from ledgerloom.llm.tables import shared_folder, table
 from ledgerloom.llm.toxicity import fitted_on_labels, score_toxicity
-from ledgerloom.operators.ingest import content_numbered
-from ledgerloom.session import checkpointed
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -33,13 +31,17 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, that with the least doc_id; rows without an id stay, rows that share one count each for itself."""
-    keyed = content_numbered(docs.where(F.col("doc_id").isNotNull()).select(*COLUMNS), list(COLUMNS))  # keys in order of doc_id
-    keyed = checkpointed(keyed)
-    classes = jaccard_join(keyed.select(F.col("source_row_no").alias("doc_id"), "text"))
-    kept = classes.where("class_id = doc_id").select(F.col("doc_id").alias("source_row_no"))
-    with_id = keyed.join(kept, "source_row_no", "left_semi").select(*COLUMNS)
-    return with_id.unionByName(docs.where(F.col("doc_id").isNull()).select(*COLUMNS))
+    """One document of each class of near duplicates, that with the least doc_id; rows without an id stay.
+
+    Rows are told apart by a 64-bit hash of all their columns, so those that share an id are each
+    judged by their own text; rows equal in every column count as one.
+    """
+    rows = docs.select(*COLUMNS).withColumn("row_key", F.xxhash64(*COLUMNS))
+    named = rows.where(F.col("doc_id").isNotNull())
+    classes = jaccard_join(named.select(F.col("row_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("row_key"), "class_id").distinct()
+    first = classes.join(named.select("row_key", "doc_id").distinct(), "row_key").groupBy("class_id").agg(F.min(F.struct("doc_id", "row_key")).alias("first"))
+    kept = named.join(first.select(F.col("first.row_key").alias("row_key")), "row_key", "left_semi").dropDuplicates(["row_key"])
+    return kept.select(*COLUMNS).unionByName(rows.where(F.col("doc_id").isNull()).select(*COLUMNS))
 
 
 def remove_repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
