@@ -222,14 +222,14 @@ QUERIES["parse_date_strict"], ORACLE_SQL["parse_date_strict"] = QUERIES.pop("par
 _HEADERS = ["Account", "Posting Date", "Debit", "Credit", "Debit", "Currency"]
 
 
-def _imported(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _imported(spark: SparkSession, sf_dir: str, headers: list[str | None] = _HEADERS) -> DataFrame:
     """Order lines as positional cells: some without an account, with an impossible date, or without an amount."""
     rows = views.ledger(spark, sf_dir)
     entry = F.col("source_entry_id").cast("long")
     date = F.when(entry % 7 == 0, F.lit("31/31/2024")).otherwise(F.date_format("entry_date", "dd/MM/yyyy"))
     written = lambda c: F.coalesce(F.when(entry % 11 == 0, F.lit("")).otherwise(F.col(c).cast("decimal(15,2)").cast("string")), F.lit(""))
     values = F.array(F.when(entry % 13 == 0, F.lit(" ")).otherwise(F.col("account")), date, written("transaction_debit"), written("transaction_credit"), F.lit("9"), F.col("transaction_currency"))
-    return rows.select("source_row_no", ingest.raw_cells(_HEADERS, values).alias("cells"))
+    return rows.select("source_row_no", ingest.raw_cells(headers, values).alias("cells"))
 
 
 def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -264,8 +264,7 @@ def header_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 WHERE CAST(source_entry_id AS BIGINT) % 13 <> 0 AND CAST(source_entry_id AS BIGINT) % 7 <> 0 AND CAST(source_entry_id AS BIGINT) % 11 <> 0""")
 def import_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     headers = _HEADERS[:4] + [None] + _HEADERS[5:]
-    rows = _imported(spark, sf_dir).withColumn("cells", ingest.raw_cells(headers, F.transform("cells", lambda c: F.coalesce(c["v"], F.lit("")))))
-    prepared = ingest.prepare_rows(rows, "GENERAL_LEDGER", ingest.suggest_mapping("GENERAL_LEDGER", headers))
+    prepared = ingest.prepare_rows(_imported(spark, sf_dir, headers), "GENERAL_LEDGER", ingest.suggest_mapping("GENERAL_LEDGER", headers), headers=headers)
     return ingest.to_transactions(prepared, "GENERAL_LEDGER").select("source_row_no", "type", money.minor_units(F.col("amount")).alias("minor"), "currency")
 
 
