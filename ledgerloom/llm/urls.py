@@ -4,8 +4,10 @@ The trees read lexical features: lengths, depths, digit ratio, entropy, counts o
 and marks, and how often labelled URLs of the same host suffix are blocked. All features are
 column expressions and the trees are Spark ML's, so nothing here leaves the JVM.
 
-The trees are fitted on a bounded sample of labelled URLs (`sample_rows` in expectation, chosen
-by a hash of the URL); suffix statistics count all labelled URLs.
+The trees are fitted on a bounded sample of distinct labelled URLs (`sample_rows` in expectation,
+chosen by a hash of the URL), each weighted by its rows; suffix statistics count all labelled
+rows. A URL that is fitted on sees the suffix rate of the other folds only, so that its own label
+is not among its features.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ _MOST_RULES = 1_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Labelled URLs that count as seen for every suffix, at the overall rate.
 _PRIOR = 20.0
+#: Folds, by a hash of the URL, whose suffix counts are kept apart.
+_FOLDS = 5
 
 
 @dataclass(frozen=True)
@@ -124,35 +128,49 @@ class UrlModel:
     rate: float
 
 
-def _featured(parts: DataFrame, rates: DataFrame, rate: float) -> DataFrame:
-    features, few = lexical_features(), rates.count() <= _BROADCAST_SUFFIXES
-    rated = parts.withColumn("suffix", suffix(F.col("host"))).join(F.broadcast(rates) if few else rates, "suffix", "left").withColumn("suffix_rate", F.coalesce("suffix_rate", F.lit(rate)))
-    rated = rated.withColumns({f"feature_{name}": column for name, column in features.items()})
-    return VectorAssembler(inputCols=[*(f"feature_{name}" for name in features), "suffix_rate"], outputCol="features").transform(rated)
+def _with_suffix(parts: DataFrame, by_suffix: DataFrame) -> DataFrame:
+    few = by_suffix.count() <= _BROADCAST_SUFFIXES
+    return parts.withColumn("suffix", suffix(F.col("host"))).join(F.broadcast(by_suffix) if few else by_suffix, "suffix", "left")
+
+
+def _featured(rated: DataFrame, rate: float) -> DataFrame:
+    """Adds features to rows with host, path, rest and suffix_rate (null: a suffix never labelled)."""
+    rated = rated.withColumns({f"feature_{name}": column for name, column in lexical_features().items()} | {"suffix_rate": F.coalesce("suffix_rate", F.lit(rate))})
+    return VectorAssembler(inputCols=[*(f"feature_{name}" for name in lexical_features()), "suffix_rate"], outputCol="features").transform(rated)
 
 
 def fit_url_model(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, trees: int = 20, depth: int = 4) -> UrlModel:
-    """Fit on labelled: url, host, path, rest and blocked (0 or 1). With one class or none there are no trees."""
+    """Fit on labelled: url, host, path, rest and blocked (0 or 1). With one class or none there are no trees.
+
+    Null labels are left out. The number of distinct URLs is estimated, so the sample's expected
+    size is `sample_rows` within a few per cent; a URL in it brings all its rows as one weight.
+    """
     known = labelled.where(F.col("blocked").isNotNull())
-    n, blocked = known.agg(F.count("*"), F.coalesce(F.sum("blocked"), F.lit(0))).first()
+    n, blocked, urls = known.agg(F.count("*"), F.coalesce(F.sum("blocked"), F.lit(0)), F.approx_count_distinct("url", 0.02)).first()
     rate = (float(blocked) + 1) / (n + 2)
-    counts = known.groupBy(suffix(F.col("host")).alias("suffix")).agg(F.sum("blocked").alias("b"), F.count("*").alias("n"))
-    rates = checkpointed(counts.select("suffix", ((F.col("b") + _PRIOR * rate) / (F.col("n") + _PRIOR)).alias("suffix_rate")))
+    fold = F.pmod(F.xxhash64("url"), F.lit(_FOLDS)).cast("int")
+    own = lambda value, name: [F.sum(F.when(F.col("fold") == i, value).otherwise(0)).alias(f"{name}{i}") for i in range(_FOLDS)]
+    counts = known.withColumn("fold", fold).groupBy(suffix(F.col("host")).alias("suffix")).agg(F.sum("blocked").alias("b"), F.count("*").alias("n"), *own(F.col("blocked"), "b"), *own(F.lit(1), "n"))
+    smoothed = lambda b, n: (b + _PRIOR * rate) / (n + _PRIOR)
+    others = F.array(*(smoothed(F.col("b") - F.col(f"b{i}"), F.col("n") - F.col(f"n{i}")) for i in range(_FOLDS)))
+    by_suffix = checkpointed(counts.select("suffix", smoothed(F.col("b"), F.col("n")).alias("suffix_rate"), others.alias("rates_of_others")))
+    rates = by_suffix.select("suffix", "suffix_rate")
     if not 0 < blocked < n:
         return UrlModel(None, rates, rate)
-    share = int(min(1.0, sample_rows / n) * (1 << 20))
-    sample = known.where(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < share)
-    booster = GBTClassifier(labelCol="blocked", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=0, checkpointInterval=-1)
-    features = _featured(sample, rates, rate).select("features", F.col("blocked").cast("double").alias("blocked"))
+    share = int(min(1.0, sample_rows / max(urls, 1)) * (1 << 20))
+    sample = known.where(F.pmod(F.xxhash64("url"), F.lit(1 << 20)) < share).groupBy("url", "host", "path", "rest", "blocked").agg(F.count("*").cast("double").alias("weight"))
+    rated = _with_suffix(sample, by_suffix.drop("suffix_rate")).withColumn("suffix_rate", F.get("rates_of_others", fold))
+    booster = GBTClassifier(labelCol="blocked", weightCol="weight", maxIter=trees, maxDepth=depth, stepSize=0.3, seed=0, checkpointInterval=-1)
     # the sample is of bounded size and read once per level of each tree: few partitions, made once
-    return UrlModel(booster.fit(checkpointed(features.repartition(_FIT_PARTITIONS))), rates, rate)
+    features = checkpointed(_featured(rated, rate).select("features", F.col("blocked").cast("double").alias("blocked"), "weight").repartition(_FIT_PARTITIONS))
+    return UrlModel(booster.fit(features) if features.select("blocked").distinct().count() == 2 else None, rates, rate)
 
 
 def score_urls(parts: DataFrame, model: UrlModel) -> DataFrame:
     """Adds blocked_score (0 to 1) to rows with host, path and rest, by the trees, or the overall rate without trees."""
     if model.trees is None:
         return parts.withColumn("blocked_score", F.lit(model.rate))
-    scored = model.trees.transform(_featured(parts, model.rates, model.rate))
+    scored = model.trees.transform(_featured(_with_suffix(parts, model.rates), model.rate))
     return scored.withColumn("blocked_score", vector_to_array("probability")[1]).select(*parts.columns, "blocked_score")
 
 

@@ -327,6 +327,21 @@ def test_urls(spark):
         urls.fitting_rule(urls.RULES * 300)
 
 
+def test_url_sample_holds_a_url_once(spark):
+    """A URL with most of the labelled rows is one weighted row, and its own label is not in its features."""
+    made = [(f"http://h{i}.net/{'p' * (i % 7)}", i % 2) for i in range(400)] + [("http://hot.net/x", 1)] * 4000
+    parts = urls.with_parts(spark.createDataFrame(made, "url string, blocked int"))
+    model = urls.fit_url_model(parts, sample_rows=200, trees=2)
+    [rated] = model.rates.collect()
+    assert rated.suffix == "net" and abs(rated.suffix_rate - (4200 + 20 * model.rate) / 4420) < 1e-9
+    scores = {r.url: r.blocked_score for r in urls.score_urls(parts, model).distinct().collect()}
+    assert len(scores) == 401 and all(0 <= x <= 1 for x in scores.values())
+    # suffixes that stand for one URL each say nothing of other URLs: the trees must not learn them
+    lone = urls.with_parts(spark.createDataFrame([(f"http://a.s{i:03}/p", i % 2) for i in range(400)], "url string, blocked int"))
+    spread = [r.blocked_score for r in urls.score_urls(lone, urls.fit_url_model(lone, trees=2)).collect()]
+    assert max(spread) - min(spread) < 0.9
+
+
 def test_url_trees_learn(spark):
     draw = random.Random(10)
     word = lambda: "".join(draw.choices("abcdefgh", k=6))
