@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.tables import table
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-#: Keys of each of a worker's two memos; each holds up to twice as many.
-CACHE_WORDS = 120_000
+#: Keys of a worker's memo, which holds up to twice as many.
+CACHE_WORDS = 240_000
 #: Control characters that Python's split takes for white space and the tokenizer does not.
 _ODD_SPACES = re.compile("[\x1c-\x1f]")
 #: The tokenizer's own split pattern.
@@ -52,10 +52,10 @@ class Recent(dict):
         value = self._older.get(key)
         if value is None:
             value = self._make(key)
-        if len(self) >= self._size:
+        self[key] = value
+        if len(self) > self._size:
             self._older = dict(self)
             self.clear()
-        self[key] = value
         return value
 
 
@@ -64,7 +64,7 @@ class Encoder:
 
     The tokenizer drops white space, lower-cases, and treats letter runs, digits and other runs
     as independent, so the ids of a white-space-delimited chunk, and of the runs in it, are
-    remembered. Chunks beyond the Latin blocks, where composed and lower-case forms could differ,
+    remembered (a chunk of one run is that run). Chunks beyond the Latin blocks, where composed and lower-case forms could differ,
     and those that may hold a special token go through the whole tokenizer.
     """
 
@@ -73,27 +73,27 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._model = self._tokenizer.model
-        self._model._resize_cache(0)  # the memos below take its place
-        self._chunks = Recent(CACHE_WORDS, self._chunk)
-        self._runs = Recent(CACHE_WORDS, self._run)
+        self._model._resize_cache(0)  # the memo below takes its place
+        self._known = Recent(CACHE_WORDS, self._chunk)
 
     def __call__(self, text: str) -> bytes:
         if _ODD_SPACES.search(text):
             return self._whole(text)
-        return b"".join(map(self._chunks.__getitem__, text.split()))
+        return b"".join(map(self._known.__getitem__, text.split()))
 
     def _whole(self, text: str) -> bytes:
         return pack(self._tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _chunk(self, chunk: str) -> bytes:
-        if max(chunk) < "\u0250":
+        if chunk.isascii() or max(chunk) < "\u0250":
             lowered = chunk.lower()
             if lowered.isalpha():
-                return self._runs[lowered]
+                return self._run(chunk) if chunk == lowered else self._known[lowered]
             if lowered[-1] in ".,!?" and lowered[:-1].isalpha():
-                return self._runs[lowered[:-1]] + self._runs[lowered[-1]]
+                return self._known[lowered[:-1]] + self._known[lowered[-1]]
             if min(chunk) > " " and "<|" not in chunk:
-                return b"".join(map(self._runs.__getitem__, _RUNS.findall(lowered)))
+                runs = _RUNS.findall(lowered)
+                return self._run(lowered) if len(runs) == 1 else b"".join(map(self._known.__getitem__, runs))
         return self._whole(chunk)
 
     def _run(self, run: str) -> bytes:
