@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerloom.llm.decontamination import op2_decontamination
 from ledgerloom.llm.filter_audit import op12_filter_audit
 from ledgerloom.llm.fingerprints import op4_fingerprints
+from ledgerloom.llm.html_pages import op13_html_extraction
 from ledgerloom.llm.language import op10_language_id
 from ledgerloom.llm.licenses import op9_license_scan
 from ledgerloom.llm.near_duplicates import op1_jaccard_join
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_filter_audit": op12_filter_audit,
+    "op13_html_extraction": op13_html_extraction,
 }
 
 _WORDS = r"SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents"
