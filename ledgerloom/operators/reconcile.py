@@ -4,9 +4,15 @@ Records: idx (input order), id, reference, amount decimal(15,2), counterparty, v
 Candidates are found by bands: an amount meets only the amounts of its own and the two adjacent
 bands, within the date window. Pairs compete only within an island: a run of amount bands that
 follow each other without a gap. Islands are matched in parallel, each by one pass over its
-pairs from best to worst. An island of very many pairs is matched by rounds instead, in which
-every pair that ranks first for both its source and its target is taken and both are retired;
-the order (confidence, then source, then target) is strict, so both give the same pairs.
+pairs from best to worst, some two million pairs a second and task.
+
+An island of very many pairs is first split into the connected components of its records. What
+is still too large is matched by stretches of its order: the best pairs, as many as fit a task,
+are matched by one pass, their records are retired from all that is left, and so on. No pair
+depends on one that ranks below it, and the order (confidence, then source, then target) is
+strict, so every way gives the pairs of one pass over everything. A round settles a stretch at
+least, so their number is bounded by pairs over stretch, however long a chain of pairs is in
+which each waits for the one before.
 """
 
 from __future__ import annotations
@@ -95,33 +101,76 @@ def _in_one_pass(pairs: DataFrame) -> DataFrame:
     return ordered.mapInArrow(take, pairs.schema)
 
 
-def _in_rounds(pairs: DataFrame) -> DataFrame:
-    """Greedy pairs by rounds; every round takes the best pair at least."""
-    best = (F.desc("confidence"), "source_idx", "target_idx")
-    left, taken = pairs, pairs.limit(0)
+def components(pairs: DataFrame) -> DataFrame:
+    """Pairs with `part`: a number that the pairs of connected records share.
+
+    Records take the least number among their neighbours' until none changes. Neighbours are
+    linked to their least one from step to step, larger ones first and smaller ones then, so a
+    path is halved rather than walked; the links never outnumber the pairs.
+    """
+    nodes = pairs.select((F.col("target_idx") * 2 + 1).alias("high"), (F.col("source_idx") * 2).alias("low"))
+    links = checkpointed(nodes.select(F.greatest("high", "low").alias("high"), F.least("high", "low").alias("low")).distinct())
+    settled = None
+    while True:
+        around = links.unionByName(links.select(F.col("low").alias("high"), F.col("high").alias("low")))
+        nearest = around.groupBy("high").agg(F.least(F.min("low"), F.col("high")).alias("root"))
+        upper = around.where("low > high").join(nearest, "high").select(F.col("low").alias("high"), F.col("root").alias("low")).distinct()
+        root = upper.groupBy("high").agg(F.min("low").alias("root"))
+        joined = upper.join(root, "high")
+        lower = joined.select("high", F.col("root").alias("low")).unionByName(joined.where("low <> root").select(F.col("low").alias("high"), F.col("root").alias("low")))
+        links = checkpointed(lower.distinct())
+        now = links.agg(F.count("*"), F.bit_xor(F.xxhash64("high", "low"))).first()
+        if now == settled:
+            break
+        settled = now
+    # every record is now linked to its component's least one, and that to none
+    roots = links.groupBy("high").agg(F.min("low").alias("part"))
+    ends = pairs.withColumn("high", F.col("source_idx") * 2).join(roots, "high", "left")
+    return ends.withColumn("part", F.coalesce("part", "high")).drop("high")
+
+
+def _in_stretches(pairs: DataFrame, most_pairs: int) -> DataFrame:
+    """Greedy pairs of large islands: a round matches the best pairs of each, about `most_pairs` of them."""
+    total, most_pairs = pairs.count(), max(most_pairs, 1)
+    order = ("island", F.desc("confidence"), "source_idx", "target_idx")
+    left = checkpointed(pairs.repartitionByRange(2 * -(-total // most_pairs), *order).withColumn("stretch", F.spark_partition_id()))
+    taken = left.limit(0)
     for turn in count(1):
-        ranked = left.withColumns({"source_rank": F.row_number().over(Window.partitionBy("source_idx").orderBy(*best)), "target_rank": F.row_number().over(Window.partitionBy("target_idx").orderBy(*best))})
-        won = checkpointed(ranked.where("source_rank = 1 and target_rank = 1").drop("source_rank", "target_rank"))
+        before = Window.partitionBy("island").orderBy("stretch")  # a row for each stretch of an island
+        sizes = left.groupBy("island", "stretch").count().withColumns({"so_far": F.sum("count").over(before), "place": F.row_number().over(before)})
+        now = sizes.where((F.col("so_far") <= most_pairs) | (F.col("place") == 1)).groupBy("island").agg(F.max("stretch").alias("upto"))
+        marked = left.join(F.broadcast(now), "island")  # one row per large island, of which each has `most_pairs` pairs
+        won = checkpointed(_in_one_pass(marked.where("stretch <= upto").drop("upto")))
         taken = taken.unionByName(won)
         if turn % 16 == 0:
             taken = checkpointed(taken)
-        left = checkpointed(left.join(won.select("source_idx"), "source_idx", "left_anti").join(won.select("target_idx"), "target_idx", "left_anti"))
+        rest = marked.where("stretch > upto").drop("upto")
+        left = checkpointed(rest.join(won.select("source_idx"), "source_idx", "left_anti").join(won.select("target_idx"), "target_idx", "left_anti").select(*left.columns))
         if left.isEmpty():
-            break
-    return taken
+            return taken.drop("stretch")
 
 
 def greedy_matches(pairs: DataFrame, most_pairs: int = 1_000_000) -> DataFrame:
     """One-to-one pairs, best confidence first, then least source_idx, then least target_idx.
 
-    pairs: as `candidates` gives them. Islands of more than `most_pairs` are matched by rounds.
+    pairs: as `candidates` gives them. An island of more than `most_pairs` is split into its
+    components, and those that are still larger are matched in stretches of their order.
     """
-    parts = checkpointed(_with_islands(checkpointed(pairs)))
-    large = checkpointed(parts.groupBy("island").count().where(F.col("count") > most_pairs).select("island"))  # one row per `most_pairs` pairs at most
-    if large.isEmpty():
-        return _in_one_pass(parts).drop("island")
-    small = _in_one_pass(parts.join(F.broadcast(large), "island", "left_anti"))
-    return small.unionByName(_in_rounds(checkpointed(parts.join(F.broadcast(large), "island", "left_semi")))).drop("island")
+
+    def by_size(parts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+        large = checkpointed(parts.groupBy("island").count().where(F.col("count") > most_pairs).select("island"))  # one row per `most_pairs` pairs at most
+        if large.isEmpty():
+            return parts, None
+        return parts.join(F.broadcast(large), "island", "left_anti"), checkpointed(parts.join(F.broadcast(large), "island", "left_semi"))
+
+    small, large = by_size(checkpointed(_with_islands(checkpointed(pairs))))
+    found = _in_one_pass(small)
+    if large is not None:
+        small, large = by_size(checkpointed(components(large.drop("island")).withColumnRenamed("part", "island").select(*small.columns)))
+        found = found.unionByName(_in_one_pass(small))
+        if large is not None:
+            found = found.unionByName(_in_stretches(large, most_pairs))
+    return found.drop("island")
 
 
 def reconcile(source: DataFrame, target: DataFrame, settings: Settings = Settings()) -> DataFrame:

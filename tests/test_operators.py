@@ -346,6 +346,35 @@ def test_matching_by_rounds_equals_one_pass(spark):
             assert sorted((r.source_idx, r.target_idx) for r in reconcile.greedy_matches(pairs, most).collect()) == expected
 
 
+PAIR = "source_idx long, source_id string, target_idx long, target_id string, delta long, days double, confidence double, source_band long, target_band long"
+
+
+def chain(n, start=0):
+    """n pairs in a row, each of which competes with the next and ranks before it."""
+    ends = [(start + (k + 1) // 2, start + k // 2) for k in range(n)]
+    return [(s, f"s{s}", t, f"t{t}", 0, 0.0, 1 - k / (4 * n), 1, 1) for k, (s, t) in enumerate(ends)]
+
+
+def test_a_chain_of_a_large_island_takes_few_rounds(spark, monkeypatch):
+    passes = []
+    one_pass = reconcile._in_one_pass
+    monkeypatch.setattr(reconcile, "_in_one_pass", lambda pairs: passes.append(1) or one_pass(pairs))
+    others = [p for i in range(300) for p in chain(3, 20_000 + 10 * i)]
+    rows = chain(10_000) + others
+    pairs = spark.createDataFrame(rows, PAIR)
+    found = reconcile.greedy_matches(pairs, 1_000).select("source_idx", "target_idx").collect()
+    assert sorted(map(tuple, found)) == greedy(pairs.collect())
+    assert len(found) == 5_000 + 2 * 300 and len(passes) < 20 + 2
+
+
+def test_components_of_pairs(spark):
+    rows = chain(40) + chain(7, 1000) + chain(1, 50)
+    parts = {}
+    for r in reconcile.components(spark.createDataFrame(rows, PAIR).select("source_idx", "target_idx")).collect():
+        parts.setdefault(r.part, set()).add((r.source_idx, r.target_idx))
+    assert sorted(map(len, parts.values())) == [1, 7, 40]
+
+
 def test_attempts_of_a_window(spark):
     draw = random.Random(7)
     rows = [(i, draw.choice("ab"), None if i % 9 == 0 else datetime.fromtimestamp(1_700_000_000 + draw.randint(0, 9000))) for i in range(200)]
