@@ -40,6 +40,13 @@ class Chain:
     def __init__(self, head: bytes) -> None:
         self._hash = hashlib.sha256(FOLD_SEED_TEXT.encode()).digest()
 
+    @classmethod
+    def resumed(cls, state: str) -> Chain:
+        """A chain that goes on from what `hex` gave."""
+        chain = cls(b"")
+        chain._hash = bytes.fromhex(state)
+        return chain
+
     def add(self, digests: bytes) -> None:
         for at in range(0, len(digests), 32):
             self._hash = hashlib.sha256(self._hash + digests[at : at + 32]).digest()

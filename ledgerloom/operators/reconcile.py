@@ -31,6 +31,9 @@ from ledgerloom.functions.timeparts import days_between
 from ledgerloom.operators.ingest import content_numbered
 from ledgerloom.session import checkpointed
 
+#: Pairs that one pass takes.
+MOST_PAIRS = 1_000_000
+
 
 @dataclass(frozen=True)
 class Settings:
@@ -150,7 +153,7 @@ def _in_stretches(pairs: DataFrame, most_pairs: int) -> DataFrame:
             return taken.drop("stretch")
 
 
-def greedy_matches(pairs: DataFrame, most_pairs: int = 1_000_000) -> DataFrame:
+def greedy_matches(pairs: DataFrame, most_pairs: int = MOST_PAIRS) -> DataFrame:
     """One-to-one pairs, best confidence first, then least source_idx, then least target_idx.
 
     pairs: as `candidates` gives them. An island of more than `most_pairs` is split into its
@@ -173,9 +176,9 @@ def greedy_matches(pairs: DataFrame, most_pairs: int = 1_000_000) -> DataFrame:
     return found.drop("island")
 
 
-def reconcile(source: DataFrame, target: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def reconcile(source: DataFrame, target: DataFrame, settings: Settings = Settings(), most_pairs: int = MOST_PAIRS) -> DataFrame:
     """Matches, then the sources without one: source_id, target_id, status, confidence, delta."""
-    matches = greedy_matches(candidates(source, target, settings))
+    matches = greedy_matches(candidates(source, target, settings), most_pairs)
     rows = matches.select("source_id", "target_id", F.when(F.col("delta") == 0, "MATCHED").otherwise("PARTIAL").alias("status"), F.round("confidence", 4).alias("confidence"), "delta")
     alone = unmatched(source, matches, "source").select(F.col("id").alias("source_id"), F.lit(None).cast("string").alias("target_id"), F.lit("UNMATCHED").alias("status"), F.lit(0.0).alias("confidence"), F.lit(0).cast("long").alias("delta"))
     return rows.unionByName(alone)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.operators.ingest import content_numbered, issue_rows
 from ledgerloom.session import checkpointed
+from ledgerloom.sources import commits
 
 def write_import(prepared: DataFrame, path: str) -> None:
     """Writes prepared rows and their issues from one evaluation."""
@@ -23,23 +24,24 @@ def write_import(prepared: DataFrame, path: str) -> None:
 
 
 def write_sealed(tables: dict[str, DataFrame], path: str) -> str:
-    """Writes several tables as one: into a folder of this attempt, then the seal that names it.
+    """Writes several tables as one: into a folder of this attempt, then as the only commit of the path.
 
-    Readers know the sealed attempt only. One that fails leaves nothing that they see, and the
-    next one starts afresh; a second seal is refused.
+    Readers know the committed attempt only. One that fails leaves nothing that they see, and the
+    next one starts afresh; a second seal is refused, also where two writers seal at once.
     """
-    spark, attempt = next(iter(tables.values())).sparkSession, f"attempt-{uuid.uuid4().hex}"
-    for name, df in tables.items():
-        df.write.parquet(f"{path}/{attempt}/{name}")
-    seal = spark.createDataFrame([(attempt, sorted(tables))], "attempt string, table_names array<string>")
-    seal.coalesce(1).write.mode("errorifexists").json(f"{path}/seal")
+    spark = next(iter(tables.values())).sparkSession
+    attempt = commits.written(tables, path)
+    if not commits.claimed(spark, path, 1, attempt, list(tables)):
+        raise commits.Conflict(f"{path}: a seal already exists")
     return attempt
 
 
 def read_sealed(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A table of the sealed attempt; without a seal there is none, and reading fails."""
-    attempt = spark.read.json(f"{path}/seal").first()["attempt"]
-    return spark.read.parquet(f"{path}/{attempt}/{name}")
+    table = commits.snapshot(spark, path).table(name)
+    if table is None:
+        raise FileNotFoundError(f"{path} has no sealed {name}")
+    return table
 
 
 def append_log(actions: DataFrame, path: str) -> None:
