@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import folds, reconcile, runs
+from ledgerloom.operators import events, folds, reconcile, runs
 from ledgerloom.plans import views
 from ledgerloom.plans.catalog import _RECON, _TWO_CELLS, ORACLE_SQL, _frame, _two_cells, query
 from ledgerloom.session import shared_folder
@@ -72,3 +72,80 @@ def results_of_two_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = lambda name, n: stored.table(name).groupBy("run_id", "occurrence_fingerprint", "writer").agg(F.count("*").alias(n))
     both = counted("results", "n_results").join(counted("evidence", "n_evidence"), ["run_id", "occurrence_fingerprint", "writer"], "full")
     return both.select("run_id", F.col("occurrence_fingerprint").alias("occurrence"), "writer", "n_results", "n_evidence")
+
+
+# Events in order
+
+#: A number drawn from an event's id, the same in both engines.
+_DRAWN = "(event_id * 2654435761) % 4294967296"
+_EXCEPTION_EVENTS = """SELECT user_id AS exception_id, event_id AS arrival, CASE CAST(floor(h / 65536) AS BIGINT) % 8 WHEN 0 THEN 'CREATE' WHEN 3 THEN 'UNLINK' WHEN 4 THEN 'STATUS' WHEN 5 THEN 'STATUS' WHEN 6 THEN 'REOPEN' ELSE 'LINK' END AS event_type,
+CAST(floor(h / 1024) AS BIGINT) % 5 AS actor_id, user_id % 3 AS engagement_id, user_id % 3 * 10 + CAST(floor(h / 4096) AS BIGINT) % 6 AS result_id,
+CASE CAST(floor(h / 65536) AS BIGINT) % 8 WHEN 6 THEN 'UNDER_INVESTIGATION' WHEN 4 THEN 'CLOSED_NO_FINDING' WHEN 5 THEN 'CONCLUDED_WITH_FINDING' END AS to_status,
+CASE WHEN CAST(floor(h / 256) AS BIGINT) % 3 = 0 THEN ' ' WHEN CAST(floor(h / 256) AS BIGINT) % 3 = 1 THEN 'why' END AS note, 'title' AS title, CONCAT('k', CAST(floor(h / 16384) AS BIGINT) % 4) AS idempotency_key, event_id % 2 = 0 AS has_concluded_finding FROM d"""
+_FINDING_EVENTS = """SELECT user_id AS finding_id, event_id AS arrival, CASE CAST(floor(h / 65536) AS BIGINT) % 8 WHEN 0 THEN 'CREATE' WHEN 1 THEN 'REVISE' WHEN 2 THEN 'REVISE' WHEN 3 THEN 'SUBMIT' WHEN 4 THEN 'SUBMIT' WHEN 5 THEN 'RETURN' ELSE 'APPROVE' END AS event_type,
+CAST(floor(h / 1024) AS BIGINT) % 5 AS actor_id, user_id % 3 AS engagement_id, 1 + CAST(floor(h / 4096) AS BIGINT) % 3 AS version_no, CONCAT('c', CAST(floor(h / 256) AS BIGINT) % 2) AS content_hash, CONCAT('k', CAST(floor(h / 16384) AS BIGINT) % 4) AS idempotency_key, event_id % 2 = 0 AS has_active_link FROM d"""
+
+
+def _drawn_events(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
+    drawn = views.table(spark, sf_dir, "events").selectExpr("event_id", "user_id", f"{_DRAWN} AS h")
+    return spark.sql(sql.replace("FROM d", "FROM {d}"), d=drawn)
+
+
+def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users 0 to 3 belong to all three engagements that the events have, user 4 to none."""
+    engagements = views.table(spark, sf_dir, "events").select((F.col("user_id") % 3).alias("engagement_id")).distinct()
+    return engagements.withColumn("user_id", F.explode(F.sequence(F.lit(0), F.lit(3)).cast("array<long>")))
+
+
+_FOLD = """WITH RECURSIVE d AS (SELECT event_id, user_id, {drawn} AS h FROM events), e AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY arrival) AS turn FROM ({events})),
+g AS (SELECT *, actor_id < 4 AS actor_is_member, {guards} FROM e),
+f AS (SELECT DISTINCT {key} AS own_key, 0::BIGINT AS arrival, 0::BIGINT AS turn, NULL::VARCHAR AS outcome, NULL::VARCHAR AS status, 0::BIGINT AS seq, []::BIGINT[] AS links, 0::BIGINT AS version, NULL::BIGINT AS preparer, MAP {{}}::MAP(VARCHAR, VARCHAR) AS accepted FROM g
+UNION ALL SELECT own_key, arrival, turn, outcome, {after}, CASE WHEN ok THEN map_concat(accepted, MAP {{own: payload}}) ELSE accepted END
+FROM (SELECT *, outcome = 'ACCEPTED' AS ok FROM (SELECT *, CASE {judge} ELSE 'ACCEPTED' END AS outcome FROM (SELECT own_key, g.arrival, g.turn, status, seq, links, version, preparer, accepted, event_type, actor_id, actor_is_member, {carried}, {own} AS own, {payload} AS payload
+FROM f JOIN g ON g.{key} = own_key AND g.turn = f.turn + 1))))
+SELECT own_key AS {key}, arrival, outcome, CASE WHEN outcome = 'ACCEPTED' THEN seq END AS event_seq, status, {shown} FROM f WHERE turn > 0"""
+
+_KNOWN = "WHEN accepted[own] = payload THEN 'REPEATED' WHEN accepted[own] IS NOT NULL THEN 'CONFLICT'"
+
+
+@query(
+    _FOLD.format(
+        drawn=_DRAWN, key="exception_id", events=_EXCEPTION_EVENTS, guards="CASE WHEN result_id % 10 < 4 THEN engagement_id WHEN result_id % 10 = 4 THEN (engagement_id + 1) % 3 END AS result_engagement",
+        carried="engagement_id, result_id, to_status, note, has_concluded_finding, result_engagement",
+        own="CASE WHEN event_type = 'CREATE' THEN 'CREATE ' || idempotency_key ELSE concat_ws(' ', event_type, actor_id, idempotency_key) END",
+        payload="CASE WHEN event_type = 'CREATE' THEN concat_ws(' ', actor_id, result_id) WHEN event_type IN ('LINK', 'UNLINK') THEN CAST(result_id AS VARCHAR) WHEN to_status = 'CONCLUDED_WITH_FINDING' THEN to_status ELSE to_status || coalesce(note, '-') END",
+        judge=f"""WHEN event_type = 'STATUS' AND to_status = 'CLOSED_NO_FINDING' AND trim(coalesce(note, '')) = '' THEN 'NO_RATIONALE' WHEN event_type <> 'CREATE' AND status IS NULL THEN 'NOT_FOUND' {_KNOWN}
+WHEN event_type = 'CREATE' AND status IS NOT NULL THEN 'EXISTS' WHEN to_status = 'CONCLUDED_WITH_FINDING' AND NOT has_concluded_finding THEN 'NO_CONCLUDED_FINDING' WHEN event_type IN ('CREATE', 'LINK', 'UNLINK') AND result_engagement IS NULL THEN 'NO_RESULT'
+WHEN event_type = 'CREATE' AND NOT actor_is_member THEN 'NOT_MEMBER' WHEN event_type IN ('CREATE', 'LINK', 'UNLINK') AND result_engagement <> engagement_id THEN 'OTHER_ENGAGEMENT' WHEN NOT actor_is_member THEN 'NOT_MEMBER'""",
+        after="""CASE WHEN NOT ok THEN status WHEN event_type = 'CREATE' THEN 'UNDER_INVESTIGATION' ELSE coalesce(to_status, status) END, CASE WHEN ok THEN seq + CASE WHEN event_type = 'CREATE' THEN 2 ELSE 1 END ELSE seq END,
+CASE WHEN ok AND event_type IN ('CREATE', 'LINK') THEN list_distinct(list_append(links, result_id)) WHEN ok AND event_type = 'UNLINK' THEN [x FOR x IN links IF x <> result_id] ELSE links END, version, preparer""",
+        shown="len(links) AS n_links",
+    )
+)
+def exception_events_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of exceptions judged in order: CREATE, LINK, UNLINK, STATUS and REOPEN, with repeats, conflicts and illegal ones."""
+    proposed = _drawn_events(spark, sf_dir, _EXCEPTION_EVENTS)
+    owner, place = F.floor(F.col("result_id") / 10), F.col("result_id") % 10
+    results = proposed.select("result_id").distinct().where(place < 5).withColumn("engagement_id", F.when(place < 4, owner).otherwise((owner + 1) % 3))
+    judged = events.judged_in_order(events.with_exception_guards(proposed, _members(spark, sf_dir), results), "exception_id", events.judge_exception)
+    return judged.select("exception_id", "arrival", "outcome", "event_seq", "status", "n_links")
+
+
+@query(
+    _FOLD.format(
+        drawn=_DRAWN, key="finding_id", events=_FINDING_EVENTS, guards="0 AS unused", carried="version_no, content_hash, has_active_link",
+        own="CASE WHEN event_type IN ('CREATE', 'REVISE') THEN event_type || ' ' || idempotency_key ELSE concat_ws(' ', event_type, actor_id, idempotency_key) END",
+        payload="CASE event_type WHEN 'CREATE' THEN concat_ws(' ', actor_id, content_hash) WHEN 'REVISE' THEN content_hash WHEN 'SUBMIT' THEN '' ELSE CAST(version_no AS VARCHAR) END",
+        judge=f"""WHEN event_type <> 'CREATE' AND status IS NULL THEN 'NOT_FOUND' {_KNOWN} WHEN event_type = 'CREATE' AND status IS NOT NULL THEN 'EXISTS' WHEN event_type = 'CREATE' AND NOT has_active_link THEN 'NO_LINK'
+WHEN event_type IN ('REVISE', 'SUBMIT') AND status <> 'DRAFT' THEN 'NOT_DRAFT' WHEN event_type IN ('APPROVE', 'RETURN') AND status <> 'IN_REVIEW' THEN 'NOT_IN_REVIEW' WHEN event_type IN ('APPROVE', 'RETURN') AND version_no <> version THEN 'NOT_CURRENT'
+WHEN NOT actor_is_member THEN 'NOT_MEMBER' WHEN event_type IN ('APPROVE', 'RETURN') AND actor_id = preparer THEN 'OWN_WORK'""",
+        after="""CASE WHEN NOT ok THEN status WHEN event_type = 'SUBMIT' THEN 'IN_REVIEW' WHEN event_type = 'APPROVE' THEN 'CONCLUDED' ELSE 'DRAFT' END, CASE WHEN ok AND event_type NOT IN ('CREATE', 'REVISE') THEN seq + 1 ELSE seq END, links,
+CASE WHEN ok AND event_type IN ('CREATE', 'REVISE') THEN version + 1 ELSE version END, CASE WHEN ok AND event_type IN ('CREATE', 'REVISE') THEN actor_id ELSE preparer END""",
+        shown="nullif(version, 0) AS version_no",
+    )
+)
+def finding_events_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of findings judged in order: CREATE, REVISE, SUBMIT, RETURN and APPROVE."""
+    proposed = events.with_actors(_drawn_events(spark, sf_dir, _FINDING_EVENTS), _members(spark, sf_dir))
+    judged = events.judged_in_order(proposed, "finding_id", events.judge_finding)
+    return judged.select("finding_id", "arrival", "outcome", "event_seq", "status", F.col("version_no_now").alias("version_no"))

@@ -6,8 +6,9 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import folds, runs
+from ledgerloom.operators import events, folds, runs
 from ledgerloom.sources import commits
+from ledgerloom.streaming import matters
 
 MEMBER = "dataset_id string, source_row_no long, eoi string"
 
@@ -137,3 +138,69 @@ def test_a_file_is_put_once(spark, tmp_path):
     spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.once.link./in", f"file://{tmp_path}")
     assert commits.put_if_absent(spark, "viewfs://once/in/log/2", "one") and not commits.put_if_absent(spark, "viewfs://once/in/log/2", "two")
     assert (tmp_path / "log" / "2").read_text() == "one"
+
+
+EXCEPTION = "exception_id string, arrival long, event_type string, actor_id string, engagement_id string, result_id string, to_status string, note string, title string, idempotency_key string, has_concluded_finding boolean"
+
+
+def exception_rows(spark):
+    made = ("x", 1, "CREATE", "ann", "e1", "r1", None, None, "t", "k1", False)
+    rows = [
+        ("x", 0, "LINK", "ann", "e1", "r2", None, None, None, "k0", False),  # NOT_FOUND
+        made,
+        (*made[:1], 2, *made[2:]),  # REPEATED
+        ("x", 3, "CREATE", "ann", "e1", "r2", None, None, "t", "k1", False),  # CONFLICT
+        ("x", 4, "LINK", "bob", "e1", "r2", None, None, None, "k2", False),
+        ("x", 5, "LINK", "bob", "e1", "other", None, None, None, "k3", False),  # OTHER_ENGAGEMENT
+        ("x", 6, "LINK", "bob", "e1", "none", None, None, None, "k3", False),  # NO_RESULT
+        ("x", 7, "LINK", "eve", "e1", "r3", None, None, None, "k3", False),  # NOT_MEMBER
+        ("x", 8, "UNLINK", "bob", "e1", "r1", None, None, None, "k3", False),
+        ("x", 9, "STATUS", "bob", "e1", None, "CLOSED_NO_FINDING", " ", None, "k4", False),  # NO_RATIONALE
+        ("x", 10, "STATUS", "bob", "e1", None, "CONCLUDED_WITH_FINDING", None, None, "k4", False),  # NO_CONCLUDED_FINDING
+        ("x", 11, "STATUS", "bob", "e1", None, "CONCLUDED_WITH_FINDING", None, None, "k4", True),
+        ("x", 12, "REOPEN", "ann", "e1", None, "UNDER_INVESTIGATION", "new", None, "k5", True),
+        ("x", 13, "REOPEN", "ann", "e1", None, "UNDER_INVESTIGATION", "else", None, "k5", True),  # CONFLICT
+        ("y", 1, "MERGE", "ann", "e1", None, None, None, None, "k1", False),  # NOT_FOUND
+    ]
+    return spark.createDataFrame(rows, EXCEPTION)
+
+
+OUTCOMES = "NOT_FOUND ACCEPTED REPEATED CONFLICT ACCEPTED OTHER_ENGAGEMENT NO_RESULT NOT_MEMBER ACCEPTED NO_RATIONALE NO_CONCLUDED_FINDING ACCEPTED ACCEPTED CONFLICT NOT_FOUND".split()
+
+
+def guarded(spark, rows):
+    known = spark.createDataFrame([("e1", "ann"), ("e1", "bob"), ("e1", "bob")], "engagement_id string, user_id string")
+    results = spark.createDataFrame([("r1", "e1"), ("r2", "e1"), ("r3", "e1"), ("other", "e2")], "result_id string, engagement_id string")
+    return events.with_exception_guards(rows, known, results)
+
+
+def test_exception_events_in_order(spark):
+    judged = events.judged_in_order(guarded(spark, exception_rows(spark)), "exception_id", events.judge_exception).orderBy("exception_id", "arrival").collect()
+    assert [r.outcome for r in judged] == OUTCOMES
+    assert [r.event_seq for r in judged if r.outcome == "ACCEPTED"] == [2, 3, 4, 5, 6]
+    assert [r.n_links for r in judged][:9] == [0, 1, 1, 1, 2, 2, 2, 2, 1]
+    assert [r.status for r in judged][-4:] == ["CONCLUDED_WITH_FINDING", "UNDER_INVESTIGATION", "UNDER_INVESTIGATION", None]
+    assert events.judged_in_order(guarded(spark, exception_rows(spark).limit(0)), "exception_id", events.judge_exception).count() == 0
+
+
+def test_finding_events_in_order(spark):
+    rows = [("CREATE", "ann", None, "c1", "k1"), ("APPROVE", "bob", 1, None, "k1"), ("REVISE", "ann", None, "c2", "k2"), ("REVISE", "ann", None, "c2", "k2"), ("REVISE", "ann", None, "c3", "k2"), ("SUBMIT", "ann", None, None, "k3"), ("SUBMIT", "ann", None, None, "k3")]
+    rows += [("SUBMIT", "ann", None, None, "k9"), ("APPROVE", "bob", 1, None, "k4"), ("APPROVE", "ann", 2, None, "k4"), ("APPROVE", "eve", 2, None, "k4"), ("RETURN", "bob", 2, None, "k4"), ("REVISE", "bob", None, "c4", "k5"), ("SUBMIT", "bob", None, None, "k5"), ("APPROVE", "ann", 3, None, "k6"), ("REVISE", "ann", None, "c5", "k7")]
+    df = spark.createDataFrame([("f", i, kind, actor, "e1", version, content, key, True) for i, (kind, actor, version, content, key) in enumerate(rows)], "finding_id string, arrival long, event_type string, actor_id string, engagement_id string, version_no long, content_hash string, idempotency_key string, has_active_link boolean")
+    known = spark.createDataFrame([("e1", "ann"), ("e1", "bob")], "engagement_id string, user_id string")
+    judged = events.judged_in_order(events.with_actors(df, known), "finding_id", events.judge_finding).orderBy("arrival").collect()
+    assert [r.outcome for r in judged] == "ACCEPTED NOT_IN_REVIEW ACCEPTED REPEATED CONFLICT ACCEPTED REPEATED NOT_DRAFT NOT_CURRENT OWN_WORK NOT_MEMBER ACCEPTED ACCEPTED ACCEPTED ACCEPTED NOT_DRAFT".split()
+    assert judged[-1].status == "CONCLUDED" and judged[-1].version_no_now == 3 and judged[-2].event_seq == 4
+
+
+def test_a_restarted_stream_goes_on_from_its_state(spark, tmp_path):
+    rows = guarded(spark, exception_rows(spark)).select(*exception_rows(spark).columns, "actor_is_member", "result_engagement")
+    found = []
+    for number, part in enumerate(("arrival < 6", "arrival >= 6")):
+        rows.where(part).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        out = matters.judged_stream(stream, "exception_id", events.judge_exception)
+        run = out.writeStream.foreachBatch(lambda df, _: found.extend(df.collect())).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        run.awaitTermination(120)
+    found.sort(key=lambda r: (r.exception_id, r.arrival))
+    assert [r.outcome for r in found] == OUTCOMES and [r.event_seq for r in found if r.outcome == "ACCEPTED"] == [2, 3, 4, 5, 6]
