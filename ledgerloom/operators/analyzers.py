@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import money
 from ledgerloom.functions.text import filled, key
 from ledgerloom.functions.timeparts import local_hour, local_weekday, rounded_hours
+from ledgerloom.session import broadcast_if_small, checkpointed
 
 #: 95 % quantile of chi-square with 8 degrees of freedom, and the defaults.
 CHI_SQUARE_LIMIT = 15.507
 BENFORD_SAMPLE, NEAR_HOURS, VAT_RATE, VAT_TOLERANCE = 50, 72, 0.15, 1
 ZONE, OPENS, CLOSES, WEEKEND = "Asia/Riyadh", 7, 19, (5, 6)
+#: Rows of a time slot's amount and counterparty that one task compares with each other.
+SLOT_ROWS = 10_000
 SEVERITIES = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
 #: What a VAT discrepancy is called and how it is described.
 VAT_TEXTS = {
@@ -85,20 +88,42 @@ def exact_duplicates(transactions: DataFrame, with_ids: bool = True) -> DataFram
     return groups.agg(F.count("*").alias("n"), members.alias("members")).where("n >= 2").select("minor", "party", "ref", "n", F.col("members")[0]["row_no"].alias("first_row"), F.col("members.id").alias("ids"))
 
 
-def near_duplicates(transactions: DataFrame, hours: int = NEAR_HOURS) -> DataFrame:
+def slotted(transactions: DataFrame, hours: int, slot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows as firsts and as seconds of near duplicates, with slot, part and other_part: what meets shares all three.
+
+    A first stands in its own slot and the next. A slot with more than slot_rows rows is dealt to
+    parts by a hash, and each part of its firsts meets each part of its seconds.
+    """
+    rows = keyed(transactions).where("minor <> 0").select("minor", "party", "ref", "id", "row_no", "posted_at", F.unix_micros("posted_at").alias("at"))
+    rows = rows.withColumn("slot", F.floor(F.col("at") / (hours * 3_600_000_000)))
+    own = ["minor", "party", "slot"]
+    counted = rows.groupBy(*own).count().where(F.col("count") > slot_rows).withColumn("parts", F.ceil(F.col("count") / slot_rows))
+    hot = checkpointed(counted.withColumn("slot", F.explode(F.array("slot", F.col("slot") + 1))).groupBy(*own).agg(F.max("parts").alias("parts")))  # two rows per slot_rows rows at most
+    first = rows.withColumn("slot", F.explode(F.array(F.col("slot"), F.col("slot") + 1)))
+    if hot.isEmpty():
+        return tuple(side.withColumns({"part": F.lit(0), "other_part": F.lit(0)}) for side in (first, rows))
+    hot = broadcast_if_small(hot)
+    sides = []
+    for side, mine, theirs in ((first, "part", "other_part"), (rows, "other_part", "part")):
+        parts = F.coalesce("parts", F.lit(1)).cast("int")
+        dealt = side.join(hot, own, "left").withColumn(mine, F.pmod(F.xxhash64("row_no", "id"), parts).cast("int"))
+        sides.append(dealt.withColumn(theirs, F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts"))
+    return tuple(sides)
+
+
+def near_duplicates(transactions: DataFrame, hours: int = NEAR_HOURS, slot_rows: int = SLOT_ROWS) -> DataFrame:
     """Pairs of equal amount (not 0) and counterparty, but other references, posted within `hours`: minor, party, first_id, second_id, hours_apart, first_row, second_row.
 
     Time is cut into slots as long as the window, so a row meets only rows of its own and of the
-    next slot, however many share its amount and counterparty.
+    next slot, and a full slot is split, so that no task has more than the rows of two parts for
+    each pair of parts that it is dealt.
     """
     window = hours * 3_600_000_000
-    rows = keyed(transactions).where("minor <> 0").select("minor", "party", "ref", "id", "row_no", "posted_at", F.unix_micros("posted_at").alias("at"))
-    rows = rows.withColumn("slot", F.floor(F.col("at") / window))
-    first = rows.withColumn("slot", F.explode(F.array(F.col("slot"), F.col("slot") + 1)))
-    a, b = first.alias("a"), rows.alias("b")
+    first, second = slotted(transactions, hours, slot_rows)
+    a, b = first.alias("a"), second.alias("b")
     ordered = (F.col("b.at") > F.col("a.at")) | ((F.col("b.at") == F.col("a.at")) & (F.col("b.row_no") > F.col("a.row_no")))
     near = (F.col("b.at") - F.col("a.at")) <= window
-    pairs = a.join(b, (F.col("a.minor") == F.col("b.minor")) & (F.col("a.party") == F.col("b.party")) & (F.col("a.slot") == F.col("b.slot")) & ordered & near & (F.col("a.ref") != F.col("b.ref")))
+    pairs = a.join(b, (F.col("a.minor") == F.col("b.minor")) & (F.col("a.party") == F.col("b.party")) & (F.col("a.slot") == F.col("b.slot")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.other_part") == F.col("b.other_part")) & ordered & near & (F.col("a.ref") != F.col("b.ref")))
     return pairs.select(
         "a.minor",
         "a.party",

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.money import canon_amount, single_sided
 from ledgerloom.operators.accounting import entries
+from ledgerloom.session import broadcast_if_small, checkpointed
 
 EVIDENCE = 3
 MEMBER = ["dataset_id", "source_row_no"]
@@ -50,6 +51,25 @@ def _result(code: str, severity: str) -> dict[str, Column]:
     return {"result_code": F.lit(code), "severity": F.lit(severity)}
 
 
+def population(members: DataFrame, resolutions: DataFrame, run_datasets: DataFrame, records: DataFrame, preparation_id: Any, test_version_id: Any) -> DataFrame:
+    """Members of a test's frozen population with their records: MEMBER, content_hash, eoi, record_id, raw_hash and dataset_hash.
+
+    members: preparation_id, test_version_id, MEMBER, content_hash, eoi; resolutions:
+    preparation_id, test_version_id, dataset_id, eligibility; run_datasets: preparation_id,
+    dataset_id, dataset_hash; records: record_id, MEMBER, raw_hash. A member counts where its
+    dataset is one of the preparation's, resolved as other than NOT_ELIGIBLE, and its record is
+    there. What says so is a row per dataset, sent to all tasks while those are few; members and
+    records meet by dataset and row, so a large dataset is no one task's.
+    """
+    of_test = (F.col("preparation_id") == preparation_id) & (F.col("test_version_id") == test_version_id)
+    eligible = resolutions.where(of_test & (F.col("eligibility") != "NOT_ELIGIBLE")).select("dataset_id").distinct()
+    datasets = checkpointed(run_datasets.where(F.col("preparation_id") == preparation_id).select("dataset_id", "dataset_hash").join(eligible, "dataset_id"))
+    few = broadcast_if_small(datasets)
+    frozen = members.where(of_test).select(*MEMBER, "content_hash", "eoi").join(few, "dataset_id")
+    known = records.select(*MEMBER, "record_id", "raw_hash").join(few.select("dataset_id"), "dataset_id", "left_semi")
+    return frozen.join(known, MEMBER)
+
+
 @register_test("DATA_QUALITY", "POPULATION_MEMBER")
 def population_member(members: DataFrame) -> DataFrame:
     """A result for every member."""

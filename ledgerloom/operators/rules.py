@@ -7,20 +7,24 @@ Findings: rule, severity, score, amount of ids and the ids themselves in input o
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import money
 from ledgerloom.functions.money import rounded_half_up
 from ledgerloom.functions.text import filled, is_blank, key
 from ledgerloom.functions.timeparts import local_hour, local_weekday, rounded_days
+from ledgerloom.session import broadcast_if_small, checkpointed
 
 ZONE, OPENS, CLOSES, WEEKEND = "Asia/Riyadh", 7, 19, (5, 6)
+#: Rows of a group that one task takes in.
+GROUP_ROWS = 100_000
 #: The score that a finding of each severity is stored with.
 STORED_SCORES = {"CRITICAL": 95, "HIGH": 80, "MEDIUM": 60, "LOW": 40, "INFO": 20}
 
@@ -129,7 +133,25 @@ def _group_keys(fields: list[str]) -> dict[str, Column]:
     return {f"key_{name}": known[name] for name in fields}
 
 
-def grouped(transactions: DataFrame, rule: Rule, with_ids: bool = True) -> DataFrame:
+def _since_first(rows: DataFrame, keys: list[str], group_rows: int) -> DataFrame:
+    """Adds since: microseconds after the first of a row's group. Groups are never sorted.
+
+    The first is an aggregate that is joined back. Groups of more than group_rows rows, which one
+    task would have to take in whole, get theirs where they lie, from a list sent to all tasks.
+    """
+    at = F.unix_micros("posted_at")
+    firsts = checkpointed(rows.groupBy(*keys).agg(F.min(at).alias("first_at"), F.count("*").alias("group_size")).withColumnsRenamed({k: f"own_{k}" for k in keys}))
+    same = lambda: functools.reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"own_{k}")) for k in keys))
+    hot, others = firsts.where(F.col("group_size") > group_rows), firsts.where(F.col("group_size") <= group_rows)
+    if hot.isEmpty():
+        return rows.join(firsts, same()).withColumn("since", at - F.col("first_at"))
+    marked = rows.join(broadcast_if_small(hot), same(), "left")  # a row per group_rows rows at most
+    rest = marked.where("group_size is null").select(*rows.columns).join(others, same())
+    whole = marked.where("group_size is not null").unionByName(rest)
+    return whole.withColumn("since", at - F.col("first_at"))
+
+
+def grouped(transactions: DataFrame, rule: Rule, with_ids: bool = True, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Groups that break an aggregate rule: key columns, n, total (minor units), first_row, first_id, and ids if asked for.
 
     ids holds a whole group in one row; without it a group of any size is a few numbers.
@@ -139,8 +161,7 @@ def grouped(transactions: DataFrame, rule: Rule, with_ids: bool = True) -> DataF
     keys = _group_keys(d["groupBy"])
     rows = transactions.withColumns(keys | {"minor": _minor()})
     if d.get("windowDays") is not None:
-        at = F.unix_micros("posted_at")
-        rows = rows.withColumn("since", at - F.min(at).over(Window.partitionBy(*keys))).where(F.col("since") <= int(d["windowDays"] * 86_400_000_000))
+        rows = _since_first(rows, list(keys), group_rows).where(F.col("since") <= int(d["windowDays"] * 86_400_000_000))
     measured = [F.count("*").alias("n"), F.sum("minor").alias("total"), F.min("row_no").alias("first_row"), F.min(F.struct("row_no", "id"))["id"].alias("first_id")]
     ids = [F.array_sort(F.collect_list(F.struct("row_no", "id")))["id"].alias("ids")] if with_ids else []
     groups = rows.groupBy(*keys).agg(*measured, *ids)

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import events, folds, reconcile, runs
+from ledgerloom.operators import events, executors, folds, reconcile, runs
 from ledgerloom.plans import views
 from ledgerloom.plans.catalog import _RECON, _TWO_CELLS, ORACLE_SQL, _frame, _two_cells, query
 from ledgerloom.session import shared_folder
@@ -149,3 +149,26 @@ def finding_events_judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     proposed = events.with_actors(_drawn_events(spark, sf_dir, _FINDING_EVENTS), _members(spark, sf_dir))
     judged = events.judged_in_order(proposed, "finding_id", events.judge_finding)
     return judged.select("finding_id", "arrival", "outcome", "event_seq", "status", F.col("version_no_now").alias("version_no"))
+
+
+# Populations
+
+_SHARE = "o_custkey % 3 = 1 AND o_orderkey % 2 = 0 AND o_custkey % 5 < 4 AND o_custkey % 5 > 0 AND o_orderkey % 9 > 0"
+
+
+@query(f"""SELECT 'member' AS kind, 'd' || o_custkey % 5 AS dataset_id, o_orderkey AS source_row_no, 'h' || o_orderkey AS content_hash, 'DQ_POPULATION_MEMBER' AS result_code FROM orders WHERE {_SHARE}
+UNION ALL SELECT 'mismatch', 'd' || o_custkey % 5, o_orderkey, 'h' || o_orderkey, 'DQ_SOURCE_TO_CANONICAL_MISMATCH' FROM orders WHERE {_SHARE} AND o_orderkey % 8 = 0""")
+def exe_population_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of the two data-quality tests over a population that four tables make: of three preparations and two tests one is asked for, some datasets are not eligible or not the run's, some members have no record."""
+    orders, text = views.table(spark, sf_dir, "orders"), lambda c: F.col(c).cast("string")
+    dataset, row = F.concat(F.lit("d"), (F.col("o_custkey") % 5).cast("string")), F.col("o_orderkey")
+    hashed = F.concat(F.lit("h"), text("o_orderkey"))
+    members = orders.select((F.col("o_custkey") % 3).alias("preparation_id"), (row % 2).alias("test_version_id"), dataset.alias("dataset_id"), row.alias("source_row_no"), hashed.alias("content_hash"), F.lit("eoi").alias("eoi"))
+    known = members.select("preparation_id", "test_version_id", "dataset_id").distinct()
+    resolutions = known.withColumn("eligibility", F.when(F.col("dataset_id") == "d4", "NOT_ELIGIBLE").otherwise("ELIGIBLE"))
+    run_datasets = known.where("dataset_id <> 'd0'").select("preparation_id", "dataset_id", F.concat(F.lit("hash-"), "dataset_id").alias("dataset_hash")).distinct()
+    records = orders.where(row % 9 > 0).select(F.concat(F.lit("r"), text("o_orderkey")).alias("record_id"), dataset.alias("dataset_id"), row.alias("source_row_no"), F.when(row % 8 == 0, "other").otherwise(hashed).alias("raw_hash"))
+    population = executors.population(members, resolutions, run_datasets, records, 1, 0)
+    columns = ["dataset_id", "source_row_no", "content_hash", "result_code"]
+    found = executors.executor("DATA_QUALITY", "POPULATION_MEMBER")(population).select(F.lit("member").alias("kind"), *columns)
+    return found.unionByName(executors.executor("DATA_QUALITY", "SOURCE_TO_CANONICAL_MISMATCH")(population, records).select(F.lit("mismatch").alias("kind"), *columns))
