@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from ledgerloom.operators import events, executors, folds, reconcile, runs
 from ledgerloom.plans import views
 from ledgerloom.plans.catalog import _RECON, _TWO_CELLS, ORACLE_SQL, _frame, _two_cells, query
 from ledgerloom.session import shared_folder
-from ledgerloom.sources import commits
+from ledgerloom.sources import commits, objects, storage
 
 
 def _folder(spark: SparkSession, name: str) -> str:
@@ -172,3 +173,57 @@ def exe_population_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["dataset_id", "source_row_no", "content_hash", "result_code"]
     found = executors.executor("DATA_QUALITY", "POPULATION_MEMBER")(population).select(F.lit("member").alias("kind"), *columns)
     return found.unionByName(executors.executor("DATA_QUALITY", "SOURCE_TO_CANONICAL_MISMATCH")(population, records).select(F.lit("mismatch").alias("kind"), *columns))
+
+
+# Stored tables
+
+
+@query("""WITH t AS (SELECT 'f' || o_custkey % 3 AS firm_id, 'ds' || o_orderkey % 5 AS scope, 'doc' || o_custkey % 20 AS document_id FROM orders)
+SELECT 'transactions' AS part, firm_id, scope, count(*) AS n FROM t WHERE NOT (firm_id = 'f1' AND (scope = 'ds2' OR document_id = 'doc7')) GROUP BY ALL
+UNION ALL SELECT 'findings', 'f' || c_custkey % 3, CASE WHEN kept THEN 'kept' ELSE 'rules-open' END, count(*) FROM (SELECT c_custkey, c_custkey % 2 = 0 AS kept FROM customer) WHERE kept OR c_custkey % 3 <> 1 GROUP BY ALL
+UNION ALL SELECT 'findings', 'f1', 'rules-open', count(*) FROM supplier HAVING count(*) > 0""")
+def stored_replace_and_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three firms' transactions and findings, stored; one firm deletes a dataset and a document, and replaces its open findings."""
+    root, text = _folder(spark, "tables"), lambda name, c: F.concat(F.lit(name), c.cast("string"))
+    firm = text("f", F.col("o_custkey") % 3)
+    transactions = views.table(spark, sf_dir, "orders").select(firm.alias("firm_id"), text("ds", F.col("o_orderkey") % 5).alias("scope"), text("doc", F.col("o_custkey") % 20).alias("document_id"), F.col("o_orderkey").alias("id"))
+    customer = views.table(spark, sf_dir, "customer")
+    findings = customer.select(text("f", F.col("c_custkey") % 3).alias("firm_id"), F.lit("e1").alias("scope"), F.when(F.col("c_custkey") % 2 == 0, storage.OTHERS).otherwise(storage.OPEN_RULES).alias("origin"), F.col("c_custkey").alias("finding_id"), F.lit("OPEN").alias("status"))
+    firms = {f: storage.Catalog(spark, root, f) for f in ("f0", "f1", "f2")}
+    for name, own in firms.items():
+        own.append("transactions", transactions.where(F.col("firm_id") == name))
+        own.append("findings", findings.where(F.col("firm_id") == name))
+    own = firms["f1"]
+    own.delete_dataset("ds2", transactions.limit(0).select("firm_id", F.col("scope").alias("dataset_id")))
+    own.delete_document("doc7")
+    own.replace_open_findings("e1", views.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("finding_id"), F.lit("OPEN").alias("status")))
+    parts = []
+    for c in firms.values():
+        parts.append(c.sql("SELECT 'transactions' AS part, firm_id, scope, count(*) AS n FROM transactions GROUP BY firm_id, scope"))
+        parts.append(c.sql("SELECT 'findings' AS part, firm_id, origin AS scope, count(*) AS n FROM findings GROUP BY firm_id, origin"))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+# Documents
+
+
+def _draw_sql(seed: str, k: str) -> str:
+    """The k-th draw in SQL, whose wide integers need no halves."""
+    a = f"CAST((CAST({seed} AS HUGEINT) + ({k}) * 1831565813::BIGINT) % 4294967296 AS BIGINT)"
+    wide = lambda x, y: f"CAST((CAST({x} AS HUGEINT) * CAST({y} AS HUGEINT)) % 4294967296 AS BIGINT)"
+    t = f"list_transform([{a}], lambda a: {wide('xor(a, a >> 15)', '(a | 1)')})"
+    u = f"list_transform({t}, lambda t: xor((t + {wide('xor(t, t >> 7)', '(t | 61)')}) % 4294967296, t))"
+    return f"list_transform({u}, lambda u: xor(u, u >> 14) / 4294967296.0::DOUBLE)[1]"
+
+
+@query(f"""WITH f AS (SELECT 'in/' || c_mktsegment || '-' || c_custkey || '.pdf' AS path, c_mktsegment || '-' || c_custkey || '.pdf' AS name FROM customer),
+s AS (SELECT path, list_reduce(list_prepend(2166136261::BIGINT, [CAST(ord(name[i]) AS BIGINT) FOR i IN range(1, len(name) + 1)]), lambda h, c: CAST((CAST(xor(h, c) AS HUGEINT) * 16777619) % 4294967296 AS BIGINT)) AS seed FROM f),
+n AS (SELECT path, seed, CAST(3 + floor({_draw_sql('seed', '1')} * 6) AS INTEGER) AS n FROM s), l AS (SELECT path, seed, n, unnest(range(0, n)) AS i FROM n),
+c AS (SELECT path, i, seed, n, CAST(floor((500 + {_draw_sql('seed', 'i + 2')} * 90000) * 100 + 0.5) AS BIGINT) AS cents FROM l)
+SELECT path, CAST(i + 1 AS INTEGER) AS line_no, 'INV-' || (1000 + i) AS reference, printf('%d.%02d', cents // 100, cents % 100) AS amount, printf('%d.%02d', CAST(floor(cents / 100.0::DOUBLE * 15 + 0.5) AS BIGINT) // 100, CAST(floor(cents / 100.0::DOUBLE * 15 + 0.5) AS BIGINT) % 100) AS vat_amount,
+CAST(1 + floor({_draw_sql('seed', 'n + 2')} * 4) AS INTEGER) AS page_count FROM c""")
+def stub_document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that the stub parser gives for a file of each customer."""
+    path = F.concat(F.lit("in/"), "c_mktsegment", F.lit("-"), F.col("c_custkey").cast("string"), F.lit(".pdf"))
+    files = views.table(spark, sf_dir, "customer").select(path.alias("path"), F.lit("INVOICE").alias("document_type"))
+    return objects.stub_lines(files).select("path", "line_no", "reference", "amount", "vat_amount", "page_count")
