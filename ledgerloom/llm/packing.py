@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from ledgerloom.llm.tables import table
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
-#: Keys of a worker's memo, which holds up to twice as many.
-CACHE_WORDS = 240_000
+#: Keys of a worker's memo, which holds up to twice as many, and characters of a key at most: half a kilobyte each.
+CACHE_WORDS, CACHE_CHARS = 240_000, 64
 #: Control characters that Python's split takes for white space and the tokenizer does not.
 _ODD_SPACES = re.compile("[\x1c-\x1f]")
 #: The tokenizer's own split pattern.
@@ -42,13 +42,15 @@ _BATCH = 2_000
 
 
 class Recent(dict):
-    """A memo of about the last used `size` to twice `size` keys; `make` gives a missing value."""
+    """A memo of about the last used `size` to twice `size` keys of few characters; `make` gives a missing value, each time for a longer key."""
 
     def __init__(self, size: int, make: Callable[[str], bytes]) -> None:
         super().__init__()
         self._size, self._make, self._older = size, make, {}
 
     def __missing__(self, key: str) -> bytes:
+        if len(key) > CACHE_CHARS:
+            return self._make(key)
         value = self._older.get(key)
         if value is None:
             value = self._make(key)
