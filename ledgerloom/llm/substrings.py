@@ -249,6 +249,16 @@ def _row_key(doc_id: Column, text: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(doc_id, text), 1)
 
 
+def _distinct(rows: DataFrame) -> DataFrame:
+    """Rows, of those that share (doc_id, row_key) one; texts that stand alone are not shuffled."""
+    repeated = checkpointed(rows.groupBy("doc_id", "row_key").count().where("count > 1").select("doc_id", "row_key"))
+    if repeated.isEmpty():
+        return rows
+    alone = rows.join(repeated, ["doc_id", "row_key"], "left_anti")
+    several = rows.join(repeated, ["doc_id", "row_key"], "left_semi").dropDuplicates(["doc_id", "row_key"])
+    return alone.unionByName(several)
+
+
 def deduplicate_substrings(docs: DataFrame, length: int = LENGTH, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, kept_text, n_words, n_removed and the `carry` columns of each row of docs.
 
@@ -256,13 +266,13 @@ def deduplicate_substrings(docs: DataFrame, length: int = LENGTH, carry: tuple[s
     by ASCII white space. kept_text is the text itself where nothing is removed, else the kept
     words joined by one space. Windows are judged on the input, not on what is left. Null and
     empty texts have no words and an empty kept_text. Rows without a doc_id are kept whole and
-    remove nothing elsewhere; rows that share one never remove from each other. An empty table
-    gives no rows.
+    remove nothing elsewhere; rows that share one never remove from each other, and equal ones are
+    searched once. An empty table gives no rows.
     """
     anchor = min(ANCHOR, length)
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.struct(*carry).alias("carry") if carry else F.lit(None).cast("string").alias("carry"))
     keyed = named.withColumn("row_key", _row_key(F.col("doc_id"), F.col("text")))
-    rows = keyed.where(F.col("doc_id").isNotNull()).select("doc_id", "row_key", F.lit(0).cast("long").alias("base"), "text")
+    rows = _distinct(keyed.where(F.col("doc_id").isNotNull()).select("doc_id", "row_key", F.lit(0).cast("long").alias("base"), "text"))
     first = _round(rows, length, anchor)
     left = first.where(F.col("text").isNotNull()).select("doc_id", "row_key", F.col("start").alias("base"), F.col("text").cast("string").alias("text"))
     second = _round(left, length, length) if anchor < length else first.limit(0)

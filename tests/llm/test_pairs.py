@@ -260,3 +260,10 @@ def test_edited_items_are_found(spark, documents, prose):
                 expected.add((d, i, best[0]))
     found = decontamination.find_contamination(documents(rows), benchmark, decontamination.CONTAMINATED_RATE, least_edits=decontamination.LEAST_EDITS).collect()
     assert {(r.doc_id, r.item_id, r.distance) for r in found} == expected and len(expected) > 25
+
+
+def test_repeated_rows_are_searched_once(spark, documents, prose):
+    shared, other = prose(70), prose(300)
+    texts = [(1, f"{prose(10)} {shared}")] + [(2, f"{other} {shared}")] * 3000 + [(3, other), (4, prose(5))]
+    df = substrings.deduplicate_substrings(documents(texts)).groupBy("doc_id", "n_removed").count().collect()
+    assert sorted(map(tuple, df)) == [(1, 0, 1), (2, 70, 3000), (3, 300, 1), (4, 0, 1)]
