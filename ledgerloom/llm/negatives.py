@@ -207,9 +207,11 @@ def mine_hard_negatives(embeddings: DataFrame, anchors: Column, settings: Mining
         if not (left.num_rows and right.num_rows):
             return _NO_HITS
         (a, a_ids, a_labels), (b, b_ids, b_labels) = loaded(left, ""), loaded(right, "other_")
-        parts = []
-        for label in np.unique(a_labels):
-            mine, theirs = np.flatnonzero(a_labels == label), np.flatnonzero(b_labels == label)
+        parts, labels = [], np.unique(a_labels)
+        a_order, b_order = np.argsort(a_labels, kind="stable"), np.argsort(b_labels, kind="stable")
+        bounds = [np.searchsorted(own[order], labels, side) for own, order in ((a_labels, a_order), (b_labels, b_order)) for side in ("left", "right")]
+        for a_from, a_to, b_from, b_to in zip(*bounds):
+            mine, theirs = a_order[a_from:a_to], b_order[b_from:b_to]
             own, other = a_ids[mine], b_ids[theirs]
             limits = np.full((len(mine), 1), _NONE), np.full((len(mine), 1), _MOST)
             best, _ = search(a[mine], *limits, settings.positives, b[theirs], other, lambda block, inside: own[block][:, None] != other[inside])  # noqa: B023
