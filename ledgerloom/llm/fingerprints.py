@@ -21,8 +21,7 @@ from ledgerloom.llm.tables import checkpointed, table
 GRAM, WINDOW = 5, 4
 #: ASCII white space, which separates words.
 _SPACE = " \t\n\x0b\x0c\r"
-#: Characters below which a text's grams are of characters; and letters of scripts that put no spaces between words.
-SHORT = 128
+#: Letters of scripts that put no spaces between words.
 _UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 #: A gram's sort key: 33 bits of its hash, then its position counted down in 30 bits.
 _POSITION_BITS = 30
@@ -40,11 +39,10 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def units(text: Column) -> Column:
-    """What grams are made of: the words of a text; its characters if it is short, or its words by characters where they belong to scripts without spaces."""
+    """What grams are made of: the words of a text, and by themselves the letters of scripts without spaces."""
     spaced = F.when(text.rlike(_UNSPACED), F.regexp_replace(text, f"({_UNSPACED})", " $1 ")).otherwise(text)
     words = F.split(F.btrim(spaced, F.lit(_SPACE)), f"[{_SPACE}]+")
-    chars = F.split(F.btrim(text, F.lit(_SPACE)), "")
-    return F.when(F.btrim(text, F.lit(_SPACE)) == "", F.array().cast("array<string>")).when(F.char_length(text) < SHORT, chars).otherwise(words)
+    return F.when(F.btrim(text, F.lit(_SPACE)) == "", F.array().cast("array<string>")).otherwise(words)
 
 
 def _rotated(value: Column, by: int) -> Column:
@@ -76,21 +74,23 @@ def _over(values: Column, size: int, join: Callable[[Column, Column, int], Colum
 
 
 def gram_hashes(text: Column, gram: int) -> Column:
-    """Rolling hash of every `gram` consecutive units; of all units if there are fewer; none without any.
+    """Rolling hash of the `gram` units that end with each unit of a text; before the first one stand `gram` - 1 marks.
 
     It is the cyclic polynomial: every unit's hash turned by the number of units after it, and
     joined by exclusive or. A hash follows from those of the shorter runs that it shares with its
-    neighbours.
+    neighbours. With the marks a text of few units, too, has a gram for each, and texts that
+    begin alike share the first ones.
     """
-    hashed = F.transform(units(text), lambda w: F.xxhash64(w))
-    rolled = lambda h: _over(h, gram, lambda a, b, n: _rotated(a, n).bitwiseXOR(b))
-    return let(hashed, lambda h: F.when(F.size(h) >= gram, rolled(h)).when(F.size(h) > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>")))
+    start = F.array_repeat(F.xxhash64(F.lit("")), gram - 1)
+    hashed = F.concat(start, F.transform(units(text), lambda w: F.xxhash64(w)))
+    return _over(hashed, gram, lambda a, b, n: _rotated(a, n).bitwiseXOR(b))
 
 
 def winnow(grams: Column, window: int) -> Column:
-    """Kept (hash, position) of an array of gram hashes, in order of position."""
+    """Kept (hash, position) of an array of gram hashes, in order of position. Windows slide in from before the first gram, so that one is always kept."""
     keys = F.transform(grams, lambda g, i: F.shiftrightunsigned(g, 31) * F.lit(1 << _POSITION_BITS) + (F.lit(_LAST_POSITION) - i))
-    least = let(keys, lambda k: F.when(F.size(k) >= window, _over(k, window, lambda a, b, n: F.least(a, b))).otherwise(F.array(F.array_min(k))))
+    before = F.array_repeat(F.lit((1 << 63) - 1), window - 1)
+    least = _over(F.concat(before, keys), window, lambda a, b, n: F.least(a, b))
     kept = F.transform(F.array_distinct(least), lambda k: (F.lit(_LAST_POSITION) - k.bitwiseAND(F.lit(_LAST_POSITION))).cast("int"))
     return let(grams, lambda g: F.when(F.size(g) == 0, F.array().cast("array<struct<hash:bigint,position:int>>")).otherwise(F.transform(kept, lambda p: F.struct(g[p].alias("hash"), p.alias("position")))))
 
@@ -110,10 +110,10 @@ def fingerprint_documents(docs: DataFrame, gram: int = GRAM, window: int = WINDO
     """doc_id, text and fingerprint of each row of docs.
 
     docs: needs doc_id and text; other columns, whatever their names, are ignored. Null texts
-    count as empty and have an empty fingerprint. Grams are of words, of characters in texts of
-    under SHORT characters, and letters of scripts without spaces count as words; a text of
-    fewer than `gram` of them has one kept hash, that of all. Ties within a window keep the rightmost gram. Repeated
-    rows are answered each for itself, an empty table gives no rows, and a text of any length
+    count as empty and have an empty fingerprint. Grams are of words, and letters of scripts
+    without spaces count as words; a position is that of a gram's last word, from 0. A run of
+    `gram` + `window` - 1 words that two texts share gives them a hash in common. Ties within a
+    window keep the rightmost gram. Repeated rows are answered each for itself, an empty table gives no rows, and a text of any length
     is read whole (positions up to 2**30 words are told apart).
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -176,7 +176,7 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def printed(rows: DataFrame) -> DataFrame:
         full = rows.withColumn("full_print", fingerprint(F.col("text")))
-        return full.withColumns({"fingerprint": digest(F.col("full_print")), "hashes": F.col("full_print.hash")}).drop("full_print")
+        return full.withColumns({"fingerprint": digest(F.col("full_print")), "hashes": F.col("full_print.hash"), "positions": F.col("full_print.position")}).drop("full_print")
 
     paired = with_next(docs, printed, ("text", "hashes"))
     n_chars = F.char_length("text")
@@ -191,4 +191,6 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         digest(F.col("edited_print")).alias("edited_fingerprint"),
         likeness(F.col("hashes"), F.col("edited_print.hash")).alias("near_edited"),
         likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"),
+        "hashes",
+        "positions",
     )
