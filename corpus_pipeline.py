@@ -31,17 +31,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, that with the least doc_id; rows without an id stay.
+    """One document of each class of near duplicates, that with the least doc_id; one without an id only where none has one.
 
-    Rows are told apart by a 64-bit hash of all their columns, so those that share an id are each
-    judged by their own text; rows equal in every column count as one.
+    Rows are told apart by a 64-bit hash of all their columns, in which a null counts as a value
+    of its own, so those that share an id, or have none, are each judged by their own text; rows
+    equal in every column count as one.
     """
-    rows = docs.select(*COLUMNS).withColumn("row_key", F.xxhash64(*COLUMNS))
-    named = rows.where(F.col("doc_id").isNotNull())
-    classes = jaccard_join(named.select(F.col("row_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("row_key"), "class_id").distinct()
-    first = classes.join(named.select("row_key", "doc_id").distinct(), "row_key").groupBy("class_id").agg(F.min(F.struct("doc_id", "row_key")).alias("first"))
-    kept = named.join(first.select(F.col("first.row_key").alias("row_key")), "row_key", "left_semi").dropDuplicates(["row_key"])
-    return kept.select(*COLUMNS).unionByName(rows.where(F.col("doc_id").isNull()).select(*COLUMNS))
+    rows = docs.select(*COLUMNS).withColumn("row_key", F.xxhash64(*COLUMNS, *(F.col(c).isNull() for c in COLUMNS)))
+    classes = jaccard_join(rows.select(F.col("row_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("row_key"), "class_id").distinct()
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")
+    first = classes.join(rows.select("row_key", "doc_id").distinct(), "row_key").groupBy("class_id").agg(F.min(order).alias("first"))
+    kept = rows.join(first.select(F.col("first.row_key").alias("row_key")), "row_key", "left_semi").dropDuplicates(["row_key"])
+    return kept.select(*COLUMNS)
 
 
 def remove_repeated_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
