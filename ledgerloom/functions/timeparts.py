@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import BLANKS
 
+#: The date forms that are read, year first and year last.
+_YEAR_FIRST = r"((?!00)\d{4})[-/.](\d{1,2})[-/.](\d{1,2})"
+_YEAR_LAST = r"(\d{1,2})[-/.](\d{1,2})[-/.]((?!00)\d{4})"
+
 _DAY_MICROS, _HOUR_MICROS = 86_400_000_000, 3_600_000_000
 
 
@@ -38,6 +42,6 @@ def rounded_hours(later: Column, earlier: Column) -> Column:
 def parse_date_strict(text: Column, order: str = "DMY") -> Column:
     """Date of `Y-M-D`, or of `D-M-Y` (`M-D-Y` if order is MDY), with -, / or . between; null if there is no such day."""
     around = lambda body: f"^[{BLANKS}]*{body}[{BLANKS}]*$"
-    first, second = (around(r"((?!00)\d{4})[-/.](\d{1,2})[-/.](\d{1,2})"), around(r"(\d{1,2})[-/.](\d{1,2})[-/.]((?!00)\d{4})"))
+    first, second = around(_YEAR_FIRST), around(_YEAR_LAST)
     back = "$3-$1-$2" if order == "MDY" else "$3-$2-$1"
     return F.when(text.rlike(second), F.regexp_replace(text, second, back)).when(text.rlike(first), F.regexp_replace(text, first, "$1-$2-$3")).try_cast("date")

@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
-import json
-import re
-from dataclasses import dataclass
-from math import gcd
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import framing
-from ledgerloom.operators.executors import ConfigurationError, RoundNumbers
+from ledgerloom.operators.executors import ConfigurationError
 from ledgerloom.operators.ingest import frame
 from ledgerloom.operators.lifecycle import fields, fingerprint, sequence
 
@@ -138,56 +133,61 @@ CREATABLE: dict[tuple[str, str], tuple[tuple[str, ...], str | None]] = {
     ("STATISTICAL", "ROUND_NUMBER_FREQUENCY"): (_LEDGER, "st.round.1"),
     ("STATISTICAL", "DUPLICATE_AMOUNT_FREQUENCY"): (_LEDGER, "st.dupamt.1"),
 }
-_TEST_KEY = re.compile(r"[A-Za-z0-9][A-Za-z0-9_-]{1,63}")
-
-
-@dataclass(frozen=True)
-class AuthoredTest:
-    """First version of a firm's test."""
-
-    key: str
-    name: str
-    test_type: str
-    definition: dict[str, Any]
-    requirements: dict[str, Any]
-    version_hash: str
-
-
-def _whole(value: Any) -> int:
-    try:
-        return value if type(value) is int else int(str(value).strip())
-    except ValueError as error:
-        raise ConfigurationError(f"not an integer: {value}") from error
-
-
-def _parameters(method: str, given: dict[str, Any]) -> dict[str, Any]:
-    """Frozen parameters of a statistical test; the rate is reduced to lowest terms."""
-    common = {"amountBasis": "TRANSACTION", "methodVersion": method}
-    if method == "st.dupamt.1":
-        if (least := _whole(given.get("minimumOccurrenceCount"))) < 2:
-            raise ConfigurationError("minimumOccurrenceCount must be at least 2")
-        return common | {"minimumOccurrenceCount": least}
-    num, denom = (_whole(given.get(k)) for k in ("rateThresholdNum", "rateThresholdDenom"))
-    shared = gcd(num, denom) or 1
-    whole = {k: _whole(given.get(k)) for k in ("minimumPopulation", "minimumRoundCount")}
-    found = common | {"roundingQuantum": str(given.get("roundingQuantum", ""))} | whole | {"rateThresholdNum": num // shared, "rateThresholdDenom": denom // shared}
-    RoundNumbers.parse(found)
-    return found
-
-
-def author_test(firm_id: str, key: str, name: str, test_type: str, kind: str, dataset_kinds: list[str], parameters: dict[str, Any] | None = None, needs_mapping: bool = False) -> AuthoredTest:
-    """A test of the catalogue with checked, frozen parameters."""
-    key, name = key.strip(), name.strip()
-    if not _TEST_KEY.fullmatch(key):
-        raise ConfigurationError("a key has 2 to 64 letters, digits, - or _, and begins with a letter or digit")
-    if (test_type, kind) not in CREATABLE:
-        raise ConfigurationError(f"{test_type}:{kind} can't be authored")
-    allowed, method = CREATABLE[test_type, kind]
-    kinds = list(dict.fromkeys(k for k in dataset_kinds if k in allowed))
-    if not kinds or not name:
-        raise ConfigurationError("a test needs a name and a dataset kind that it takes")
-    definition: dict[str, Any] = {"kind": kind} | ({"params": _parameters(method, parameters or {})} if method else {})
-    requirements: dict[str, Any] = {"requiredDatasetKinds": kinds} | ({"requiresAccountMapping": True} if needs_mapping else {})
-    body = {"f": firm_id, "key": key, "v": 1, "tt": test_type, "def": definition, "req": requirements}
-    hashed = hashlib.sha256(json.dumps(body, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
-    return AuthoredTest(key, name, test_type, definition, requirements, hashed)
+#: What a test's key looks like.
+_TEST_KEY = "^[A-Za-z0-9][A-Za-z0-9_-]{1,63}$"
+_BASIS = "TRANSACTION"
+
+
+def _divisor(a: Column, b: Column) -> Column:
+    """Greatest common divisor; 92 divisions are enough for any two longs."""
+    pair = lambda x, y: F.struct(x.alias("a"), y.alias("b"))
+    last = F.aggregate(F.sequence(F.lit(1), F.lit(92)), pair(a, b), lambda p, _: F.when(p["b"] == 0, p).otherwise(pair(p["b"], F.try_mod(p["a"], p["b"]))))
+    return last["a"]
+
+
+def authored_tests(proposed: DataFrame, existing: DataFrame) -> DataFrame:
+    """First versions of proposed tests: firm_id, test_key, name, test_type, definition, requirements (JSON) and version_hash; or a problem.
+
+    proposed: firm_id, test_key, name, test_type, kind, dataset_kinds, parameters (a map of
+    texts) and needs_mapping; existing: firm_id, test_key. Of proposals that share a firm and key
+    none is free of problems. Whole numbers may be written with signs and blanks; a rate is
+    reduced to lowest terms.
+    """
+    takes = F.create_map(*(x for (test_type, kind), (kinds, method) in CREATABLE.items() for x in (F.lit(f"{test_type}:{kind}"), F.struct(F.array(*map(F.lit, kinds)).alias("kinds"), F.lit(method).alias("method")))))
+    given = lambda name: F.try_element_at("parameters", F.lit(name))
+    whole = lambda name: F.when(F.trim(given(name)).rlike("^[+-]?[0-9]{1,18}$"), F.trim(given(name))).cast("long")
+    trimmed = proposed.select("firm_id", F.trim("test_key").alias("test_key"), F.trim(F.coalesce("name", F.lit(""))).alias("name"), "test_type", "kind", "dataset_kinds", "parameters", "needs_mapping")
+    looked = trimmed.withColumn("takes", F.try_element_at(takes, F.concat_ws(":", "test_type", "kind")))
+    numbers = ("minimumPopulation", "minimumRoundCount", "rateThresholdNum", "rateThresholdDenom", "minimumOccurrenceCount")
+    read = looked.withColumns({n: whole(n) for n in numbers} | {"method": F.col("takes.method"), "kinds": F.array_intersect("dataset_kinds", F.col("takes.kinds")), "quantum": given("roundingQuantum")})
+    read = read.withColumn("shared", F.when(F.col("rateThresholdDenom") > 0, _divisor(F.abs("rateThresholdNum"), F.col("rateThresholdDenom"))).otherwise(1))
+    by_round, by_amount = F.col("method") == "st.round.1", F.col("method") == "st.dupamt.1"
+    for n in ("rateThresholdNum", "rateThresholdDenom"):
+        read = read.withColumn(n, F.expr(f"{n} div shared"))
+    sound_quantum = F.col("quantum").rlike(r"^[0-9]{1,18}(\.[0-9]{1,6})?$") & (F.col("quantum").try_cast("decimal(24,6)") > 0)
+    sound_rate = (F.col("rateThresholdNum") > 0) & (F.col("rateThresholdNum") <= F.col("rateThresholdDenom"))
+    sound_round = sound_quantum & (F.col("minimumPopulation") >= 0) & (F.col("minimumRoundCount") >= 0) & sound_rate
+    sound = F.when(by_round, sound_round).when(by_amount, F.col("minimumOccurrenceCount") >= 2).otherwise(True)
+    known = existing.select("firm_id", "test_key", F.lit(True).alias("is_known")).distinct()
+    shares = read.groupBy("firm_id", "test_key").agg(F.count("*").alias("n_proposed"))
+    judged = read.join(known, ["firm_id", "test_key"], "left").join(shares, ["firm_id", "test_key"])
+    problem = (
+        F.when(~F.col("test_key").rlike(_TEST_KEY), "malformed key")
+        .when(F.col("takes").isNull(), "not to be authored")
+        .when(F.coalesce(F.size("kinds"), F.lit(0)) <= 0, "no dataset kind that it takes")
+        .when(F.col("name") == "", "no name")
+        .when(~F.coalesce(sound, F.lit(False)), "unsound parameters")
+        .when(F.col("is_known"), "key exists")
+        .when(F.col("n_proposed") > 1, "key proposed twice")
+    )
+    only = lambda by, c: F.when(by, c)
+    parameters = F.struct(
+        F.lit(_BASIS).alias("amountBasis"), F.col("method").alias("methodVersion"), only(by_round, F.col("quantum")).alias("roundingQuantum"),
+        *(only(by_round, F.col(n)).alias(n) for n in numbers[:4]), only(by_amount, F.col(numbers[4])).alias(numbers[4]),
+    )
+    # to_json leaves out what is null, so a test has the fields of its own kind
+    definition = F.struct(F.col("kind"), F.when(F.col("method").isNotNull(), parameters).alias("params"))
+    requirements = F.struct(F.col("kinds").alias("requiredDatasetKinds"), F.when(F.col("needs_mapping"), True).alias("requiresAccountMapping"))
+    body = F.struct(F.col("firm_id").alias("f"), F.col("test_key").alias("key"), F.lit(1).alias("v"), F.col("test_type").alias("tt"), definition.alias("def"), requirements.alias("req"))
+    made = {"definition": F.to_json(definition), "requirements": F.to_json(requirements), "version_hash": F.sha2(F.to_json(body), 256)}
+    return judged.select("firm_id", "test_key", "name", "test_type", *(F.when(problem.isNull(), c).alias(n) for n, c in made.items()), problem.alias("problem"))

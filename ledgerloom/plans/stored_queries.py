@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import events, executors, folds, reconcile, runs
+from ledgerloom.operators import events, executors, folds, preparation, reconcile, runs
 from ledgerloom.plans import views
 from ledgerloom.plans.catalog import _RECON, _TWO_CELLS, ORACLE_SQL, _frame, _two_cells, query
 from ledgerloom.session import shared_folder
@@ -227,3 +227,22 @@ def stub_document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = F.concat(F.lit("in/"), "c_mktsegment", F.lit("-"), F.col("c_custkey").cast("string"), F.lit(".pdf"))
     files = views.table(spark, sf_dir, "customer").select(path.alias("path"), F.lit("INVOICE").alias("document_type"))
     return objects.stub_lines(files).select("path", "line_no", "reference", "amount", "vat_amount", "page_count")
+
+
+# Authoring
+
+
+@query("""WITH p AS (SELECT c_custkey AS k, 'f' || c_nationkey AS firm, CASE WHEN c_custkey % 11 = 0 THEN '-' ELSE 't' END || c_custkey AS test_key, c_custkey % 4 AS denom FROM customer),
+d AS (SELECT *, CASE WHEN k % 3 = 0 THEN '{"kind":"UNBALANCED_JE"}' ELSE '{"kind":"ROUND_NUMBER_FREQUENCY","params":{"amountBasis":"TRANSACTION","methodVersion":"st.round.1","roundingQuantum":"100","minimumPopulation":' || k || ',"minimumRoundCount":2,"rateThresholdNum":' || CASE WHEN denom = 2 THEN 1 ELSE 2 END || ',"rateThresholdDenom":' || CASE WHEN denom = 2 THEN 1 ELSE denom END || '}}' END AS def,
+CASE WHEN k % 11 = 0 THEN 'malformed key' WHEN k % 3 > 0 AND denom < 2 THEN 'unsound parameters' WHEN k % 7 = 0 THEN 'key exists' END AS problem FROM p)
+SELECT firm AS firm_id, test_key, problem, CASE WHEN problem IS NULL THEN sha256('{"f":"' || firm || '","key":"' || test_key || '","v":1,"tt":"' || CASE WHEN k % 3 = 0 THEN 'ACCOUNTING_INTEGRITY' ELSE 'STATISTICAL' END || '","def":' || def || ',"req":{"requiredDatasetKinds":["GENERAL_LEDGER"]}}') END AS version_hash FROM d""")
+def tests_authored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A test of each customer: some have malformed keys, unsound rates or keys that exist."""
+    own, lit, text = F.col("c_custkey"), F.lit, F.col("c_custkey").cast("string")
+    rate = F.create_map(lit("roundingQuantum"), lit("100"), lit("minimumPopulation"), text, lit("minimumRoundCount"), lit(" +2 "), lit("rateThresholdNum"), lit("2"), lit("rateThresholdDenom"), (own % 4).cast("string"))
+    ledger = own % 3 == 0
+    customer = views.table(spark, sf_dir, "customer")
+    firm, key = F.concat(lit("f"), F.col("c_nationkey").cast("string")).alias("firm_id"), F.concat(F.when(own % 11 == 0, "-").otherwise("t"), text).alias("test_key")
+    proposed = customer.select(firm, key, lit("n").alias("name"), F.when(ledger, "ACCOUNTING_INTEGRITY").otherwise("STATISTICAL").alias("test_type"), F.when(ledger, "UNBALANCED_JE").otherwise("ROUND_NUMBER_FREQUENCY").alias("kind"), F.array(lit("BANK"), lit("GENERAL_LEDGER")).alias("dataset_kinds"), rate.alias("parameters"), lit(False).alias("needs_mapping"))
+    existing = customer.where(own % 7 == 0).select(firm, key)
+    return preparation.authored_tests(proposed, existing).select("firm_id", "test_key", "problem", "version_hash")

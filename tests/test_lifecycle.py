@@ -127,15 +127,28 @@ def test_seal(spark):
         preparation.draft_attempts(21)
 
 
-def test_authoring():
-    made = preparation.author_test("f", " round-1 ", "Round", "STATISTICAL", "ROUND_NUMBER_FREQUENCY", ["GENERAL_LEDGER", "BANK"], {"roundingQuantum": "100", "minimumPopulation": "5", "minimumRoundCount": 2, "rateThresholdNum": 2, "rateThresholdDenom": 10})
-    assert made.key == "round-1" and made.requirements == {"requiredDatasetKinds": ["GENERAL_LEDGER"]}
-    assert (made.definition["params"]["rateThresholdNum"], made.definition["params"]["rateThresholdDenom"]) == (1, 5)
-    plain = preparation.author_test("f", "k1", "n", "DATA_QUALITY", "POPULATION_MEMBER", ["BANK"])
-    assert plain.version_hash == hashlib.sha256(b'{"f":"f","key":"k1","v":1,"tt":"DATA_QUALITY","def":{"kind":"POPULATION_MEMBER"},"req":{"requiredDatasetKinds":["BANK"]}}').hexdigest()
-    for bad in (("f", "x", "n", "DATA_QUALITY", "POPULATION_MEMBER", ["BANK"]), ("f", "k1", "n", "RULE", "ANY", ["BANK"]), ("f", "k1", "n", "STATISTICAL", "DUPLICATE_AMOUNT_FREQUENCY", ["GENERAL_LEDGER"], {"minimumOccurrenceCount": 1})):
-        with pytest.raises(ConfigurationError):
-            preparation.author_test(*bad)
+PROPOSED = "firm_id string, test_key string, name string, test_type string, kind string, dataset_kinds array<string>, parameters map<string,string>, needs_mapping boolean"
+
+
+def test_authoring(spark):
+    rate = {"roundingQuantum": "100", "minimumPopulation": " 5", "minimumRoundCount": "2", "rateThresholdNum": "2", "rateThresholdDenom": "10"}
+    of = lambda key, **more: {"firm_id": "f", "test_key": key, "name": "n", "test_type": "DATA_QUALITY", "kind": "POPULATION_MEMBER", "dataset_kinds": ["BANK"], "parameters": None, "needs_mapping": None} | more
+    frequency = {"test_type": "STATISTICAL", "kind": "ROUND_NUMBER_FREQUENCY", "dataset_kinds": ["GENERAL_LEDGER", "BANK", "GENERAL_LEDGER"]}
+    amounts = {"test_type": "STATISTICAL", "kind": "DUPLICATE_AMOUNT_FREQUENCY", "dataset_kinds": ["GENERAL_LEDGER"]}
+    rows = [
+        of(" round-1 ", **frequency, parameters=rate), of("k1"), of("k2", needs_mapping=True), of("amounts", **amounts, parameters={"minimumOccurrenceCount": "2"}),
+        of("x"), of("kind", kind="ANY"), of("none", dataset_kinds=["CASH"]), of("blank", name=" "), of("known"), of("twice"), of("twice", name="m"),
+        of("low", **amounts, parameters={"minimumOccurrenceCount": "1"}), of("text", **frequency, parameters=rate | {"minimumPopulation": "5.5"}), of("above", **frequency, parameters=rate | {"rateThresholdNum": "11"}), of("zero", **frequency, parameters=rate | {"rateThresholdDenom": "0"}), of("fine", **frequency, parameters=rate | {"roundingQuantum": "0.0000001"}), of("bare", **frequency),
+    ]
+    known = spark.createDataFrame([("f", "known"), ("other", "k1")], "firm_id string, test_key string")
+    found = {r.test_key: r for r in preparation.authored_tests(spark.createDataFrame([tuple(r.values()) for r in rows], PROPOSED), known).collect()}
+    problems = {"x": "malformed key", "kind": "not to be authored", "none": "no dataset kind that it takes", "blank": "no name", "known": "key exists", "twice": "key proposed twice"} | dict.fromkeys(("low", "text", "above", "zero", "fine", "bare"), "unsound parameters")
+    assert {k: r.problem for k, r in found.items() if r.problem} == problems and all(found[k].version_hash is None for k in problems)
+    assert found["round-1"].requirements == '{"requiredDatasetKinds":["GENERAL_LEDGER"]}' and found["k2"].requirements == '{"requiredDatasetKinds":["BANK"],"requiresAccountMapping":true}'
+    assert found["round-1"].definition == '{"kind":"ROUND_NUMBER_FREQUENCY","params":{"amountBasis":"TRANSACTION","methodVersion":"st.round.1","roundingQuantum":"100","minimumPopulation":5,"minimumRoundCount":2,"rateThresholdNum":1,"rateThresholdDenom":5}}'
+    assert found["amounts"].definition == '{"kind":"DUPLICATE_AMOUNT_FREQUENCY","params":{"amountBasis":"TRANSACTION","methodVersion":"st.dupamt.1","minimumOccurrenceCount":2}}'
+    assert found["k1"].version_hash == hashlib.sha256(b'{"f":"f","key":"k1","v":1,"tt":"DATA_QUALITY","def":{"kind":"POPULATION_MEMBER"},"req":{"requiredDatasetKinds":["BANK"]}}').hexdigest()
+    assert preparation.authored_tests(spark.createDataFrame([], PROPOSED), known).count() == 0
 
 
 def test_texts(spark):
