@@ -4,7 +4,7 @@ Records: idx (input order), id, reference, amount decimal(15,2), counterparty, v
 Candidates are found by bands: an amount meets only the amounts of its own and the two adjacent
 bands, within the date window. Pairs compete only within an island: a run of amount bands that
 follow each other without a gap. Islands are matched in parallel, each by one pass over its
-pairs from best to worst, some two million pairs a second and task.
+pairs from best to worst.
 
 An island of very many pairs is first split into the connected components of its records. What
 is still too large is matched by stretches of its order: the best pairs, as many as fit a task,
