@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import io
-import re
-import zipfile
 from collections.abc import Iterator
-from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,10 +11,10 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.text import is_blank, trimmed
 from ledgerloom.operators.ingest import content_numbered
 from ledgerloom.session import checkpointed
+from ledgerloom.sources.documents import workbook_format
 
 #: Delimiters in order of preference.
 DELIMITERS = (",", ";", "\t")
-_SHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 
 
 def detect_delimiter(spark: SparkSession, path: str) -> str:
@@ -105,57 +101,18 @@ def read_objects(spark: SparkSession, path: str, delimiter: str | None = None) -
     return rows.select("source_row_no", *(trimmed(F.get("cells", F.lit(i))).alias(h) for h, i in last.items()))
 
 
-def _sheet_rows(data: bytes) -> Iterator[list[str]]:
-    """Rows of a workbook's first sheet as trimmed text; formulas give their stored value."""
-    with zipfile.ZipFile(io.BytesIO(data)) as book:
-        shared = []
-        if "xl/sharedStrings.xml" in book.namelist():
-            shared = ["".join(t.text or "" for t in item.iter(f"{_SHEET}t")) for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))]
-        sheet = min((n for n in book.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.findall(r"\d+", n)[-1]))
-        for row in ElementTree.fromstring(book.read(sheet)).iter(f"{_SHEET}row"):
-            cells: dict[int, str] = {}
-            for cell in row.iter(f"{_SHEET}c"):
-                column = 0
-                for letter in re.match(r"[A-Z]+", cell.get("r", "A"))[0]:
-                    column = column * 26 + ord(letter) - 64
-                value = cell.find(f"{_SHEET}v")
-                text = "".join(t.text or "" for t in cell.iter(f"{_SHEET}t")) if cell.get("t") == "inlineStr" else (value.text or "") if value is not None else ""
-                cells[column - 1] = shared[int(text)].strip() if cell.get("t") == "s" and text else text.strip()
-            yield [cells.get(i, "") for i in range(max(cells, default=-1) + 1)]
-
-
 def read_workbook_objects(spark: SparkSession, path: str) -> DataFrame:
     """Rows of the first sheet of every workbook at a path, keyed by header: path, source_row_no from 1, values (map).
 
     Of repeated headers the last column stays; columns without a header and rows without any
     value are left out.
     """
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, data in zip(*(c.to_pylist() for c in batch.columns)):
-                headers, *rows = list(_sheet_rows(data)) or [[]]
-                objects = [{h: row[i] if i < len(row) else "" for i, h in enumerate(headers) if h} for row in rows]
-                objects = [list(o.items()) for o in objects if any(o.values())]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(objects), pa.string()), pa.array(range(1, len(objects) + 1), pa.int64()), pa.array(objects, pa.map_(pa.string(), pa.string()))], ["path", "source_row_no", "values"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(parse, "path string, source_row_no long, values map<string,string>")
+    return spark.read.format(workbook_format(spark)).option("as", "objects").load(path)
 
 
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
     """Rows of the first sheet of every workbook at a path: path, source_row_no (0 is the header), cells padded to the widest row."""
-
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, data in zip(*(c.to_pylist() for c in batch.columns)):
-                rows = [r for r in _sheet_rows(data) if any(r)]
-                width = max(map(len, rows), default=0)
-                padded = [r + [""] * (width - len(r)) for r in rows]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), pa.array(range(len(rows)), pa.int64()), pa.array(padded, pa.list_(pa.string()))], ["path", "source_row_no", "cells"])
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(parse, "path string, source_row_no long, cells array<string>")
+    return spark.read.format(workbook_format(spark)).load(path)
 
 
 RULE_COLUMNS = ("code", "nameAr", "severity", "scope", "descriptionAr", "definition")

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Callable
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LINE = "path string, line_no int, reference string, description string, amount string, vat_amount string"
+from ledgerloom.sources.documents import document_format
+
 Parser = Callable[[str, bytes], list[dict[str, str | None]]]
 
 
@@ -38,17 +39,8 @@ def get_object(spark: SparkSession, store: str, sha256: str) -> bytes | None:
 
 def parse_documents(spark: SparkSession, path: str, parser: Parser) -> DataFrame:
     """Lines of the documents at a path; lines without amount, reference or description are dropped."""
-
-    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("reference", "description", "amount", "vat_amount")
-        for batch in batches:
-            for name, data in zip(*(c.to_pylist() for c in batch.columns)):
-                lines = [x for x in parser(name, data) if all(x.get(k) for k in names[:3])]
-                columns = [[name] * len(lines), range(1, len(lines) + 1), *([x.get(k) for x in lines] for k in names)]
-                kinds = [pa.string(), pa.int32(), *[pa.string()] * 4]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["path", "line_no", *names])
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(parsed, LINE)
+    name = document_format(spark, f"ledgerloom_documents_{uuid.uuid4().hex}", lambda file, stream: parser(file, stream.read()))
+    return spark.read.format(name).load(path)
 
 
 def select_parser(parsers: dict[str, Parser], name: str | None, private: bool, internal: str) -> Parser:
@@ -89,7 +81,7 @@ def seeded_draw(seed: Column, k: Column | int) -> Column:
 
 
 def stub_lines(files: DataFrame) -> DataFrame:
-    """Lines of files (path, document_type) by the names of the files alone: LINE, counterparty and page_count.
+    """Lines of files (path, document_type) by the names of the files alone, with their page_count.
 
     A name gives 3 to 8 lines, whatever the file holds; it isn't opened.
     """
