@@ -21,6 +21,68 @@ SOURCE_PARTS = ("sourceSystem", "sourceEntity", "sourceLedger", "sourceEntryId",
 NORMALIZER = "g2.1"
 
 
+def started(proposed: DataFrame, batches: DataFrame, files: DataFrame, stored: DataFrame) -> DataFrame:
+    """What each proposed import becomes: firm_id, arrival, outcome, existing_batch_id, duplicate_of.
+
+    proposed: firm_id, arrival (a number, unique in the firm), idempotency_key, sha256, size,
+    acknowledged; batches: firm_id, idempotency_key, batch_id; files: firm_id, sha256,
+    source_file_id; stored (the objects): firm_id, sha256, length. Judged in the order of
+    arrival, within the proposals too:
+
+    * DEDUPED_EXISTING if the firm has a batch of the key; `existing_batch_id` is its id, or
+      the arrival of the proposal that starts it;
+    * DUPLICATE_BLOCKED if it has a file of these bytes and the user hasn't acknowledged that;
+      `duplicate_of` is the least id of such files, or the arrival;
+    * STORAGE_FAILED if the store doesn't hold the bytes at their full length;
+    * READY else.
+
+    A key that is null is none: the proposal stands by itself. Null bytes aren't stored; a null
+    acknowledgement is none.
+
+    Only proposals that may become READY wait for each other. Each round decides those that no
+    earlier open one shares the key with, nor the bytes (where that isn't acknowledged), and
+    drops the later ones that they rule out. Repeats, however many, go with the first of them;
+    only a chain of proposals that share a key with one and bytes with the next takes a round
+    for each two.
+    """
+    names = ["firm_id", "arrival", "idempotency_key", "sha256", "size", "acknowledged"]
+    own = proposed.select(*names).withColumn("acknowledged", F.coalesce("acknowledged", F.lit(False)))
+    by_key, by_bytes = ["firm_id", "idempotency_key"], ["firm_id", "sha256"]
+    known = batches.groupBy(*by_key).agg(F.min(F.col("batch_id").cast("string")).alias("batch_id"))
+    held = files.groupBy(*by_bytes).agg(F.min(F.col("source_file_id").cast("string")).alias("source_file_id"))
+    whole = stored.select(*by_bytes, F.col("length").alias("size"), F.lit(True).alias("is_stored")).distinct()
+    facts = own.join(known, by_key, "left").join(held, by_bytes, "left").join(whole, [*by_bytes, "size"], "left")
+    facts = checkpointed(facts.withColumn("is_stored", F.coalesce("is_stored", F.lit(False))))
+    may = facts.where(F.col("is_stored") & F.col("batch_id").isNull() & (F.col("acknowledged") | F.col("source_file_id").isNull()))
+    still = may.select("firm_id", "arrival", "idempotency_key", "sha256", "acknowledged")
+    ready = still.limit(0)
+    while True:
+        first_key = still.where("idempotency_key is not null").groupBy(*by_key).agg(F.min("arrival").alias("first_key"))
+        first_bytes = still.groupBy(*by_bytes).agg(F.min("arrival").alias("first_bytes"))
+        placed = still.join(first_key, by_key, "left").join(first_bytes, by_bytes)
+        free = (F.coalesce("first_key", "arrival") == F.col("arrival")) & (F.col("acknowledged") | (F.col("first_bytes") == F.col("arrival")))
+        judged = checkpointed(placed.withColumn("is_ready", free))
+        fresh = judged.where("is_ready").select(*still.columns)
+        ready = checkpointed(ready.unionByName(fresh))
+        later = judged.where("not is_ready").select(*still.columns)
+        taken = fresh.where("idempotency_key is not null").groupBy(*by_key).agg(F.min("arrival").alias("key_at"))
+        seen = fresh.groupBy(*by_bytes).agg(F.min("arrival").alias("bytes_at"))
+        after = later.join(taken, by_key, "left").join(seen, by_bytes, "left")
+        ruled_out = (F.col("key_at") < F.col("arrival")) | (~F.col("acknowledged") & (F.col("bytes_at") < F.col("arrival")))
+        still = checkpointed(after.where(~F.coalesce(ruled_out, F.lit(False))).select(*still.columns))
+        if still.isEmpty():
+            break
+    key_at = ready.where("idempotency_key is not null").groupBy(*by_key).agg(F.min("arrival").alias("key_at"))
+    bytes_at = ready.groupBy(*by_bytes).agg(F.min("arrival").alias("bytes_at"))
+    mine = ready.select("firm_id", "arrival", F.lit(True).alias("is_ready"))
+    out = facts.join(mine, ["firm_id", "arrival"], "left").join(key_at, by_key, "left").join(bytes_at, by_bytes, "left")
+    before = lambda c: F.when(F.col(c) < F.col("arrival"), F.col(c).cast("string"))
+    batch, file = F.coalesce("batch_id", before("key_at")), F.coalesce("source_file_id", before("bytes_at"))
+    outcome = F.when(F.col("is_ready"), "READY").when(batch.isNotNull(), "DEDUPED_EXISTING").when(file.isNotNull() & ~F.col("acknowledged"), "DUPLICATE_BLOCKED").otherwise("STORAGE_FAILED")
+    judged = out.withColumns({"outcome": outcome, "batch": batch, "file": file})
+    return judged.select("firm_id", "arrival", "outcome", F.when(F.col("outcome") == "DEDUPED_EXISTING", F.col("batch")).alias("existing_batch_id"), F.when(F.col("outcome") == "DUPLICATE_BLOCKED", F.col("file")).alias("duplicate_of"))
+
+
 def retries(batches: DataFrame, attempts: DataFrame) -> DataFrame:
     """What a retry of each batch does: batch_id, outcome, attempt_no of the next attempt, interrupted (the attempt that ends as FAILED).
 

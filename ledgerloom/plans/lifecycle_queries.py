@@ -63,6 +63,28 @@ def import_attempts_after_retry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imports.after_retry(attempts, imports.retries(batches, attempts)).groupBy("status").agg(F.count("*").alias("n"))
 
 
+#: Proposed imports of orders: a key and bytes each, drawn from the order's number.
+_PROPOSED = """SELECT o_custkey % 25 AS firm_id, o_orderkey AS arrival, CASE WHEN o_orderkey % 50 > 0 THEN CONCAT('k', CAST(floor(h / 4096) AS BIGINT) % 400) END AS idempotency_key, CONCAT('s', CAST(floor(h / 64) AS BIGINT) % 500) AS sha256,
+CAST(floor(h / 64) AS BIGINT) % 500 AS size, CAST(floor(h / 1024) AS BIGINT) % 3 = 0 AS acknowledged FROM (SELECT *, (o_orderkey * 2654435761) % 4294967296 AS h FROM orders)"""
+
+
+@query(f"""WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY firm_id ORDER BY arrival) AS turn FROM ({_PROPOSED})),
+f AS (SELECT DISTINCT firm_id, 0::BIGINT AS arrival, 0::BIGINT AS turn, NULL::VARCHAR AS outcome, MAP {{'k0': 'b0'}}::MAP(VARCHAR, VARCHAR) AS known, MAP {{'s1': 'f1'}}::MAP(VARCHAR, VARCHAR) AS held, NULL::VARCHAR AS existing_batch_id, NULL::VARCHAR AS duplicate_of FROM p
+UNION ALL SELECT firm_id, arrival, turn, outcome, CASE WHEN outcome = 'READY' AND key IS NOT NULL THEN map_concat(known, MAP {{key: CAST(arrival AS VARCHAR)}}) ELSE known END,
+CASE WHEN outcome = 'READY' AND held[bytes] IS NULL THEN map_concat(held, MAP {{bytes: CAST(arrival AS VARCHAR)}}) ELSE held END, CASE WHEN outcome = 'DEDUPED_EXISTING' THEN known[key] END, CASE WHEN outcome = 'DUPLICATE_BLOCKED' THEN held[bytes] END
+FROM (SELECT f.firm_id, p.arrival, p.turn, known, held, p.idempotency_key AS key, p.sha256 AS bytes, CASE WHEN known[p.idempotency_key] IS NOT NULL THEN 'DEDUPED_EXISTING' WHEN held[p.sha256] IS NOT NULL AND NOT p.acknowledged THEN 'DUPLICATE_BLOCKED' WHEN p.size % 10 = 7 OR p.size % 10 = 8 THEN 'STORAGE_FAILED' ELSE 'READY' END AS outcome FROM f JOIN p ON p.firm_id = f.firm_id AND p.turn = f.turn + 1))
+SELECT firm_id, arrival, outcome, existing_batch_id, duplicate_of FROM f WHERE turn > 0""")
+def imports_started(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proposed imports judged in order: keys used before, bytes known before, bytes that the store lacks or holds in part."""
+    rows = _orders(spark, sf_dir)
+    proposed = spark.sql(_PROPOSED.replace("FROM orders", "FROM {orders}"), orders=rows)
+    firms = proposed.select("firm_id").distinct()
+    batches = firms.select("firm_id", F.lit("k0").alias("idempotency_key"), F.lit("b0").alias("batch_id"))
+    files = firms.select("firm_id", F.lit("s1").alias("sha256"), F.lit("f1").alias("source_file_id"))
+    stored = proposed.where("size % 10 <> 7").select("firm_id", "sha256", (F.col("size") - F.when(F.col("size") % 10 == 8, 1).otherwise(0)).alias("length")).distinct()
+    return imports.started(proposed, batches, files, stored)
+
+
 _CONFIRM_HEADERS = ["account", "posting date", "debit", "credit", "currency", "Entry"]
 
 

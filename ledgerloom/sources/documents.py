@@ -13,6 +13,7 @@ import fnmatch
 import io
 import re
 import time
+import uuid
 import zipfile
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
@@ -21,7 +22,8 @@ from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import CaseInsensitiveDict, DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -279,3 +281,28 @@ def separated_lines(separator: str, columns: tuple[str, ...]) -> Parser:
             yield {c: v or None for c, v in zip(columns, line.rstrip("\r\n").split(separator))}
 
     return parse
+
+
+# Writing
+
+
+def write_files(files: DataFrame, folder: str) -> int:
+    """Writes rows (name, content) as files of a folder, from the tasks that hold them; gives how many.
+
+    A file gets its name once it is whole, so a task that is run again changes nothing. Contents
+    are values of a column, hence of at most 2 GB; names are told apart by their rows.
+    """
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = _store(folder)
+        for batch in batches:
+            store.create_dir(root, recursive=True)
+            for name, content in zip(*(c.to_pylist() for c in batch.columns)):
+                draft = f"{root}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(draft) as out:
+                    out.write(content)
+                store.move(draft, f"{root}/{name}")
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    written = files.select("name", F.col("content").cast("binary")).mapInArrow(put, "n long")
+    return written.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

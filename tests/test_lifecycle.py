@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import random
 import shutil
 import subprocess
 import sys
@@ -14,6 +15,7 @@ from ledgerloom.functions.text import filled
 from ledgerloom.operators import executors, imports, ingest, lifecycle, preparation, rules
 from ledgerloom.operators.executors import ConfigurationError
 from ledgerloom.operators.ingest import frame, raw_cells
+from ledgerloom.session import checkpointed
 from ledgerloom.sources import sinks
 from ledgerloom.streaming.rules import streamed_findings, streamed_first_seen
 from tests.test_operators import tx
@@ -166,3 +168,49 @@ def test_a_copy_without_training_operators_works(tmp_path):
             shutil.copy(f"{root}/{name}", copy / name)
         code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n[:2] == 'op' and n[2].isdigit() or n == 'pipeline' for n in q); assert set(e.oracle_sql()) <= set(q)"
         subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env=os.environ | {"PYTHONPATH": str(copy)})
+
+
+PROPOSED = "firm_id string, arrival long, idempotency_key string, sha256 string, size long, acknowledged boolean"
+
+
+def started_one_by_one(rows, keys, files, stored):
+    keys, files, out = dict(keys), dict(files), []
+    for _, at, key, sha, size, acknowledged in sorted(rows, key=lambda r: r[1]):
+        if key is not None and key in keys:
+            out.append((at, "DEDUPED_EXISTING", keys[key], None))
+        elif sha in files and not acknowledged:
+            out.append((at, "DUPLICATE_BLOCKED", None, files[sha]))
+        elif stored.get(sha) != size:
+            out.append((at, "STORAGE_FAILED", None, None))
+        else:
+            out.append((at, "READY", None, None))
+            if key is not None:
+                keys[key] = str(at)
+            files.setdefault(sha, str(at))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_imports_start_as_one_by_one(spark, seed):
+    draw = random.Random(seed)
+    rows = [("f", i, draw.choice([None, *"abcdefgh"[: 3 + seed * 2]]), draw.choice(["s0", "s1", "s2", "s3", "s4", "s5", None][: 4 + seed]), draw.choice([5, 5, 5, 6]), draw.choice([True, False, None])) for i in range(60)]
+    stored = {f"s{i}": 5 for i in range(4)}
+    tables = (
+        spark.createDataFrame([("f", "a", "batch"), ("g", "b", "other firm")], "firm_id string, idempotency_key string, batch_id string"),
+        spark.createDataFrame([("f", "s1", "file"), ("g", "s0", "other firm")], "firm_id string, sha256 string, source_file_id string"),
+        spark.createDataFrame([("f", s, n) for s, n in stored.items()] * 2, "firm_id string, sha256 string, length long"),
+    )
+    found = imports.started(spark.createDataFrame(rows, PROPOSED), *tables)
+    assert sorted(r[1:] for r in found.collect()) == started_one_by_one(rows, {"a": "batch"}, {"s1": "file"}, stored)
+    assert imports.started(spark.createDataFrame([], PROPOSED), *tables).count() == 0
+
+
+def test_copies_of_a_key_take_one_round(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(imports, "checkpointed", lambda df: kept.append(1) or checkpointed(df))
+    rows = spark.range(20_000).select(F.lit("f").alias("firm_id"), F.col("id").alias("arrival"), F.lit("k").alias("idempotency_key"), F.concat(F.lit("s"), F.col("id") % 50).alias("sha256"), F.lit(1).cast("long").alias("size"), F.lit(True).alias("acknowledged"))
+    none = spark.createDataFrame([], "firm_id string, idempotency_key string, batch_id string")
+    stored = rows.select("firm_id", "sha256", F.col("size").alias("length"))
+    found = imports.started(rows, none, spark.createDataFrame([], "firm_id string, sha256 string, source_file_id string"), stored)
+    assert {r.outcome: r["count"] for r in found.groupBy("outcome").count().collect()} == {"READY": 1, "DEDUPED_EXISTING": 19_999}
+    assert len(kept) <= 1 + 3  # the facts and one round
