@@ -120,6 +120,64 @@ def seal(resolutions: DataFrame, expected: dict[str, int], build: str | None) ->
     return {"build": build, "expected": expected, "fingerprints": prints, "hash": fingerprint("g4manifest.1", body)}
 
 
+#: The parts that a preparation counts.
+COUNTED = ("datasets", "testVersions", "resolutions", "members", "mappingPins")
+
+
+def _framed_list(rows: DataFrame, order: list[str], frame_: Column, name: str) -> DataFrame:
+    """run_id and the frames of its rows in order."""
+    framed = rows.select("run_id", F.struct(*order, frame_.alias("frame")).alias("row"))
+    return framed.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list("row")), lambda r: r["frame"]).alias(name))
+
+
+def manifests(prepared: DataFrame, resolutions: DataFrame) -> DataFrame:
+    """The identity of the manifest of each preparation, or why it can't be sealed: run_id, n_fingerprints, problem, manifest_hash.
+
+    prepared: run_id, build, and a count for each of COUNTED; resolutions: run_id,
+    resolution_id, eligibility, fingerprint. A manifest names all fingerprints of its run, one
+    for each test and dataset, so a run's are one value.
+    """
+    done = _framed_list(resolutions, ["resolution_id"], framing.text(F.col("fingerprint")), "prints")
+    left = unfinished(resolutions).groupBy("run_id").agg(F.count("*").alias("n_left"))
+    joined = prepared.join(done, "run_id", "left").join(left, "run_id", "left").withColumn("prints", F.coalesce("prints", F.array().cast("array<binary>")))
+    no_build = F.coalesce("build", F.lit("")) == ""
+    problem = F.when(no_build, "no build identity").when(F.col("n_left") > 0, F.concat(F.col("n_left").cast("string"), F.lit(" resolutions without a fingerprint")))
+    counts = framing.fields(**{c: framing.text(F.col(c).cast("string")) for c in COUNTED})
+    body = framing.fields(expected=counts, engineBuildVersionCandidate=framing.text(F.col("build")), popFingerprints=framing.sequence(F.col("prints")))
+    return joined.withColumn("problem", problem).select("run_id", F.size("prints").alias("n_fingerprints"), "problem", F.when(F.col("problem").isNull(), framing.fingerprint("g4manifest.1", body)).alias("manifest_hash"))
+
+
+#: Fields of the parts of a configuration, as hashed.
+_DATASET = ("datasetHash", "datasetKind", "lineageClass")
+_PIN = ("testKey", "version", "versionHash", "ruleKey", "ruleVersion", "ruleVersionHash", "effectiveParametersHash")
+_RESOLUTION = ("testKey", "datasetHash", "eligibility", "resolutionAlgorithmVersion", "eligiblePopulationFingerprint")
+
+
+def configurations(runs: DataFrame, datasets: DataFrame, tests: DataFrame, resolutions: DataFrame, mappings: DataFrame) -> DataFrame:
+    """Identity of the configuration of every run (run_id, config_hash), equal to `lifecycle.config_fingerprint` of its parts.
+
+    runs: run_id, anchor, build, materiality, risk_model; the parts: run_id and the fields
+    hashed, by their names; mappings: run_id, mapping_hash. The order of parts doesn't matter.
+    """
+    named = lambda names: framing.fields(**{n: framing.text(F.col(n).cast("string")) for n in names})
+    parts = {
+        "dataset_frames": _framed_list(datasets, ["datasetHash"], named(_DATASET), "dataset_frames"),
+        "test_frames": _framed_list(tests, ["testKey"], named(_PIN), "test_frames"),
+        "resolution_frames": _framed_list(resolutions, ["testKey", "datasetHash"], named(_RESOLUTION), "resolution_frames"),
+        "mapping_frames": _framed_list(mappings, ["mapping_hash"], framing.text(F.col("mapping_hash")), "mapping_frames"),
+    }
+    out = runs
+    for name, part in parts.items():
+        out = out.join(part, "run_id", "left").withColumn(name, F.coalesce(name, F.array().cast("array<binary>")))
+    own = lambda c: framing.text(F.col(c))
+    body = framing.fields(
+        semanticScopeAnchor=own("anchor"), datasetScope=framing.sequence(F.col("dataset_frames")), testPins=framing.sequence(F.col("test_frames")),
+        scopeResolutions=framing.sequence(F.col("resolution_frames")), consumedMappings=framing.multiset(F.col("mapping_frames")),
+        engineBuildVersion=own("build"), materialityVersionKey=own("materiality"), riskModelVersionKey=own("risk_model"),
+    )
+    return out.select("run_id", framing.fingerprint("g4cfg.3", body).alias("config_hash"))
+
+
 # Authoring of tests
 
 _EVERY, _LEDGER = ("GENERAL_LEDGER", "TRIAL_BALANCE", "BANK", "OTHER"), ("GENERAL_LEDGER",)

@@ -19,7 +19,7 @@ STATE_OF_ACTION = {
     "LINK_TO_EXCEPTION": "LINKED",
     "UNLINK_FROM_EXCEPTION": "INVESTIGATING",
 }
-FEED_ROWS, MOST_RESULTS = 200, 1_000
+FEED_ROWS = 200
 
 
 def dispositions(events: DataFrame) -> DataFrame:
@@ -128,11 +128,6 @@ def outcome_counts(results: DataFrame) -> DataFrame:
     return results.groupBy("outcome").agg(F.count("*").alias("n"))
 
 
-def results_page(results: DataFrame, take: int = 500) -> DataFrame:
-    """Results of a run by semantic fingerprint, 1 to MOST_RESULTS of them."""
-    return results.orderBy("semantic_fingerprint").limit(min(max(take, 1), MOST_RESULTS))
-
-
 def stat_cards(anomalies: DataFrame) -> DataFrame:
     """One row: critical, high, open (with those in review), resolved."""
     is_ = lambda column, *values: F.count_if(F.col(column).isin(*values))

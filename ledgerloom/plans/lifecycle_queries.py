@@ -416,3 +416,49 @@ def anomaly_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_id") % 3
     action = F.when(kind == 0, "RESOLVE").when(kind == 1, "DISMISS").otherwise("ESCALATE")
     return views.table(spark, sf_dir, "events").select(workflow.resolved(F.lit("OPEN"), action).alias("status")).groupBy("status").agg(F.count("*").alias("n"))
+
+
+# Identities of whole runs: a customer's orders are the datasets of a run, two tests each
+
+_SEQ = "unhex('02' || printf('%02x', len({0}))) || list_reduce(list_prepend(''::BLOB, {0}), lambda a, x: a || x)"
+_PARTS = f"""d AS (SELECT o_custkey AS run_id, 'h' || o_orderkey AS h, o_orderstatus AS k FROM orders WHERE o_orderkey % 100 < 60),
+r AS (SELECT d.*, t.t, 'r' || lpad(CAST(CASE WHEN t = 'a' THEN 1 ELSE 0 END AS VARCHAR), 2, '0') || h AS id, CASE WHEN k = 'P' THEN 'NOT_ELIGIBLE' ELSE 'ELIGIBLE' END AS e, CASE WHEN k = 'P' OR h LIKE '%77' THEN NULL ELSE 'f' || h END AS f FROM d, (VALUES ('a'), ('b')) t(t))"""
+
+
+def _run_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    orders = _orders(spark, sf_dir).where(F.col("o_orderkey") % 100 < 60)
+    datasets = orders.select(F.col("o_custkey").alias("run_id"), F.concat(F.lit("h"), _text("o_orderkey")).alias("datasetHash"), F.col("o_orderstatus").alias("datasetKind"))
+    pairs = datasets.withColumn("testKey", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    refused = F.col("datasetKind") == "P"
+    return datasets, pairs.withColumns({"eligibility": F.when(refused, "NOT_ELIGIBLE").otherwise("ELIGIBLE"), "print": F.when(~refused & ~F.endswith("datasetHash", F.lit("77")), F.concat(F.lit("f"), "datasetHash"))})
+
+
+@query(f"""WITH {_PARTS}, p AS (SELECT run_id, list({_frame("f")} ORDER BY id) AS prints, count(*) FILTER (WHERE e = 'ELIGIBLE' AND f IS NULL) AS n_left FROM r GROUP BY 1),
+c AS (SELECT c_custkey AS run_id, CASE WHEN c_custkey % 9 > 0 THEN 'b' || c_nationkey END AS build, coalesce(prints, []::BLOB[]) AS prints, CAST(len(coalesce(prints, []::BLOB[])) AS VARCHAR) AS n, coalesce(n_left, 0) AS n_left FROM customer LEFT JOIN p ON run_id = c_custkey),
+j AS (SELECT *, CASE WHEN build IS NULL THEN 'no build identity' WHEN n_left > 0 THEN n_left || ' resolutions without a fingerprint' END AS problem FROM c)
+SELECT run_id, CAST(n AS INTEGER) AS n_fingerprints, problem, CASE WHEN problem IS NULL THEN {_tagged("g4manifest.1", _fields(expected=_fields(datasets=_frame("'1'"), testVersions=_frame("'2'"), resolutions=_frame("n"), members=_frame("'300'"), mappingPins=_frame("'0'")), engineBuildVersionCandidate=_frame("build"), popFingerprints=_SEQ.format("prints")))} END AS manifest_hash FROM j""")
+def run_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest identities of a run of each customer; some have no build, some unfinished populations, some no dataset."""
+    _, pairs = _run_parts(spark, sf_dir)
+    order = F.when(F.col("testKey") == "a", "01").otherwise("00")
+    resolutions = pairs.select("run_id", F.concat(F.lit("r"), order, "datasetHash").alias("resolution_id"), "eligibility", F.col("print").alias("fingerprint"))
+    counted = resolutions.groupBy("run_id").agg(F.count("*").alias("resolutions"))
+    customer = views.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("run_id"), F.when(F.col("c_custkey") % 9 > 0, F.concat(F.lit("b"), _text("c_nationkey"))).alias("build"))
+    counts = {"datasets": F.lit(1), "testVersions": F.lit(2), "members": F.lit(300), "mappingPins": F.lit(0), "resolutions": F.coalesce("resolutions", F.lit(0))}
+    return preparation.manifests(customer.join(counted, "run_id", "left").withColumns(counts), resolutions)
+
+
+@query(f"""WITH {_PARTS}, ds AS (SELECT run_id, list({_fields(datasetHash=_frame("h"), datasetKind=_frame("k"), lineageClass="unhex('00')")} ORDER BY h) AS ds FROM d GROUP BY 1),
+rs AS (SELECT run_id, list({_fields(testKey=_frame("t"), datasetHash=_frame("h"), eligibility=_frame("e"), resolutionAlgorithmVersion=_frame("'1'"), eligiblePopulationFingerprint=f"CASE WHEN f IS NULL THEN unhex('00') ELSE {_frame('f')} END")} ORDER BY t, h) AS rs FROM r GROUP BY 1),
+ms AS (SELECT run_id, list({_frame("k || h")} ORDER BY hex({_frame("k || h")})) AS ms FROM d GROUP BY 1),
+ts AS (SELECT unnest(['a', 'b']) AS t), t AS (SELECT list({_fields(testKey=_frame("t"), version=_frame("'1'"), versionHash=_frame("'v' || t"), ruleKey="unhex('00')", ruleVersion="unhex('00')", ruleVersionHash="unhex('00')", effectiveParametersHash=_frame("'p'"))} ORDER BY t) AS ts FROM ts)
+SELECT c_custkey AS run_id, {_tagged("g4cfg.3", _fields(semanticScopeAnchor=_frame("c_name"), datasetScope=_SEQ.format("coalesce(ds, []::BLOB[])"), testPins=_SEQ.format("ts"), scopeResolutions=_SEQ.format("coalesce(rs, []::BLOB[])"), consumedMappings=_SEQ.format("coalesce(ms, []::BLOB[])").replace("'02'", "'04'"), engineBuildVersion=_frame("'b'"), materialityVersionKey=_frame("c_mktsegment"), riskModelVersionKey="unhex('00')"))} AS config_hash
+FROM customer LEFT JOIN ds ON ds.run_id = c_custkey LEFT JOIN rs ON rs.run_id = c_custkey LEFT JOIN ms ON ms.run_id = c_custkey, t""")
+def run_configurations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configuration identities of a run of each customer, whose orders are its datasets."""
+    datasets, pairs = _run_parts(spark, sf_dir)
+    customer, none = views.table(spark, sf_dir, "customer"), F.lit(None).cast("string")
+    runs_ = customer.select(F.col("c_custkey").alias("run_id"), F.col("c_name").alias("anchor"), F.lit("b").alias("build"), F.col("c_mktsegment").alias("materiality"), none.alias("risk_model"))
+    tests = runs_.select("run_id", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("testKey")).withColumns({"version": F.lit(1), "versionHash": F.concat(F.lit("v"), "testKey"), "ruleKey": none, "ruleVersion": none, "ruleVersionHash": none, "effectiveParametersHash": F.lit("p")})
+    resolutions = pairs.withColumns({"resolutionAlgorithmVersion": F.lit(1), "eligiblePopulationFingerprint": F.col("print")})
+    return preparation.configurations(runs_, datasets.withColumn("lineageClass", none), tests, resolutions, datasets.select("run_id", F.concat("datasetKind", "datasetHash").alias("mapping_hash")))
