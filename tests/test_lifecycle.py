@@ -170,7 +170,7 @@ def test_a_copy_without_training_operators_works(tmp_path):
         subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env=os.environ | {"PYTHONPATH": str(copy)})
 
 
-PROPOSED = "firm_id string, arrival long, idempotency_key string, sha256 string, size long, acknowledged boolean"
+STARTED = "firm_id string, arrival long, idempotency_key string, sha256 string, size long, acknowledged boolean"
 
 
 def started_one_by_one(rows, keys, files, stored):
@@ -200,9 +200,9 @@ def test_imports_start_as_one_by_one(spark, seed):
         spark.createDataFrame([("f", "s1", "file"), ("g", "s0", "other firm")], "firm_id string, sha256 string, source_file_id string"),
         spark.createDataFrame([("f", s, n) for s, n in stored.items()] * 2, "firm_id string, sha256 string, length long"),
     )
-    found = imports.started(spark.createDataFrame(rows, PROPOSED), *tables)
+    found = imports.started(spark.createDataFrame(rows, STARTED), *tables)
     assert sorted(r[1:] for r in found.collect()) == started_one_by_one(rows, {"a": "batch"}, {"s1": "file"}, stored)
-    assert imports.started(spark.createDataFrame([], PROPOSED), *tables).count() == 0
+    assert imports.started(spark.createDataFrame([], STARTED), *tables).count() == 0
 
 
 def test_copies_of_a_key_take_one_round(spark, monkeypatch):
