@@ -1,6 +1,9 @@
 """Reconciliation of two record sets: candidate pairs, greedy one-to-one matches, residuals.
 
-Records: idx (input order), id, reference, amount decimal(15,2), counterparty, value_date.
+Records: idx (input order), id, reference, amount decimal(15,2), counterparty, value_date. Two
+record sets are matched by `matched`, which never has their pairs as a table, since these grow
+with the square of the records; `candidates` and `greedy_matches` are for those who want the pairs.
+
 Candidates are found by bands: an amount meets only the amounts of its own and the two adjacent
 bands, within the date window. Pairs compete only within an island: a run of amount bands that
 follow each other without a gap. Islands are matched in parallel, each by one pass over its
@@ -29,6 +32,7 @@ from ledgerloom.functions import money
 from ledgerloom.functions.text import key
 from ledgerloom.functions.timeparts import days_between
 from ledgerloom.operators.ingest import content_numbered
+from ledgerloom.operators.matching import matched
 from ledgerloom.session import checkpointed
 
 #: Pairs that one pass takes.
@@ -177,8 +181,8 @@ def greedy_matches(pairs: DataFrame, most_pairs: int = MOST_PAIRS) -> DataFrame:
 
 
 def reconcile(source: DataFrame, target: DataFrame, settings: Settings = Settings(), most_pairs: int = MOST_PAIRS) -> DataFrame:
-    """Matches, then the sources without one: source_id, target_id, status, confidence, delta."""
-    matches = greedy_matches(candidates(source, target, settings), most_pairs)
+    """Matches (see `matched`), then the sources without one: source_id, target_id, status, confidence, delta."""
+    matches = matched(source, target, settings, most_pairs)
     rows = matches.select("source_id", "target_id", F.when(F.col("delta") == 0, "MATCHED").otherwise("PARTIAL").alias("status"), F.round("confidence", 4).alias("confidence"), "delta")
     alone = unmatched(source, matches, "source").select(F.col("id").alias("source_id"), F.lit(None).cast("string").alias("target_id"), F.lit("UNMATCHED").alias("status"), F.lit(0.0).alias("confidence"), F.lit(0).cast("long").alias("delta"))
     return rows.unionByName(alone)
