@@ -189,7 +189,7 @@ def recon_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{_GREEDY} SELECT count(*) FILTER (WHERE delta = 0) AS matched, count(*) FILTER (WHERE delta <> 0) AS partial, (SELECT count(*) FROM r WHERE idx % 2 = 0) - count(*) AS unmatched_source, (SELECT count(*) FROM r WHERE idx % 2 = 1) - count(*) AS unmatched_target FROM m""")
 def recon_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     source, target = views.record_sides(spark, sf_dir)
-    return reconcile.summary(reconcile.greedy_matches(reconcile.candidates(source, target, _RECON)), source, target)
+    return reconcile.summary(reconcile.matched(source, target, _RECON), source, target)
 
 
 # Import
