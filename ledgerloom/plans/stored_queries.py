@@ -25,7 +25,7 @@ def _folder(spark: SparkSession, name: str) -> str:
 
 @query(ORACLE_SQL["recon_matches"])
 def recon_matches_in_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As recon_matches, with islands of over a thousand pairs split and matched a thousand pairs at a time."""
+    """As recon_matches, in small blocks that list a few thousand pairs at a time."""
     return reconcile.reconcile(*views.record_sides(spark, sf_dir), _RECON, most_pairs=1_000)
 
 
