@@ -116,7 +116,7 @@ def ledger_lines(prepared: DataFrame, dataset_id: str, identity: dict[str, str],
     Amounts keep all their places. A single signed amount is split by the frozen convention
     (see `money.transaction_sides`), and has no side without one.
     """
-    accepted = prepared.where("status <> 'REJECTED'")
+    accepted = ingest.accepted_rows(prepared)
     named = {part: header for part, header in identity.items() if part in SOURCE_PARTS}
     rows = accepted.withColumn("source", source_identity(F.col("cells"), {header: part for part, header in named.items()}) if named else F.struct(F.lit(None).cast("string").alias("none")))
     part = lambda name: F.nullif(F.col("source")[name], F.lit("")) if name in named else F.lit(None).cast("string")
@@ -139,7 +139,7 @@ def balance_rows(prepared: DataFrame, dataset_id: str) -> DataFrame:
     names = {"openingDebit": "opening_debit", "openingCredit": "opening_credit", "periodDebit": "period_debit", "periodCredit": "period_credit", "closingDebit": "closing_debit", "closingCredit": "closing_credit"}
     exact = lambda name: money.canonical_decimal(ingest.field_of(prepared, "mapped", name)).try_cast("decimal(24,6)")
     normal = lambda name: ingest.field_of(prepared, "normalized", name)
-    rows = prepared.where("status <> 'REJECTED'").select(F.lit(dataset_id).alias("dataset_id"), F.lit(dataset_id).alias("trial_balance_id"), "source_row_no", normal("accountCode").alias("account"), normal("accountName").alias("account_name"), normal("currency").alias("currency"), *(exact(f).alias(c) for f, c in names.items()))
+    rows = ingest.accepted_rows(prepared).select(F.lit(dataset_id).alias("dataset_id"), F.lit(dataset_id).alias("trial_balance_id"), "source_row_no", normal("accountCode").alias("account"), normal("accountName").alias("account_name"), normal("currency").alias("currency"), *(exact(f).alias(c) for f, c in names.items()))
     return accounting.trial_balance_rows(rows)
 
 

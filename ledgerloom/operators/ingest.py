@@ -211,10 +211,19 @@ def issue_rows(prepared: DataFrame) -> DataFrame:
     return prepared.select("source_row_no", F.explode(F.concat("issues", "duplicate_issues")).alias("x")).select("source_row_no", "x.field", "x.code", "x.raw_value")
 
 
+def accepted_rows(prepared: DataFrame) -> DataFrame:
+    """Rows that aren't rejected.
+
+    The status is read from a generator: a filter on the column itself is put before the steps of
+    `validate`, each written into the next one, which makes a condition of many megabytes.
+    """
+    return prepared.withColumn("status_read", F.explode(F.array("status"))).where("status_read <> 'REJECTED'").drop("status_read")
+
+
 def to_transactions(prepared: DataFrame, kind: str) -> DataFrame:
     """Flat transactions of accepted ledger or bank rows; other kinds have none."""
     field = lambda name: field_of(prepared, "normalized", name)
-    accepted = prepared.where(F.col("status") != "REJECTED")
+    accepted = accepted_rows(prepared)
     if kind == "GENERAL_LEDGER":
         amount, credit = F.coalesce(field("debit"), field("credit"), field("amount")), field("credit").isNotNull() & field("debit").isNull()
         reference = F.coalesce(field("reference"), field("documentNumber"), F.concat(F.lit("R-"), F.col("source_row_no").cast("string")))

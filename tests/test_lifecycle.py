@@ -214,3 +214,14 @@ def test_copies_of_a_key_take_one_round(spark, monkeypatch):
     found = imports.started(rows, none, spark.createDataFrame([], "firm_id string, sha256 string, source_file_id string"), stored)
     assert {r.outcome: r["count"] for r in found.groupBy("outcome").count().collect()} == {"READY": 1, "DEDUPED_EXISTING": 19_999}
     assert len(kept) <= 1 + 3  # the facts and one round
+
+
+def test_reading_accepted_rows_keeps_the_plan_small(spark):
+    """The condition on the status isn't written out over every step of the validation."""
+    headers = ["account", "posting date", "debit", "credit", "currency"]
+    rows = spark.createDataFrame([(1, ["a", "1/2/2024", "5", "", "SAR"]), (2, ["b", "1/2/2024", "", "", "SAR"])], "source_row_no long, v array<string>")
+    cells = rows.select("source_row_no", ingest.raw_cells(headers, F.col("v")).alias("cells"))
+    prepared = ingest.prepare_rows(cells, "GENERAL_LEDGER", ingest.suggest_mapping("GENERAL_LEDGER", headers), headers=headers)
+    for found in (ingest.to_transactions(prepared, "GENERAL_LEDGER"), imports.ledger_lines(prepared, "ds", {})):
+        assert len(found._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+        assert [r.source_row_no for r in found.collect()] == [1]
