@@ -2,12 +2,15 @@
 
 A running hash is sequential by definition. Rows are first packed into pieces of consecutive
 row numbers, in parallel; then each group's pieces are streamed in order through one hash. A
-task holds one batch of pieces, however many rows its group has.
+task holds one batch of pieces, however many rows its group has. A chain, whose state is 32
+bytes, goes on in the next task after a stretch of pieces, so no task reads all of a large group;
+a plain SHA-256 can't, since its state within a message can't be taken out of `hashlib`.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -15,10 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.framing import FOLD_SEED_TEXT
-from ledgerloom.session import checkpointed
+from ledgerloom.session import checkpointed, shared_folder
 
 #: Row numbers per piece, of 32 bytes each.
 PIECE_ROWS = 256
+#: Pieces that one task takes of chains.
+STRETCH_PIECES = 1 << 14
 
 
 class Running:
@@ -66,22 +71,47 @@ def hashed_in_order(rows: DataFrame, by: tuple[str, ...], digest: str, kind: typ
     pieces = checkpointed(named.groupBy("own", F.floor(F.col("source_row_no") / PIECE_ROWS).alias("piece")).agg(F.unhex(F.array_join(F.transform(ordered, lambda x: x["digest"]), "")).alias("data")))  # used twice below
     sizes = pieces.groupBy("own").agg(F.sum(F.octet_length("data") / 32).cast("long").alias("n_rows"))
 
+    n_pieces = pieces.count() if kind is Chain else 0
+    if n_pieces <= STRETCH_PIECES:
+        out = _streamed(pieces.join(sizes, "own").select("own", "piece", "n_rows", "data", F.lit(None).cast("string").alias("state")), kind, head)
+    else:
+        out = _in_stretches(pieces, -(-n_pieces // STRETCH_PIECES)).join(sizes, "own")
+    return out.select(*(F.col("own")[c].alias(c) for c in by), "n_rows", "hashed")
+
+
+def _streamed(pieces: DataFrame, kind: type[Running] | type[Chain], head: Callable[[int], bytes]) -> DataFrame:
+    """own, n_rows and hashed of groups of pieces (own, piece, n_rows, data, state: what a chain goes on from, or null)."""
+
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, key, n, running = None, None, 0, None
         names = ["own", "n_rows", "hashed"]
         for batch in batches:
-            keys, counts, datas = batch.column(0), batch.column(1).to_pylist(), batch.column(2)
+            keys, counts, datas, states = batch.column(0), batch.column(1).to_pylist(), batch.column(2), batch.column(3)
             for i in range(batch.num_rows):
                 here = keys[i].as_py()
                 if running is None or here != key:
                     if running is not None:
                         yield pa.RecordBatch.from_arrays([own, pa.array([n], pa.int64()), pa.array([running.hex()])], names)
-                    own, key, n = keys.slice(i, 1), here, counts[i]
-                    running = kind(head(n))
+                    own, key, n, state = keys.slice(i, 1), here, counts[i], states[i].as_py()
+                    running = kind(head(n)) if state is None else Chain.resumed(state)
                 running.add(datas[i].as_py())
         if running is not None:
             yield pa.RecordBatch.from_arrays([own, pa.array([n], pa.int64()), pa.array([running.hex()])], names)
 
-    joined = pieces.join(sizes, "own").repartition("own").sortWithinPartitions("own", "piece").select("own", "n_rows", "data")
-    out = joined.mapInArrow(stream, f"own {joined.schema['own'].dataType.simpleString()}, n_rows long, hashed string")
-    return out.select(*(F.col("own")[c].alias(c) for c in by), "n_rows", "hashed")
+    ordered = pieces.repartition("own").sortWithinPartitions("own", "piece").select("own", "n_rows", "data", "state")
+    return ordered.mapInArrow(stream, f"own {pieces.schema['own'].dataType.simpleString()}, n_rows long, hashed string")
+
+
+def _in_stretches(pieces: DataFrame, stretches: int) -> DataFrame:
+    """own and hashed of chains, a stretch of about as many pieces of all groups after the other."""
+    ends = sorted(set(pieces.select(F.col("piece").cast("double").alias("piece")).approxQuantile("piece", [i / stretches for i in range(1, stretches)], 1 / (8 * stretches))))
+    stretch = sum((F.when(F.col("piece") > end, 1).otherwise(0) for end in ends), F.lit(0))
+    path = f"{shared_folder(pieces.sparkSession)}/pieces-{uuid.uuid4().hex}"
+    pieces.withColumn("stretch", stretch).write.partitionBy("stretch").parquet(path)
+    stored, states = pieces.sparkSession.read.schema(pieces.withColumn("stretch", stretch.cast("int")).schema).parquet(path), None
+    for turn in range(len(ends) + 1):
+        now = stored.where(F.col("stretch") == turn).select("own", "piece", F.lit(0).cast("long").alias("n_rows"), "data")
+        started = now.withColumn("state", F.lit(None).cast("string")) if states is None else now.join(states.withColumnRenamed("hashed", "state"), "own", "left")
+        after = _streamed(started, Chain, lambda n: b"").select("own", "hashed")
+        states = checkpointed(after if states is None else after.unionByName(states.join(now.select("own").distinct(), "own", "left_anti")))
+    return states
