@@ -15,7 +15,6 @@ import ctypes
 import functools
 import hashlib
 import struct
-import uuid
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.framing import FOLD_SEED_TEXT
-from ledgerloom.session import broadcast_if_small, checkpointed, shared_folder
+from ledgerloom.session import broadcast_if_small, checkpointed, stored
 
 #: Rows per piece, of 32 bytes each.
 PIECE_ROWS = 256
@@ -151,36 +150,41 @@ def plainly_compressed(words: bytes, blocks: bytes) -> bytes:
     return struct.pack(">8I", *state)
 
 
-def hashed_in_order(rows: DataFrame, by: tuple[str, ...], digest: str, kind: type[Running] | type[Chain], head: Callable[[int], bytes] = lambda n: b"") -> DataFrame:
+def hashed_in_order(rows: DataFrame, by: tuple[str, ...], digest: str, kind: type[Running] | type[Chain], head: Callable[[int], bytes] = lambda n: b"", is_stored: bool = False) -> DataFrame:
     """The `by` columns, n_rows and hashed of each group of rows (source_row_no, `digest` as 64 hex digits).
 
     Rows go in order of source_row_no; rows that share one in order of their digests. head: what
-    the hash begins with, from the number of rows. Groups without rows have no row.
+    the hash begins with, from the number of rows. is_stored: the rows are read from where they
+    were put, so that they can be read twice without a copy. Groups without rows have no row.
     """
     own = F.struct(*by) if by else F.struct(F.lit(0).alias("all"))
-    named = checkpointed(rows.select(own.alias("own"), "source_row_no", F.unhex(digest).alias("digest")))  # read twice: ranges come from a sample
+    named = rows.select(own.alias("own"), "source_row_no", F.unhex(digest).alias("digest"))
+    named = named if is_stored else stored(named)  # read twice: ranges come from a sample
     order = [*(F.col("own")[c] for c in by), "source_row_no", "digest"]
     ordered = named.repartitionByRange(*order).sortWithinPartitions(*order).select("own", "digest")
-    packed = ordered.mapInArrow(_packed, f"own {named.schema['own'].dataType.simpleString()}, data binary")
-    pieces = checkpointed(packed.withColumn("piece", F.monotonically_increasing_id()))  # its upper bits are the partition's number
+    packed = ordered.mapInArrow(_packed, f"own {named.schema['own'].dataType.simpleString()}, digests int, data binary")
+    pieces = stored(packed.withColumn("piece", F.monotonically_increasing_id()))  # its upper bits are the partition's number
 
     part, group = F.shiftright("piece", 33).alias("part"), Window.partitionBy("own")
-    parts = pieces.groupBy("own", part).agg(F.min("piece").alias("first"), F.count("*").alias("n"), F.sum(F.octet_length("data") / 32).alias("n_rows"))
+    parts = pieces.groupBy("own", part).agg(F.min("piece").alias("first"), F.count("*").alias("n"), F.sum("digests").alias("n_rows"))
     before = F.sum("n").over(group.orderBy("part")) - F.col("n")
-    parts = parts.select("own", "part", (before - F.col("first")).alias("shift"), F.sum("n").over(group).alias("n_pieces"), F.sum("n_rows").over(group).cast("long").alias("n_rows"))
+    parts = parts.select("own", "part", "first", "n", before.alias("before"), F.sum("n").over(group).alias("n_pieces"), F.sum("n_rows").over(group).alias("n_rows"))
     parts = broadcast_if_small(checkpointed(parts))
-    placed = pieces.withColumn("part", part).join(parts, ["own", "part"]).withColumn("at", F.col("piece") + F.col("shift"))
 
-    longest = parts.agg(F.max("n_pieces")).first()[0] or 0
-    most = STRETCH_PIECES if kind is Chain or _native() else longest
-    out = _streamed(placed.where(F.col("n_pieces") <= most).select("own", "piece", "n_rows", "data", F.lit(None).cast("string").alias("state")), kind, head)
-    if longest > most:
-        out = out.unionByName(_in_stretches(placed.where(F.col("n_pieces") > most), -(-longest // STRETCH_PIECES), Resumable if kind is Running else kind, head))
+    shortest, longest = parts.agg(F.min("n_pieces"), F.max("n_pieces")).first()
+    most = STRETCH_PIECES if kind is Chain or _native() else longest or 0
+    found = []
+    if longest is None or shortest <= most:
+        short = pieces.withColumn("part", part).join(parts.where(F.col("n_pieces") <= most), ["own", "part"])
+        found.append(_streamed(short.select("own", "piece", "n_rows", "data", F.lit(None).cast("string").alias("state")), kind, head))
+    if longest is not None and longest > most:
+        found.append(_in_stretches(pieces, parts.where(F.col("n_pieces") > most), Resumable if kind is Running else kind, head))
+    out = functools.reduce(DataFrame.unionByName, found)
     return out.select(*(F.col("own")[c].alias(c) for c in by), "n_rows", "hashed")
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """own and data of pieces: the digests of at most PIECE_ROWS consecutive rows (own, digest) of a group."""
+    """own, number of digests and data of pieces: the digests of at most PIECE_ROWS consecutive rows (own, digest) of a group."""
     for batch in batches:
         owns, digests, starts, datas = batch.column(0), batch.column(1).to_pylist(), [], []
         start = 0
@@ -191,7 +195,8 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             starts.append(start)
             datas.append(b"".join(d for d in digests[start:end] if d is not None))
             start = end
-        yield pa.RecordBatch.from_arrays([owns.take(pa.array(starts, pa.int64())), pa.array(datas, pa.binary())], ["own", "data"])
+        counts = pa.array([len(data) // 32 for data in datas], pa.int32())
+        yield pa.RecordBatch.from_arrays([owns.take(pa.array(starts, pa.int64())), counts, pa.array(datas, pa.binary())], ["own", "digests", "data"])
 
 
 def _streamed(pieces: DataFrame, kind: type[Running] | type[Resumable] | type[Chain], head: Callable[[int], bytes]) -> DataFrame:
@@ -217,15 +222,22 @@ def _streamed(pieces: DataFrame, kind: type[Running] | type[Resumable] | type[Ch
     return ordered.mapInArrow(stream, f"own {pieces.schema['own'].dataType.simpleString()}, n_rows long, hashed string, state string")
 
 
-def _in_stretches(placed: DataFrame, stretches: int, kind: type[Resumable] | type[Chain], head: Callable[[int], bytes]) -> DataFrame:
-    """As `_streamed`, of long groups of pieces (at: place in the group, from 0): a stretch of each, then the next."""
-    pieces = placed.select("own", "piece", "n_rows", "data", F.floor(F.col("at") / STRETCH_PIECES).cast("int").alias("stretch"))
-    path = f"{shared_folder(pieces.sparkSession)}/pieces-{uuid.uuid4().hex}"
-    pieces.write.partitionBy("stretch").parquet(path)
-    stored, turns = pieces.sparkSession.read.schema(pieces.schema).parquet(path), []
-    for turn in range(stretches):
-        now = stored.where(F.col("stretch") == turn).drop("stretch")
+def _in_stretches(pieces: DataFrame, parts: DataFrame, kind: type[Resumable] | type[Chain], head: Callable[[int], bytes]) -> DataFrame:
+    """As `_streamed`, of the long groups that `parts` tells of: a stretch of each, then the next.
+
+    The pieces of a group follow each other, so its stretch is a range of their numbers; a turn
+    has one for each long group that goes on, and reads no other pieces.
+    """
+    turn, first, last = F.col("turn") * STRETCH_PIECES, F.col("first"), F.col("before") + F.col("n")
+    turns_of = F.sequence(F.floor(F.col("before") / STRETCH_PIECES), F.floor((last - 1) / STRETCH_PIECES))
+    within = parts.withColumn("turn", F.explode(turns_of)).select("own", "turn", (first + F.greatest(turn - F.col("before"), F.lit(0))).alias("low"), (first + F.least(turn + STRETCH_PIECES, last) - F.col("before") - 1).alias("high"))
+    ranges = within.groupBy("turn", "own").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    by_turn = ranges.groupBy("turn").agg(F.collect_list(F.struct("low", "high")).alias("ranges")).orderBy("turn").collect()  # a long group has 128 MB at least
+    counts, turns = parts.groupBy("own").agg(F.first("n_rows").alias("n_rows")), []
+    for at in by_turn:
+        read = functools.reduce(lambda a, b: a | b, (F.col("piece").between(low, high) for low, high in at.ranges))
+        now = pieces.where(read).join(broadcast_if_small(counts), "own")
         started = now.join(F.broadcast(turns[-1].select("own", "state")), "own") if turns else now.withColumn("state", F.lit(None).cast("string"))  # a row for each group of a stretch at least
-        turns.append(checkpointed(_streamed(started, kind, head).withColumn("turn", F.lit(turn))))
+        turns.append(stored(_streamed(started.select("own", "piece", "n_rows", "data", "state"), kind, head).withColumn("turn", F.lit(at.turn))))
     every = functools.reduce(DataFrame.unionByName, turns)
     return every.groupBy("own").agg(F.max("n_rows").alias("n_rows"), F.max_by("hashed", "turn").alias("hashed"), F.lit(None).cast("string").alias("state"))

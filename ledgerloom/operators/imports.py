@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import money
 from ledgerloom.operators import accounting, ingest
 from ledgerloom.operators.lifecycle import source_identity
-from ledgerloom.session import checkpointed
+from ledgerloom.session import checkpointed, stored
 from ledgerloom.sources.sinks import write_sealed
 
 #: Parts of a row's source identity, and the version of the rules that normalise rows.
@@ -148,19 +148,19 @@ def confirmed(prepared: DataFrame, kind: str, dataset_id: str, header: dict[str,
 
     header: source file, profile and mapping hashes, as `ingest.dataset_hash` takes them.
     """
-    rows = checkpointed(prepared)  # every table is made of the same rows
+    rows = stored(prepared)  # every table is made of the same rows
     rejected = F.count_if(F.col("status") == "REJECTED")
     counted = rows.agg(F.count("*").alias("n_rows"), rejected.alias("n_rejected"))
-    hashes = ingest.dataset_hash(rows.select("source_row_no", "raw_hash"), header).select("dataset_hash")
+    hashes = ingest.dataset_hash(rows.select("source_row_no", "raw_hash"), header, is_stored=True).select("dataset_hash")
     status = F.when(F.col("n_rejected") > 0, "COMPLETED_WITH_ISSUES").otherwise("COMPLETED")
     empty = ingest.empty_dataset_hash(header)
     dataset = counted.join(hashes, F.lit(True), "left").select(F.lit(dataset_id).alias("dataset_id"), F.lit(kind).alias("kind"), F.coalesce("dataset_hash", F.lit(empty)).alias("dataset_hash"), status.alias("status"), "n_rows", "n_rejected")  # one row each
     tables = {"records": rows, "issues": ingest.issue_rows(rows), "transactions": ingest.to_transactions(rows, kind), "dataset": dataset}
     if kind == "GENERAL_LEDGER":
-        lines = checkpointed(ledger_lines(rows, dataset_id, identity or {}, convention))
+        lines = stored(ledger_lines(rows, dataset_id, identity or {}, convention))
         tables |= {"contexts": accounting.contexts(lines), "accounts": accounting.accounts(lines), "entries": accounting.entries(lines), "lines": accounting.numbered_lines(lines)}
     elif kind == "TRIAL_BALANCE":
-        balances = checkpointed(balance_rows(rows, dataset_id))
+        balances = stored(balance_rows(rows, dataset_id))
         tables |= {"accounts": accounting.accounts(balances), "balances": balances}
     return tables
 

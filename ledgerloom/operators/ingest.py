@@ -271,13 +271,14 @@ def mapping_hash(kind: str, mapping: dict[str, str], field_set_version: str = "g
     return hashlib.sha256(_object({"datasetKind": kind, "targetFieldSetVersion": field_set_version}) + _object(mapping)).hexdigest()
 
 
-def dataset_hash(rows: DataFrame, header: dict[str, str | None], by: tuple[str, ...] = ()) -> DataFrame:
+def dataset_hash(rows: DataFrame, header: dict[str, str | None], by: tuple[str, ...] = (), is_stored: bool = False) -> DataFrame:
     """Identity of datasets' content: `header`, the number of rows, and raw_hash of every row in order of source_row_no.
 
     rows: the `by` columns, source_row_no, raw_hash. Rows are streamed, so a dataset may be of any
-    size; one without rows has no row here, its hash is `empty_dataset_hash`.
+    size; one without rows has no row here, its hash is `empty_dataset_hash`. is_stored: as in
+    `hashed_in_order`.
     """
-    hashed = hashed_in_order(rows, by, "raw_hash", Running, lambda n: _object(header) + _leb128(n))
+    hashed = hashed_in_order(rows, by, "raw_hash", Running, lambda n: _object(header) + _leb128(n), is_stored)
     return hashed.select(*by, F.col("hashed").alias("dataset_hash"), "n_rows")
 
 
